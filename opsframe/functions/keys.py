@@ -26,14 +26,12 @@ def _quoted(text: Column) -> Column:
     return F.regexp_extract(F.to_json(F.struct(text.alias("v"))), r"(?s)^\{\"v\":(.*)\}$", 1)
 
 
-def json_string(text: Column) -> Column:
-    """Quoted JSON string; non-ASCII characters become ``\\uXXXX`` pairs."""
-    quoted = _quoted(text)
-    units = F.hex(F.encode(quoted, "UTF-16BE"))
-    groups = F.regexp_extract_all(units, F.lit("(....)"), F.lit(1))
+def escape_non_ascii(text: Column) -> Column:
+    """JSON text with every non-ASCII character as ``\\uXXXX``, in UTF-16 pairs."""
+    units = F.regexp_extract_all(F.hex(F.encode(text, "UTF-16BE")), F.lit("(....)"), F.lit(1))
     escaped = F.array_join(
         F.transform(
-            groups,
+            units,
             lambda u: F.when(
                 (u >= "0020") & (u < "007F"),
                 F.decode(F.unhex(F.substring(u, 3, 2)), "UTF-8"),
@@ -41,7 +39,12 @@ def json_string(text: Column) -> Column:
         ),
         "",
     )
-    return F.when(quoted.rlike("^[\\x20-\\x7e]*$"), quoted).otherwise(escaped)
+    return F.when(text.rlike("^[\\x20-\\x7e]*$"), text).otherwise(escaped)
+
+
+def json_string(text: Column) -> Column:
+    """Quoted JSON string in plain ASCII."""
+    return escape_non_ascii(_quoted(text))
 
 
 def task_key(intent: Column, capabilities: Column) -> Column:

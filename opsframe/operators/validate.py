@@ -156,7 +156,10 @@ def validate_workflow(workflows: DataFrame, nodes: DataFrame) -> DataFrame:
                 (F.coalesce("_unnamed", F.lit(0)) == 0, "each node needs an id"),
                 (absent("_twice"), "duplicate node id"),
                 (absent("_dangling"), "node depends on unknown node"),
-                (absent("_cyclic") | ~absent("_dangling"), "workflow DAG contains a cycle"),
+                (
+                    absent("_cyclic") | ~absent("_dangling") | ~absent("_twice"),
+                    "workflow DAG contains a cycle",
+                ),
                 (F.col("timeout").isNull() | (F.col("timeout") >= 0), "workflow timeout must be > 0"),
             ),
         )
