@@ -103,7 +103,6 @@ def verify_hash_chain(ledger: DataFrame, torn: DataFrame | None = None) -> DataF
     )
 
 
-@F.pandas_udf("previous_hash string, hash string, _digest string")
 def _foreign_record(lines: pd.Series) -> pd.DataFrame:
     """Links of ledger lines whose hash covers the whole record in canonical JSON."""
     rows = []
@@ -121,7 +120,8 @@ def json_ledger_issues(lines: DataFrame) -> DataFrame:
 
     Canonical JSON with escaped text has no Spark expression, hence the Arrow UDF.
     """
-    links = lines.select("chain_id", "seq", _foreign_record("line").alias("r"))
+    record = F.pandas_udf(_foreign_record, "previous_hash string, hash string, _digest string")
+    links = lines.select("chain_id", "seq", record("line").alias("r"))
     return _issues(links.select("chain_id", "seq", "r.*"))
 
 

@@ -18,7 +18,7 @@ def latest_rows(rows: DataFrame, version: str) -> DataFrame:
 def decode_entity_rows(rows: DataFrame, entity: str, version: str | None = None) -> DataFrame:
     """Typed rows of (id, payload); absent keys get the entity's defaults."""
     stored = rows if version is None else latest_rows(rows, version)
-    schema = T._parse_datatype_string(ENTITIES[entity])
+    schema = T.StructType.fromDDL(ENTITIES[entity])
     parsed = stored.select(F.from_json("payload", schema).alias("p"))
     defaults = ENTITY_DEFAULTS.get(entity, {})
     return parsed.select(
