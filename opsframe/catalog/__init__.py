@@ -6,7 +6,7 @@ import importlib
 
 from opsframe.catalog.views import with_views
 
-MODULES = ["events", "workflow", "compute", "control", "text"]
+MODULES = ["events", "workflow", "compute", "control", "text", "streams"]
 
 
 def all_queries():

@@ -247,17 +247,19 @@ def write_event_log(spark, d):
     return el.partition_events(log, "click", 2).select("seq", "id", "payload")
 
 
-_TAG = """[CASE WHEN regexp_matches({c}, '\\brepos?') THEN 'cap://software/repository/inspect' END,
- CASE WHEN regexp_matches({c}, '\\brefactor(?:ing)?\\b') THEN 'cap://software/code/refactor' END,
- CASE WHEN regexp_matches({c}, '\\btests?\\b') THEN 'cap://software/testing/execute' END,
- CASE WHEN regexp_matches({c}, '\\b(git|commit)\\b') THEN 'cap://software/git/operate' END,
- CASE WHEN regexp_matches({c}, '\\bresearch\\b') THEN 'cap://research/web' END,
- CASE WHEN regexp_matches({c}, '\\bbrowser\\b') THEN 'cap://interaction/browser' END,
- CASE WHEN regexp_matches({c}, '\\bverify(?:ing|ied|y)?\\b') THEN 'cap://verification/save-proof' END]"""
+# RE2 only knows ASCII word boundaries, so they are spelled out.
+_L, _R = "(^|[^\\p{L}\\p{M}\\p{N}_])", "($|[^\\p{L}\\p{M}\\p{N}_])"
+_TAG = """[CASE WHEN regexp_matches({c}, '{l}repos?') THEN 'cap://software/repository/inspect' END,
+ CASE WHEN regexp_matches({c}, '{l}refactor(?:ing)?{r}') THEN 'cap://software/code/refactor' END,
+ CASE WHEN regexp_matches({c}, '{l}tests?{r}') THEN 'cap://software/testing/execute' END,
+ CASE WHEN regexp_matches({c}, '{l}(git|commit){r}') THEN 'cap://software/git/operate' END,
+ CASE WHEN regexp_matches({c}, '{l}research{r}') THEN 'cap://research/web' END,
+ CASE WHEN regexp_matches({c}, '{l}browser{r}') THEN 'cap://interaction/browser' END,
+ CASE WHEN regexp_matches({c}, '{l}verify(?:ing|ied|y)?{r}') THEN 'cap://verification/save-proof' END]"""
 
 
 def _tags(column):
-    found = f"list_filter({_TAG.format(c=f'lower({column})')}, lambda x: x IS NOT NULL)"
+    found = f"list_filter({_TAG.format(c=f'lower({column})', l=_L, r=_R)}, lambda x: x IS NOT NULL)"
     return f"CASE WHEN len({found}) > 0 THEN {found} ELSE ['cap://general/agent/execute'] END"
 
 
@@ -280,8 +282,6 @@ _FITS = """CASE c_custkey % 8 WHEN 0 THEN m = c_custkey % 60 AND h = c_custkey %
  WHEN 3 THEN m = 0 AND h = 0 AND day = 13 AND dow = 5 WHEN 4 THEN m IN (5, 10, 15, 20) AND h = 8 AND day IN (1, 15)
  WHEN 5 THEN false WHEN 6 THEN c_custkey % 70 < 60 AND m = c_custkey % 70 AND h = 1
  ELSE c_custkey % 3 = 1 AND m = 1 AND h = 2 AND day = 3 AND month = 4 AND dow = 5 END"""
-_KINDS = """kinds AS (SELECT DISTINCT c_custkey % 8 AS k, CASE WHEN c_custkey % 8 IN (0, 6, 7) THEN c_custkey % 840 ELSE 0 END AS r,
- min(c_custkey) AS c_custkey FROM customer GROUP BY ALL)"""
 _ERROR = """CASE WHEN c_custkey % 8 = 6 AND c_custkey % 70 >= 60 THEN 'malformed minute field'
  WHEN c_custkey % 8 = 7 AND c_custkey % 3 <> 1 THEN 'cron must have exactly 5 fields: minute hour dom month dow' ELSE '' END"""
 _JSON_WORKLOAD = """'{"cpu":' || cpu || ',"created_at":' || CAST(epoch(created_at) AS BIGINT) || ',"desired_replicas":' || desired_replicas || ',"id":"' || id
@@ -321,6 +321,7 @@ QUERIES = {
 
 ORACLES = {
     "tag_capabilities": f"WITH {_TAGGED} SELECT task_id, array_to_string(capabilities, ',') AS capabilities FROM tagged",
+    "tag_documents": f"SELECT doc_id, array_to_string({_tags('text')}, ',') AS capabilities FROM documents",
     "policy_gate": """WITH v AS (SELECT task_id, regexp_matches(lower(intent), '\\b(delete|destroy|drop|wipe|transfer|purchase|deploy)\\b')
  AND autonomy IN ('A3','A4','A5') AS b FROM tasks)
 SELECT task_id, NOT b AS allowed, CASE WHEN b THEN 'Explicit human approval required.' ELSE 'allowed' END AS reason FROM v""",
@@ -363,10 +364,10 @@ okday AS (SELECT k, min(d) FILTER (d > DATE '2024-09-13') AS nxt, bool_or(d = DA
   WHEN 5 THEN false WHEN 7 THEN day(d) = 3 AND month(d) = 4 AND dayofweek(d) = 5 ELSE true END GROUP BY k),
 ok AS (SELECT c_custkey, c_custkey % 8 AS k, CASE c_custkey % 8 WHEN 0 THEN (c_custkey % 24) * 60 + c_custkey % 60 WHEN 1 THEN 480 WHEN 4 THEN 485
   WHEN 6 THEN 60 + c_custkey % 70 WHEN 7 THEN 121 ELSE 0 END AS first_min FROM customer WHERE {_ERROR} = ''),
-fire AS (SELECT c.c_custkey, {_ERROR} AS error, CASE WHEN o.c_custkey IS NULL OR dd.k IS NULL THEN -1
+fire AS (SELECT c.c_custkey, c.error, CASE WHEN o.c_custkey IS NULL OR dd.k IS NULL THEN -1
   WHEN dd.today AND o.first_min > 485 THEN CAST(epoch(DATE '2024-09-13') AS BIGINT) + o.first_min * 60
   WHEN dd.nxt IS NULL THEN -1 ELSE CAST(epoch(dd.nxt) AS BIGINT) + o.first_min * 60 END AS next_s
- FROM customer c LEFT JOIN ok o ON o.c_custkey = c.c_custkey LEFT JOIN okday dd ON dd.k = o.k)
+ FROM (SELECT c_custkey, {_ERROR} AS error FROM customer) c LEFT JOIN ok o ON o.c_custkey = c.c_custkey LEFT JOIN okday dd ON dd.k = o.k)
 SELECT c_custkey AS schedule_id, next_s, CASE WHEN error = '' AND next_s < 0 THEN 'no match within 2 years' ELSE error END AS error FROM fire""",
     "cron_fires_guarded": """WITH RECURSIVE c AS MATERIALIZED (SELECT event_type AS k, epoch_us(ts) AS t, event_id AS id,
  row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS n FROM events),

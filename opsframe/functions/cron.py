@@ -21,34 +21,38 @@ FIELDS = {
 SEARCH_MINUTES = 60 * 24 * 366 * 2
 
 
-def _whole(text: Column) -> Column:
-    digits = F.regexp_replace(text, "_", "")
-    return F.when(text.rlike(r"^[+-]?\d+(_\d+)*$"), digits.try_cast("int"))
-
-
-def _after(text: Column, mark: str) -> Column:
-    return F.regexp_extract(text, f"^[^{mark}]*{mark}(.*)$", 1)
-
+def _whole(text: str) -> str:
+    return (
+        f"if({text} rlike '^[+-]?[0-9]+(_[0-9]+)*$',"
+        f" try_cast(replace({text}, '_', '') as int), null)"
+    )
 
-def _part_values(part: Column, low: int, high: int) -> Column:
-    """Values of one list element, or null when it is malformed."""
-    base = F.substring_index(part, "/", 1)
-    step = F.when(F.contains(part, F.lit("/")), _whole(_after(part, "/"))).otherwise(F.lit(1))
-    is_range = F.contains(base, F.lit("-"))
-    first = _whole(F.when(is_range, F.substring_index(base, "-", 1)).otherwise(base))
-    last = F.when(is_range, _whole(_after(base, "-"))).otherwise(first)
-    start = F.when(base == "*", F.lit(low)).otherwise(first)
-    end = F.when(base == "*", F.lit(high)).otherwise(last)
-    good = (step > 0) & (start >= low) & (start <= end) & (end <= high)
-    return F.when(good, F.sequence(start, F.when(good, end), F.when(good, step)))
 
+def field_values(spec: str, low: int, high: int) -> Column:
+    """Sorted values of a field, or null when any part of it is malformed.
 
-def field_values(spec: Column, low: int, high: int) -> Column:
-    """Sorted values of a field, or null when any part of it is malformed."""
-    parts = F.filter(F.transform(F.split(spec, ","), lambda p: F.trim(p)), lambda p: p != "")
-    values = F.transform(parts, lambda p: _part_values(p, low, high))
-    broken = F.exists(values, lambda v: v.isNull()) | (F.size(parts) == 0)
-    return F.when(~broken, F.array_sort(F.array_distinct(F.flatten(values))))
+    List elements are split into base and step, then into bounds, then spelled out.
+    Flattening a list that holds a null gives null: one bad part spoils the field.
+    """
+    parts = f"filter(transform(split({spec}, ','), p -> trim(p)), p -> p <> '')"
+    stepped = (
+        f"transform({parts}, p -> struct(substring_index(p, '/', 1) as base,"
+        f" if(contains(p, '/'), {_whole("substring(p, instr(p, '/') + 1)")}, 1) as step))"
+    )
+    first = _whole("substring_index(p.base, '-', 1)")
+    second = _whole("substring(p.base, instr(p.base, '-') + 1)")
+    bounds = (
+        f"transform({stepped}, p -> struct("
+        f"if(p.base = '*', {low}, if(contains(p.base, '-'), {first}, {_whole('p.base')})) as lo,"
+        f" if(p.base = '*', {high}, if(contains(p.base, '-'), {second}, {_whole('p.base')})) as hi,"
+        f" p.step as step))"
+    )
+    values = (
+        f"transform({bounds}, p -> if(p.step > 0 and p.lo >= {low} and p.lo <= p.hi"
+        f" and p.hi <= {high}, sequence(p.lo, p.hi, p.step), null))"
+    )
+    merged = F.array_sort(F.array_distinct(F.flatten(F.expr(values))))
+    return F.when(F.size(merged) > 0, merged)
 
 
 def parse_schedules(schedules: DataFrame, expr: str = "expr") -> DataFrame:
@@ -56,9 +60,7 @@ def parse_schedules(schedules: DataFrame, expr: str = "expr") -> DataFrame:
     words = F.split(F.trim(F.regexp_replace(expr, r"\s+", " ")), " ")
     out = schedules.withColumn("_w", words)
     for i, (name, (low, high)) in enumerate(FIELDS.items()):
-        out = out.withColumn(
-            name, field_values(F.coalesce(F.get("_w", F.lit(i)), F.lit("")), low, high)
-        )
+        out = out.withColumn(name, field_values(f"coalesce(get(_w, {i}), '')", low, high))
     error = F.when(
         F.size("_w") != 5, "cron must have exactly 5 fields: minute hour dom month dow"
     )
@@ -122,9 +124,9 @@ def cron_next(schedules: DataFrame, now: Column) -> DataFrame:
     on_today = F.when(F.array_contains("_days", today.cast("int")), today * 1440 + later)
     next_day = F.array_min(F.filter("_days", lambda day: day > today))
     fire = F.coalesce(on_today, next_day * 1440 + F.array_min(times))
-    in_range = fire <= minute_now + SEARCH_MINUTES
+    good = (F.col("error") == "") & (fire <= minute_now + SEARCH_MINUTES)
     return (
-        parsed.withColumn("next_at", F.timestamp_seconds(F.when(in_range, fire) * 60))
+        parsed.withColumn("next_at", F.timestamp_seconds(F.when(good, fire) * 60))
         .withColumn(
             "error",
             F.when((F.col("error") == "") & F.col("next_at").isNull(), "no match within 2 years")

@@ -236,6 +236,39 @@ def ack_offsets(events: DataFrame, acks: DataFrame, max_attempts: int = 5) -> Da
     )
 
 
+def ack_machine(max_attempts: int = 5) -> Machine:
+    """Ack by ack view of one event: (event_id, at_us, grp, ack_no, ok, error).
+
+    Same rules as the aggregates above, for streams and for following a single event.
+    """
+
+    def step(state, row):
+        status, fails = state
+        grp, ok = row[2], row[4]
+        if ok:
+            now = "delivered" if status == "pending" else status
+            return [now, fails], (now, fails.get(grp, 0), True, False, False)
+        tries = fails.get(grp, 0) + 1
+        fails = {**fails, grp: tries}
+        if tries < max_attempts:
+            return [status, fails], (status, tries, False, False, False)
+        if status == "delivered":
+            return [status, fails], (status, tries, False, False, True)
+        return ["dead", fails], ("dead", tries, True, True, False)
+
+    return Machine(
+        start=lambda row: ["pending", {}],
+        step=step,
+        outputs=[
+            ("status", "string"),
+            ("attempts", "long"),
+            ("moves_offset", "boolean"),
+            ("dead_letter", "boolean"),
+            ("illegal_transition", "boolean"),
+        ],
+    )
+
+
 def unknown_acks(events: DataFrame, acks: DataFrame) -> DataFrame:
     """Acks that name no event of their topic."""
     known = events.select(F.col("id").alias("event_id"), "topic")
