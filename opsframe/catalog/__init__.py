@@ -2,18 +2,31 @@
 
 from __future__ import annotations
 
+import functools
 import importlib
 
 from opsframe.catalog.views import with_views
+from opsframe.session import ship_package
 
 MODULES = ["events", "workflow", "compute", "control", "text", "streams"]
 
 
+def _shipped(query):
+    """Make sure the workers know this package before a query needs it there."""
+
+    @functools.wraps(query)
+    def run(spark, sf_dir):
+        ship_package(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 def all_queries():
     out = {}
     for name in MODULES:
         out.update(importlib.import_module(f"opsframe.catalog.{name}").QUERIES)
-    return out
+    return {k: _shipped(q) for k, q in out.items()}
 
 
 def all_oracles():

@@ -54,10 +54,8 @@ def maintain_lag_gauge(spark, d):
     changes = event_stream(spark, d).select(
         F.col("event_type").alias("topic"),
         F.explode(
-            F.when(
-                (F.col("event_id") % 5 == 0) | (F.col("event_id") % 23 == 0), F.array(F.lit(1), F.lit(-1))
-            ).otherwise(F.array(F.lit(1)))
-        ).cast("bigint").alias("change"),
+            F.expr("if(event_id % 5 = 0 or event_id % 23 = 0, array(1L, -1L), array(1L))")
+        ).alias("change"),
     )
     return cs.run_to_table(cs.lag_gauge(changes), scratch_folder(spark, "gauge"))
 
@@ -69,7 +67,7 @@ def dedup_stream(spark, d):
         "case when event_id % 9 <> 0 then concat(user_id, ':', cast(floor(value / 20) as int)) end as idem_key",
         "sha2(event_type, 256) as digest",
     )
-    told = cs.run_to_files(st.dedup_stream(requests), scratch_folder(spark, "dedup"))
+    told = cs.run_to_files(st.dedup_stream(requests, ttl_seconds=None), scratch_folder(spark, "dedup"))
     return told.select("id", "kind", "answer_id")
 
 
@@ -175,8 +173,8 @@ ORACLES = {
     "breaker_stream": control_catalog.ORACLES["breaker_states"],
     "fold_acks_stream": f"""WITH {event_catalog._ACK_IDX}
 SELECT event_id, CASE WHEN dead THEN 'dead' WHEN ok_at IS NOT NULL THEN 'delivered' ELSE 'pending' END AS status, dead AS dead_letter FROM final""",
-    "stall_stream": """WITH l AS (SELECT CAST(user_id AS VARCHAR) AS loop, max(epoch_ms(ts)) AS last_ms FROM events GROUP BY ALL)
-SELECT loop, last_ms, CAST(86400000 AS BIGINT) AS limit_ms FROM l WHERE last_ms + 86400001 < (SELECT max(epoch_ms(ts)) FROM events)""",
-    "sweep_timeouts_stream": """SELECT CAST(event_id AS VARCHAR) AS attempt_id, epoch_ms(ts) + 3600000 AS due_ms FROM events
- WHERE event_id % 3 = 0 AND epoch_ms(ts) + 3600001 < (SELECT max(epoch_ms(ts)) FROM events)""",
+    "stall_stream": """WITH l AS (SELECT CAST(user_id AS VARCHAR) AS loop, max((epoch_us(ts) // 1000)) AS last_ms FROM events GROUP BY ALL)
+SELECT loop, last_ms, CAST(86400000 AS BIGINT) AS limit_ms FROM l WHERE last_ms + 86400001 < (SELECT max((epoch_us(ts) // 1000)) FROM events)""",
+    "sweep_timeouts_stream": """SELECT CAST(event_id AS VARCHAR) AS attempt_id, (epoch_us(ts) // 1000) + 3600000 AS due_ms FROM events
+ WHERE event_id % 3 = 0 AND (epoch_us(ts) // 1000) + 3600001 < (SELECT max((epoch_us(ts) // 1000)) FROM events)""",
 }

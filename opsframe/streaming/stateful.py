@@ -8,51 +8,38 @@ stepped through, so one pass over a file source gives the batch result.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from opsframe.operators.folds import Machine
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
+def _machine_runner(machine: Machine, order: list, columns: list, ttl_ms: int | None):
+    names = columns + [n for n, _ in machine.outputs]
 
-def use_rocksdb(spark: SparkSession) -> None:
-    """Keyed state with timers and TTL needs the RocksDB store."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-
-
-class MachineProcessor(StatefulProcessor):
-    """Keeps a machine's state per key as JSON text."""
-
-    def __init__(self, machine: Machine, order: Sequence[str], columns, ttl_ms: int | None):
-        self.machine = machine
-        self.order = list(order)
-        self.columns = list(columns)
-        self.ttl_ms = ttl_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("state", "body string", self.ttl_ms)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
-        pdf = pd.concat(list(rows)).sort_values(self.order)[self.columns]
-        held = self.state.get() if self.state.exists() else None
-        state = json.loads(held[0]) if held else None
+    def run(key, batches, held):
+        if held.hasTimedOut:  # idle for longer than the key is to be remembered
+            held.remove()
+            return
+        pdf = pd.concat(list(batches)).sort_values(order)[columns]
+        fresh = not held.exists
+        state = None if fresh else json.loads(held.get[0])
         out = []
-        for i, row in enumerate(pdf.astype(object).itertuples(index=False, name=None)):
-            if i == 0 and held is None:
-                state = self.machine.start(row)
-            state, result = self.machine.step(state, row)
+        for row in pdf.astype(object).itertuples(index=False, name=None):
+            if fresh:
+                state, fresh = machine.start(row), False
+            state, result = machine.step(state, row)
             out.append(row + tuple(result))
-        self.state.update((json.dumps(state, default=float),))
-        names = self.columns + [n for n, _ in self.machine.outputs]
+        held.update((json.dumps(state),))
+        if ttl_ms is not None:
+            held.setTimeoutDuration(ttl_ms)
         yield pd.DataFrame(out, columns=names)
 
-    def close(self) -> None:
-        pass
+    return run
 
 
 def fold_stream(
@@ -62,20 +49,27 @@ def fold_stream(
     machine: Machine,
     ttl_seconds: int | None = None,
 ) -> DataFrame:
-    """Streaming form of ``fold``; with ``ttl_seconds`` idle keys are forgotten."""
-    use_rocksdb(stream.sparkSession)
+    """Streaming form of ``fold``; with ``ttl_seconds`` idle keys are forgotten.
+
+    Forgetting follows the wall clock, so a stream with ``ttl_seconds`` wants a
+    processing-time trigger: under ``availableNow`` it would wait for the clock.
+    """
     columns = [*keys, *[c for c in stream.columns if c not in keys]]
     kinds = dict(stream.dtypes)
     fields = [f"`{c}` {kinds[c]}" for c in columns]
     fields += [f"`{n}` {t}" for n, t in machine.outputs]
+    ttl_ms = None if ttl_seconds is None else ttl_seconds * 1000
     return (
         stream.select(*columns)
         .groupBy(*keys)
-        .transformWithStateInPandas(
-            MachineProcessor(machine, order, columns, ttl_seconds and ttl_seconds * 1000),
+        .applyInPandasWithState(
+            _machine_runner(machine, list(order), columns, ttl_ms),
             ", ".join(fields),
-            "Append",
-            "ProcessingTime" if ttl_seconds else "None",
+            "body string",
+            "append",
+            GroupStateTimeout.NoTimeout
+            if ttl_ms is None
+            else GroupStateTimeout.ProcessingTimeTimeout,
         )
     )
 
@@ -111,92 +105,78 @@ def dedup_stream(requests: DataFrame, ttl_seconds: int | None = 90 * 86_400) ->
     return told.unionByName(rest)
 
 
-class StallProcessor(StatefulProcessor):
-    """Emits a loop when its heartbeat is overdue; a timer watches the last one."""
-
-    def __init__(self, limits: dict[str, int], default_ms: int):
-        self.limits = limits
-        self.default_ms = default_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.last = handle.getValueState("last", "ms bigint")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
-        newest = max(int(pdf["ts_ms"].max()) for pdf in rows)
-        held = self.last.get()[0] if self.last.exists() else None
-        if held is None or newest > held:
-            limit = self.limits.get(key[0], self.default_ms)
-            if held is not None:
-                self.handle.deleteTimer(held + limit + 1)
-            self.last.update((newest,))
-            self.handle.registerTimer(newest + limit + 1)
-        yield pd.DataFrame({"loop": [], "last_ms": [], "limit_ms": []})
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        limit = self.limits.get(key[0], self.default_ms)
-        yield pd.DataFrame(
-            {"loop": [key[0]], "last_ms": [self.last.get()[0]], "limit_ms": [limit]}
-        )
-
-    def close(self) -> None:
-        pass
-
-
 def stall_stream(
     heartbeats: DataFrame,
     intervals: dict[str, float],
     stall_seconds: float = 30.0,
     delay: str = "0 seconds",
 ) -> DataFrame:
-    """Loops (loop, ts) that fall silent for longer than their limit in event time."""
-    use_rocksdb(heartbeats.sparkSession)
+    """Loops (loop, ts) that fall silent for longer than their limit in event time.
+
+    Each loop keeps its last heartbeat and one event-time timeout after it.
+    """
     limits = {k: int(max(stall_seconds, 3 * v) * 1000) for k, v in intervals.items()}
-    marked = heartbeats.withWatermark("ts", delay).withColumn(
-        "ts_ms", F.unix_millis("ts")
-    )
-    return marked.groupBy("loop").transformWithStateInPandas(
-        StallProcessor(limits, int(stall_seconds * 1000)),
+    default = int(stall_seconds * 1000)
+
+    def watch(key, batches, held):
+        limit = limits.get(key[0], default)
+        if held.hasTimedOut:
+            last = held.get[0]
+            held.remove()
+            yield pd.DataFrame({"loop": [key[0]], "last_ms": [last], "limit_ms": [limit]})
+            return
+        newest = max(int(pdf["ts_ms"].max()) for pdf in batches)
+        if held.exists:
+            newest = max(newest, held.get[0])
+        due = newest + limit + 1
+        if due <= held.getCurrentWatermarkMs():  # a heartbeat that came too late to matter
+            yield pd.DataFrame({"loop": [key[0]], "last_ms": [newest], "limit_ms": [limit]})
+            return
+        held.update((newest,))
+        held.setTimeoutTimestamp(due)
+
+    marked = heartbeats.withWatermark("ts", delay).select("loop", "ts", F.unix_millis("ts").alias("ts_ms"))
+    return marked.groupBy("loop").applyInPandasWithState(
+        watch,
         "loop string, last_ms bigint, limit_ms bigint",
-        "Append",
-        "EventTime",
+        "last_ms bigint",
+        "append",
+        GroupStateTimeout.EventTimeTimeout,
     )
 
 
-class TimeoutProcessor(StatefulProcessor):
-    """Emits a running attempt whose timeout passes before its completion arrives."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.due = handle.getValueState("due", "ms bigint")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
-        for pdf in rows:
-            for running, at, timeout in zip(pdf["running"], pdf["ts_ms"], pdf["timeout_ms"]):
-                if self.due.exists():
-                    self.handle.deleteTimer(self.due.get()[0])
-                    self.due.clear()
-                if running:
-                    self.due.update((int(at + timeout + 1),))
-                    self.handle.registerTimer(int(at + timeout + 1))
-        yield pd.DataFrame({"attempt_id": [], "due_ms": []})
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        if self.due.exists():
-            due = self.due.get()[0]
-            self.due.clear()
-            yield pd.DataFrame({"attempt_id": [key[0]], "due_ms": [due - 1]})
-        else:
-            yield pd.DataFrame({"attempt_id": [], "due_ms": []})
-
-    def close(self) -> None:
-        pass
+def timeout_stream(changes: DataFrame, delay: str = "0 seconds") -> DataFrame:
+    """Timed-out attempts of a stream of (attempt_id, ts, running, timeout_ms).
 
+    A row with ``running`` starts an attempt, one without ends it; what is not
+    ended in time is emitted when the watermark passes its limit.
+    """
 
-def timeout_stream(changes: DataFrame, delay: str = "0 seconds") -> DataFrame:
-    """Timed-out attempts of a stream of (attempt_id, ts, running, timeout_ms)."""
-    use_rocksdb(changes.sparkSession)
-    marked = changes.withWatermark("ts", delay).withColumn("ts_ms", F.unix_millis("ts"))
-    return marked.groupBy("attempt_id").transformWithStateInPandas(
-        TimeoutProcessor(), "attempt_id string, due_ms bigint", "Append", "EventTime"
+    def watch(key, batches, held):
+        if held.hasTimedOut:
+            due = held.get[0]
+            held.remove()
+            yield pd.DataFrame({"attempt_id": [key[0]], "due_ms": [due]})
+            return
+        pdf = pd.concat(list(batches))
+        if not pdf["running"].all():
+            if held.exists:
+                held.remove()
+            return
+        due = int((pdf["ts_ms"] + pdf["timeout_ms"]).max())
+        if due + 1 <= held.getCurrentWatermarkMs():
+            yield pd.DataFrame({"attempt_id": [key[0]], "due_ms": [due]})
+            return
+        held.update((due,))
+        held.setTimeoutTimestamp(due + 1)
+
+    marked = changes.withWatermark("ts", delay).select(
+        "attempt_id", "ts", F.unix_millis("ts").alias("ts_ms"), "running", "timeout_ms"
+    )
+    return marked.groupBy("attempt_id").applyInPandasWithState(
+        watch,
+        "attempt_id string, due_ms bigint",
+        "due_ms bigint",
+        "append",
+        GroupStateTimeout.EventTimeTimeout,
     )
