@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from opsframe.operators.ordered import SLICE, group_sizes, same_keys, slice_groups
+from opsframe.operators.ordered import SLICE, group_sizes, join_keys, slice_groups
 from opsframe.session import cut_lineage, rows_per_task
 
 _ARROW = {
@@ -181,11 +181,8 @@ def _at_once(sliced, keys, order, machine, fields):
         .mapInArrow(entries, _ddl([*cut_fields, ("_entry", "string")]))
     )
     cut = [*keys, SLICE]
-    joined = sliced.join(entry, same_keys(sliced, entry, cut)).select(
-        *[sliced[c] for c in keys],
-        sliced[SLICE],
-        *[sliced[c] for c in names if c not in keys],
-        entry["_entry"],
+    joined = join_keys(sliced, entry, cut).select(
+        *keys, SLICE, *[c for c in names if c not in keys], "_entry"
     )
     return _replay(joined, cut, order, machine, fields)
 
@@ -229,15 +226,11 @@ def _in_rounds(sliced, keys, order, machine, fields):
     carry, results = None, None
     for number in range(1, rounds + 1):
         now = steps.filter(F.col("_round") == number)
-        part = sliced.join(
-            now, same_keys(sliced, now, [*keys, SLICE]), "left_semi"
-        ).select(*names, SLICE)
+        part = join_keys(sliced, now, [*keys, SLICE]).select(*names, SLICE)
         if carry is None:
             part = part.withColumn("_entry", F.lit(None).cast("string"))
         else:
-            part = part.join(carry, same_keys(part, carry, keys), "left").select(
-                *[part[c] for c in part.columns], carry["_entry"]
-            )
+            part = join_keys(part, carry, keys, "left")
         part = part.select(*keys, SLICE, *[c for c in names if c not in keys], "_entry")
         done = cut_lineage(_replay(part, [*keys, SLICE], order, stated, fields))
         carry = done.groupBy(*keys).agg(

@@ -49,10 +49,17 @@ def slice_groups(
     return cut_lineage(ranged.withColumn(SLICE, F.spark_partition_id()))
 
 
-def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    return reduce(
-        lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys]
-    )
+def join_keys(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner"
+) -> DataFrame:
+    """Join on ``keys`` with nulls matching; each key appears once in the result.
+
+    The right keys are renamed first: both sides often come from one frame.
+    """
+    renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    matches = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys])
+    joined = left.join(renamed, matches, how)
+    return joined.drop(*[f"_r_{k}" for k in keys])
 
 
 def ordered_columns(
@@ -108,10 +115,7 @@ def _sliced_columns(df, keys, order, total, number, previous, running):
         carried[f"_l_{n}"] = F.lag(f"_l_{n}").over(by_slice)
     carry = totals.withColumns(carried)
 
-    joined = sliced.join(carry, same_keys(sliced, carry, cut), "left").select(
-        *[sliced[c] for c in sliced.columns],
-        *[carry[c] for c in carried],
-    )
+    joined = join_keys(sliced, carry.select(*cut, *carried), cut, "left")
     within = Window.partitionBy(*cut).orderBy(*order)
     upto = within.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     added = {"_n": F.row_number().over(within)}
