@@ -49,10 +49,8 @@ def task_keys(spark, d):
 
 def capability_scores(spark, d):
     scores = it.capability_scores(_tagged(spark, d), fx.resources(spark, d), network=False)
-    return scores.groupBy("resource_id").agg(
-        F.count("*").alias("tasks"),
-        F.round(F.min("score"), 9).alias("low"),
-        F.round(F.max("score"), 9).alias("high"),
+    return scores.select(
+        "set_key", "tasks", "resource_id", F.round("fit", 9).alias("fit"), F.round("score", 9).alias("score")
     )
 
 
@@ -328,10 +326,11 @@ SELECT task_id, NOT b AS allowed, CASE WHEN b THEN 'Explicit human approval requ
     "slugify": f"SELECT doc_id, {_SLUG.format(c='text')} AS slug FROM documents",
     "task_keys": f"""WITH {_TAGGED} SELECT task_id, 'saf-' || substring(sha256('{{"capabilities": ["' || array_to_string(list_sort(capabilities), '", "')
  || '"], "intent": "' || intent || '"}}'), 1, 40) AS task_key FROM tagged""",
-    "capability_scores": f"""WITH {_TAGGED}, s AS (SELECT t.task_id, r.resource_id, len(list_intersect(t.capabilities, r.capability_ids)) AS hit,
- 0.65 * (hit / len(t.capabilities)) + 0.25 * r.trust + 0.10 / (1 + r.cost_estimate) - CASE WHEN r.kind IN ('model','model-provider') THEN 0.15 ELSE 0 END AS score
- FROM tagged t, resources r)
-SELECT resource_id, count(*) AS tasks, round(min(score), 9) AS low, round(max(score), 9) AS high FROM s WHERE hit > 0 GROUP BY resource_id""",
+    "capability_scores": f"""WITH {_TAGGED}, sets AS (SELECT array_to_string(list_sort(capabilities), ' ') AS set_key, any_value(capabilities) AS caps, count(*) AS tasks
+ FROM tagged GROUP BY 1),
+s AS (SELECT set_key, tasks, r.resource_id, len(list_intersect(caps, r.capability_ids)) / len(caps) AS fit, r.trust, r.cost_estimate, r.kind FROM sets, resources r)
+SELECT set_key, tasks, resource_id, round(fit, 9) AS fit,
+ round(0.65 * fit + 0.25 * trust + 0.10 / (1 + cost_estimate) - CASE WHEN kind IN ('model','model-provider') THEN 0.15 ELSE 0 END, 9) AS score FROM s WHERE fit > 0""",
     "top_candidates": f"""WITH {_TAGGED}, s AS (SELECT t.task_id, r.resource_id, r.ord, CAST(r.trust AS DOUBLE) AS confidence,
  (CAST(0.65 AS DOUBLE) * (CAST(len(list_intersect(t.capabilities, r.capability_ids)) AS DOUBLE) / len(t.capabilities)) + CAST(0.25 AS DOUBLE) * CAST(r.trust AS DOUBLE))
  + CAST(0.10 AS DOUBLE) / (CAST(1 AS DOUBLE) + r.cost_estimate) AS score FROM tagged t, resources r)

@@ -113,17 +113,20 @@ def cron_next(schedules: DataFrame, now: Column) -> DataFrame:
     within the search range; malformed schedules keep their error."""
     minute_now = F.floor(F.unix_seconds(now) / 60)
     today = F.floor(minute_now / 1440)
-    # Day numbers since 1970 that fit, today and later.
-    span = F.sequence(F.to_date(now), F.date_add(F.to_date(now), SEARCH_MINUTES // 1440 + 1))
-    fitting = F.transform(F.filter(span, _day_fits), lambda day: F.unix_date(day))
-    parsed = parse_schedules(schedules).withColumn("_days", fitting)
     times = F.flatten(
         F.transform("hour", lambda h: F.transform("minute", lambda m: h * 60 + m))
     )
-    later = F.array_min(F.filter(times, lambda t: today * 1440 + t > minute_now))
-    on_today = F.when(F.array_contains("_days", today.cast("int")), today * 1440 + later)
-    next_day = F.array_min(F.filter("_days", lambda day: day > today))
-    fire = F.coalesce(on_today, next_day * 1440 + F.array_min(times))
+    parsed = parse_schedules(schedules).withColumn("_times", times)
+
+    def first_day(days: int) -> Column:
+        after = F.sequence(F.date_add(F.to_date(now), 1), F.date_add(F.to_date(now), days))
+        return F.unix_date(F.array_min(F.filter(after, _day_fits)))
+
+    later = F.array_min(F.filter("_times", lambda t: today * 1440 + t > minute_now))
+    on_today = F.when(_day_fits(F.to_date(now)), today * 1440 + later)
+    # Nearly every schedule fits a day of the next two months; look further only if not.
+    next_day = F.coalesce(first_day(62), first_day(SEARCH_MINUTES // 1440 + 1))
+    fire = F.coalesce(on_today, next_day * 1440 + F.array_min("_times"))
     good = (F.col("error") == "") & (fire <= minute_now + SEARCH_MINUTES)
     return (
         parsed.withColumn("next_at", F.timestamp_seconds(F.when(good, fire) * 60))
@@ -132,5 +135,5 @@ def cron_next(schedules: DataFrame, now: Column) -> DataFrame:
             F.when((F.col("error") == "") & F.col("next_at").isNull(), "no match within 2 years")
             .otherwise(F.col("error")),
         )
-        .drop("_days", *FIELDS)
+        .drop("_times", *FIELDS)
     )

@@ -99,7 +99,7 @@ def release_candidates(
         "_late", F.coalesce("_late", F.lit(1))
     )
     numbered = ordered_columns(
-        held, ["workload_id"], ["_late", "created_at", "id"], number="turn"
+        held, ["workload_id"], ["_late", "created_at", "id"], number="turn", sized_by=leases
     )
     return numbered.filter(F.col("turn") <= F.col("surplus")).drop("_late", "surplus")
 

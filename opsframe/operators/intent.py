@@ -8,16 +8,17 @@ from pyspark.sql import functions as F
 from opsframe.functions.keys import slugify
 from opsframe.operators.ordered import first_per_key
 
-# Rules that tag a lower-cased text, in order, and the fallback tag.
+# Rules that tag a lower-cased text, in order, and the fallback tag.  Each
+# starts with the letters every match contains.
 CAPABILITY_RULES = [
-    (r"\brepos?", "cap://software/repository/inspect"),
-    (r"\brefactor(?:ing)?\b", "cap://software/code/refactor"),
-    (r"\btests?\b", "cap://software/testing/execute"),
-    (r"\bgit\b", "cap://software/git/operate"),
-    (r"\bcommit\b", "cap://software/git/operate"),
-    (r"\bresearch\b", "cap://research/web"),
-    (r"\bbrowser\b", "cap://interaction/browser"),
-    (r"\bverify(?:ing|ied|y)?\b", "cap://verification/save-proof"),
+    ("repo", r"\brepos?", "cap://software/repository/inspect"),
+    ("refactor", r"\brefactor(?:ing)?\b", "cap://software/code/refactor"),
+    ("test", r"\btests?\b", "cap://software/testing/execute"),
+    ("git", r"\bgit\b", "cap://software/git/operate"),
+    ("commit", r"\bcommit\b", "cap://software/git/operate"),
+    ("research", r"\bresearch\b", "cap://research/web"),
+    ("browser", r"\bbrowser\b", "cap://interaction/browser"),
+    ("verify", r"\bverify(?:ing|ied|y)?\b", "cap://verification/save-proof"),
 ]
 FALLBACK_CAPABILITY = "cap://general/agent/execute"
 
@@ -39,13 +40,29 @@ PLAN_NAME_LENGTH = 48
 
 def tag_capabilities(text: Column) -> Column:
     """Distinct capability tags of a text in rule order; the fallback when none fits."""
-    lowered = F.lower(text)
-    hits = F.array_compact(
-        F.array(*[F.when(lowered.rlike("(?U)" + rule), F.lit(tag)) for rule, tag in CAPABILITY_RULES])
-    )
-    return F.when(F.size(hits) > 0, F.array_distinct(hits)).otherwise(
-        F.array(F.lit(FALLBACK_CAPABILITY))
+
+    def tags(lowered: Column) -> Column:
+        # The plain substring test spares most texts the regular expression.
+        return F.array_compact(
+            F.array(
+                *[
+                    F.when(
+                        F.contains(lowered, F.lit(stem)) & lowered.rlike("(?U)" + rule), F.lit(tag)
+                    )
+                    for stem, rule, tag in CAPABILITY_RULES
+                ]
+            )
+        )
+
+    # Mapping over one-element arrays names a value, so it is worked out once.
+    hits = F.transform(F.array(F.lower(text)), tags)
+    chosen = F.transform(
+        hits,
+        lambda h: F.when(F.size(h) > 0, F.array_distinct(h)).otherwise(
+            F.array(F.lit(FALLBACK_CAPABILITY))
+        ),
     )
+    return F.get(chosen, F.lit(0))
 
 
 def policy_blocked(text: Column, autonomy: Column) -> Column:
@@ -119,16 +136,17 @@ def _capability_sets(tasks: DataFrame) -> DataFrame:
 def capability_scores(
     tasks: DataFrame, resources: DataFrame, network: bool = True
 ) -> DataFrame:
-    """Score of every resource that covers part of a task's capabilities.
+    """Score of every resource that covers part of a capability set.
 
     ``tasks`` has (task_id, capabilities), ``resources`` (resource_id, ord, kind,
-    capability_ids, trust, cost_estimate).  Tasks with the same capability set share
-    their scores, which are worked out once per set.  Resources that cover nothing
-    score alike for all tasks: see ``uncovered_scores``.
+    capability_ids, trust, cost_estimate).  A score depends on a task only through its
+    capability set, so there is one row per distinct set (``set_key``, with the
+    number of tasks that ask for it) and covering resource, not one per task.
+    Resources that cover nothing score alike for all: see ``uncovered_scores``.
     """
     keyed = tasks.withColumn("set_key", _set_key("capabilities"))
-    scored = _scored(_capability_sets(keyed), resources, network)
-    return keyed.select("task_id", "set_key").join(scored, "set_key").drop("set_key", "ord")
+    asked = keyed.groupBy("set_key").agg(F.count("*").alias("tasks"))
+    return _scored(_capability_sets(keyed), resources, network).join(asked, "set_key").drop("ord")
 
 
 def uncovered_scores(resources: DataFrame, network: bool = True) -> DataFrame:

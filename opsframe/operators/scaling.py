@@ -31,9 +31,12 @@ def dominant_demand(workloads: DataFrame, targets: DataFrame, latest: DataFrame)
         F.coalesce("high", F.lit(NO_LIMIT)),
     )
     most = sized.groupBy(F.col("workload_id").alias("id")).agg(F.max(bounded).alias("_most"))
-    demand = F.least(
-        F.greatest(F.col("_most"), F.col("min_replicas").cast("double")),
-        F.col("max_replicas").cast("double"),
+    demand = F.when(
+        F.col("_most").isNotNull(),
+        F.least(
+            F.greatest(F.col("_most"), F.col("min_replicas").cast("double")),
+            F.col("max_replicas").cast("double"),
+        ),
     )
     return workloads.join(most, "id", "left").select(
         "id", "desired_replicas", demand.cast("bigint").alias("demand")

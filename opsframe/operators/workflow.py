@@ -203,7 +203,7 @@ def concurrency_admission(ready: DataFrame, nodes: DataFrame) -> DataFrame:
         return used + (1 if admitted and takes_slot else 0), (admitted,)
 
     machine = Machine(start=lambda row: row[2], step=step, outputs=[("admitted", "boolean")])
-    return fold(slots, ["workflow_id"], ["node_id"], machine)
+    return fold(slots, ["workflow_id"], ["node_id"], machine, sized_by=nodes)
 
 
 def pick_slot(ready: DataFrame, leases: DataFrame, now: Column) -> DataFrame:
