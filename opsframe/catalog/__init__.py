@@ -12,11 +12,12 @@ MODULES = ["events", "workflow", "compute", "control", "text", "streams", "flows
 
 
 def _shipped(query):
-    """Make sure the workers know this package before a query needs it there."""
+    """Make sure the workers know this package before a query needs it there, in UTC."""
 
     @functools.wraps(query)
     def run(spark, sf_dir):
         ship_package(spark)
+        spark.conf.set("spark.sql.session.timeZone", "UTC")  # the oracles' clock
         return query(spark, sf_dir)
 
     return run

@@ -212,6 +212,14 @@ def append_records(spark, d):
     return spark.read.text(folder).select(F.col("value").alias("line"))
 
 
+def read_partition(spark, d):
+    """One partition of the stored log, in order: only its folder is read."""
+    folder = js.scratch_folder(spark, "events")
+    el.write_event_log(fx.bus_events(spark, d).select("topic", "partition", "seq", "id"), folder)
+    log = el.read_event_log(spark, folder, "seq bigint, id bigint, topic string, partition int")
+    return el.partition_events(log, "click", 2).select("seq", "id")
+
+
 def _entity_rows(spark, d):
     """Workload payloads in two versions; the later one paused some workloads."""
     stored = fx.workloads(spark, d).selectExpr(
@@ -242,7 +250,7 @@ def write_event_log(spark, d):
     log = el.read_event_log(
         spark, folder, "seq bigint, id bigint, payload string, topic string, partition int"
     )
-    return el.partition_events(log, "click", 2).select("seq", "id", "payload")
+    return log.select("topic", "partition", "seq", "id", "payload")
 
 
 # RE2 only knows ASCII word boundaries, so they are spelled out.
@@ -315,6 +323,7 @@ QUERIES = {
     "encode_entity_rows": encode_entity_rows,
     "decode_entity_rows": decode_entity_rows,
     "write_event_log": write_event_log,
+    "read_partition": read_partition,
 }
 
 ORACLES = {
@@ -380,5 +389,6 @@ SELECT k AS template_id, id FROM walk WHERE fired""",
     "append_records": f"SELECT {_LINE} AS line FROM conversations",
     "encode_entity_rows": f"SELECT id, {_JSON_WORKLOAD} AS payload FROM workloads",
     "decode_entity_rows": """SELECT id, name, CAST(cpu AS BIGINT) AS cpu, status, CAST(epoch(created_at) AS DOUBLE) AS created_at, coalesce(node_tag, '') AS tags, 0 AS metrics FROM workloads""",
-    "write_event_log": """SELECT seq, id, payload FROM bus_events WHERE topic = 'click' AND "partition" = 2""",
+    "read_partition": """SELECT seq, id FROM bus_events WHERE topic = 'click' AND "partition" = 2""",
+    "write_event_log": """SELECT topic, "partition", seq, id, payload FROM bus_events""",
 }

@@ -33,8 +33,8 @@ VIEWS: dict[str, str] = {
     "leases": """SELECT l_partkey || '-' || l_suppkey AS id, CAST(l_partkey AS VARCHAR) AS workload_id,
  CAST(l_suppkey AS VARCHAR) AS node_id, min(l_shipdate) AS created_at,
  max(l_shipdate) + INTERVAL 200 DAY AS expires_at,
- CASE min(l_returnflag) WHEN 'R' THEN 'released' ELSE 'active' END AS state
- FROM lineitem WHERE l_suppkey % 13 <> 5 GROUP BY l_partkey, l_suppkey""",
+ CASE WHEN min(l_returnflag) = 'R' OR l_suppkey % 13 = 5 THEN 'released' ELSE 'active' END AS state
+ FROM lineitem GROUP BY l_partkey, l_suppkey""",
     "workflows": """SELECT CAST(o_orderkey AS VARCHAR) AS id, CAST(o_custkey AS VARCHAR) AS namespace,
  'run-' || o_orderpriority AS name,
  CASE o_orderstatus WHEN 'F' THEN 'running' WHEN 'O' THEN 'pending' ELSE 'running' END AS status,
@@ -59,7 +59,7 @@ VIEWS: dict[str, str] = {
  ['pending','dispatched','succeeded','failed','timed_out','cancelled','skipped'][1 + CAST(l_suppkey % 7 AS INT)] AS status
  FROM lineitem""",
     "run_requests": """SELECT CAST(o_orderkey AS VARCHAR) AS workflow_id,
- CASE o_orderkey % 2 WHEN 0 THEN 'cancel' ELSE 'retry' END AS action FROM orders WHERE o_orderkey % 13 = 0
+ CASE o_orderkey % 2 WHEN 0 THEN 'cancel' ELSE 'retry' END AS action FROM orders
  UNION ALL SELECT 'missing', 'cancel'""",
     "metric_samples": """SELECT CAST(user_id AS VARCHAR) AS workload_id,
  CASE event_type WHEN 'click' THEN 'cpu' WHEN 'view' THEN 'memory' WHEN 'error' THEN 'queue' ELSE 'throughput' END AS metric,

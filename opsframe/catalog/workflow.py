@@ -220,7 +220,7 @@ def recover_orphans(spark, d):
 
 
 def clone_runs(spark, d):
-    templates = fx.workflows(spark, d).filter("dead_letter")
+    templates = fx.workflows(spark, d)
     fires = fx.table(spark, d, "orders").selectExpr(
         "cast(o_orderkey as string) as template_id", "o_orderdate as fire_at"
     )
@@ -414,7 +414,7 @@ UNION ALL SELECT a.workflow_id, a.node_id, a.attempt_no, 'cancelled' FROM attemp
     + ")",
     "clone_runs": """SELECT o_orderkey || '.' || epoch_ms(o_orderdate) AS id, CAST(o_orderkey AS VARCHAR) AS template_id, 'pending' AS status,
  CAST(2 AS BIGINT) AS epoch, count(n.node_id) AS nodes, count(n.node_id) AS pending
- FROM orders LEFT JOIN wf_nodes n ON n.workflow_id = CAST(o_orderkey AS VARCHAR) WHERE o_orderkey % 2 = 0 GROUP BY o_orderkey, o_orderdate""",
+ FROM orders LEFT JOIN wf_nodes n ON n.workflow_id = CAST(o_orderkey AS VARCHAR) GROUP BY o_orderkey, o_orderdate""",
     "validate_workflow_node": """WITH raw AS (SELECT CAST(l_orderkey AS VARCHAR) AS workflow_id, CAST(l_linenumber AS VARCHAR) AS id,
  l_suppkey % 19 <> 0 AS named, l_suppkey % 7 = 0 AS selfdep,
  l_partkey % 3 IN (0, 1) AS has_load, l_partkey % 3 = 2 OR l_partkey % 11 = 0 AS has_topic,

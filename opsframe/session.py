@@ -45,7 +45,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 def rows_per_task(spark: SparkSession) -> int:
     """Largest number of rows of one group that a single task may sort."""
-    return int(spark.conf.get("opsframe.rowsPerTask", "4000000"))
+    return int(spark.conf.get("opsframe.rowsPerTask", "2000000"))
 
 
 _SHIPPED: set[str] = set()
