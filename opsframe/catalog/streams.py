@@ -12,7 +12,7 @@ from opsframe.operators import control as ct
 from opsframe.operators import events as ev
 from opsframe.operators.folds import Machine
 from opsframe.schemas import TABLES
-from opsframe.sources.jsonl import scratch_folder
+from opsframe.session import scratch_folder
 from opsframe.streaming import consume as cs
 from opsframe.streaming import stateful as st
 

@@ -10,6 +10,7 @@ from opsframe.functions.keys import slugify, task_key
 from opsframe.operators import control as ct
 from opsframe.operators import intent as it
 from opsframe.operators import ledger as lg
+from opsframe.session import scratch_folder
 from opsframe.sources import entities as en
 from opsframe.sources import event_log as el
 from opsframe.sources import files as fs
@@ -183,7 +184,7 @@ def _written_log(spark, d):
         "case when event_id % 50 = 0 then substring(props, 1, length(props) - 1)"
         " when event_id % 77 = 0 then '   ' else concat('  ', props) end as value"
     )
-    folder = js.scratch_folder(spark, "log")
+    folder = scratch_folder(spark, "log")
     lines.write.text(folder)
     return js.read_jsonl_tolerant(spark, folder)
 
@@ -195,7 +196,7 @@ def read_jsonl_tolerant(spark, d):
 
 def quarantine_torn(spark, d):
     log = _written_log(spark, d)
-    folder = js.scratch_folder(spark, "kept")
+    folder = scratch_folder(spark, "kept")
     stamp = F.lit("2024-01-31").cast("timestamp")
     js.quarantine_torn(log, f"{folder}/log", f"{folder}/corrupt", stamp)
     kept = spark.read.text(f"{folder}/log").select(F.lit("log").alias("part"), "value")
@@ -206,7 +207,7 @@ def quarantine_torn(spark, d):
 
 def append_records(spark, d):
     records, now = _memory_lines(spark, d)
-    folder = js.scratch_folder(spark, "memory")
+    folder = scratch_folder(spark, "memory")
     js.append_records(records.filter("turn = 0"), folder, now)
     js.append_records(records.filter("turn > 0"), folder, now)
     return spark.read.text(folder).select(F.col("value").alias("line"))
@@ -214,7 +215,7 @@ def append_records(spark, d):
 
 def read_partition(spark, d):
     """One partition of the stored log, in order: only its folder is read."""
-    folder = js.scratch_folder(spark, "events")
+    folder = scratch_folder(spark, "events")
     el.write_event_log(fx.bus_events(spark, d).select("topic", "partition", "seq", "id"), folder)
     log = el.read_event_log(spark, folder, "seq bigint, id bigint, topic string, partition int")
     return el.partition_events(log, "click", 2).select("seq", "id")
@@ -244,7 +245,7 @@ def decode_entity_rows(spark, d):
 
 
 def write_event_log(spark, d):
-    folder = js.scratch_folder(spark, "events")
+    folder = scratch_folder(spark, "events")
     events = fx.bus_events(spark, d).select("topic", "partition", "seq", "id", "payload")
     el.write_event_log(events, folder)
     log = el.read_event_log(

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from opsframe.operators.ordered import SLICE, group_sizes, join_keys, slice_groups
-from opsframe.session import cut_lineage, rows_per_task
+from opsframe.session import rows_per_task, scratch_folder
 
 _ARROW = {
     "string": pa.string(),
@@ -219,34 +219,47 @@ def _replay(joined, cut, order, machine, fields):
 
 
 def _in_rounds(sliced, keys, order, machine, fields):
-    steps = sliced.select(*keys, SLICE).distinct()
+    """Round n takes the n-th slice of every key, from the state round n - 1 left.
+
+    Rows are filed by round once, so a round reads only its own; most keys have a
+    single slice and are done after the first.
+    """
+    spark = sliced.sparkSession
+    folder = scratch_folder(spark, "fold")
+    cut = [*keys, SLICE]
+    steps = sliced.select(*cut).distinct()
     steps = steps.withColumn(
         "_round", F.row_number().over(Window.partitionBy(*keys).orderBy(SLICE))
     )
-    steps = cut_lineage(steps)
-    rounds = steps.agg(F.max("_round")).first()[0]
+    filed = join_keys(sliced, steps, cut)
+    filed.write.partitionBy("_round").parquet(f"{folder}/in")
     stated = Machine(
         start=machine.start,
         step=lambda state, row: _keep_state(machine.step(state, row)),
         outputs=[*machine.outputs, ("_state", "string")],
     )
     names = [c for c in sliced.columns if c != SLICE]
-    carry, results = None, None
+    out_ddl = _ddl([*fields, ("_state", "string")])
+    waiting = spark.read.schema(filed.schema).parquet(f"{folder}/in")
+    rounds = waiting.agg(F.max("_round")).first()[0]
+    carry = None
     for number in range(1, rounds + 1):
-        now = steps.filter(F.col("_round") == number)
-        part = join_keys(sliced, now, [*keys, SLICE]).select(*names, SLICE)
+        part = waiting.filter(F.col("_round") == number).drop("_round")
         if carry is None:
             part = part.withColumn("_entry", F.lit(None).cast("string"))
         else:
             part = join_keys(part, carry, keys, "left")
-        part = part.select(*keys, SLICE, *[c for c in names if c not in keys], "_entry")
-        done = cut_lineage(_replay(part, [*keys, SLICE], order, stated, fields))
-        carry = done.groupBy(*keys).agg(
-            F.max_by("_state", F.struct(*order)).alias("_entry")
+        part = part.select(*cut, *[c for c in names if c not in keys], "_entry")
+        done = f"{folder}/out/_round={number}"
+        _replay(part, cut, order, stated, fields).write.parquet(done)
+        carry = (
+            spark.read.schema(out_ddl)
+            .parquet(done)
+            .groupBy(*keys)
+            .agg(F.max_by("_state", F.struct(*order)).alias("_entry"))
         )
-        done = done.drop("_state")
-        results = done if results is None else results.unionByName(done)
-    return results
+    whole = spark.read.schema(f"{out_ddl}, _round int").parquet(f"{folder}/out")
+    return whole.select(*[n for n, _ in fields])
 
 
 def _keep_state(stepped):

@@ -2,19 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from opsframe.operators.ordered import ordered_columns
-from opsframe.session import ensure_checkpoint_dir
-
-
-def scratch_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the shared checkpoint folder."""
-    ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 
 
 def read_jsonl_tolerant(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
