@@ -6,11 +6,13 @@ import json
 
 from pyspark.sql import functions as F
 
+from opsframe.catalog import compute as compute_catalog
 from opsframe.catalog import control as control_catalog
 from opsframe.catalog import events as event_catalog
 from opsframe.operators import control as ct
 from opsframe.operators import events as ev
 from opsframe.operators.folds import Machine
+from opsframe.operators.scaling import target_policy
 from opsframe.schemas import TABLES
 from opsframe.session import scratch_folder
 from opsframe.streaming import consume as cs
@@ -127,6 +129,22 @@ def fold_acks_stream(spark, d):
     )
 
 
+def autoscale_stream(spark, d):
+    samples = event_stream(spark, d).selectExpr(
+        "cast(user_id as string) as workload_id",
+        "case event_type when 'click' then 'cpu' when 'view' then 'memory'"
+        " when 'error' then 'queue' else 'throughput' end as metric",
+        "ts",
+        "value",
+    )
+    moves = st.autoscale_stream(
+        samples, compute_catalog._scaled_workloads(spark, d), compute_catalog.TARGETS,
+        target_policy(cooldown=6 * 3600.0, protect_after=24 * 3600.0),
+    )
+    told = cs.run_to_files(moves, scratch_folder(spark, "scale"))
+    return told.filter("decided").select("workload_id", "tick", "from_replicas", "to_replicas")
+
+
 def stall_stream(spark, d):
     """Silences of more than half an hour per event type, as they are noticed."""
     beats = event_stream(spark, d).selectExpr("cast(user_id as string) as loop", "ts")
@@ -157,6 +175,7 @@ QUERIES = {
     "rate_limit_stream": rate_limit_stream,
     "breaker_stream": breaker_stream,
     "fold_acks_stream": fold_acks_stream,
+    "autoscale_stream": autoscale_stream,
     "stall_stream": stall_stream,
     "sweep_timeouts_stream": timeout_stream,
 }
@@ -173,6 +192,11 @@ ORACLES = {
     "breaker_stream": control_catalog.ORACLES["breaker_states"],
     "fold_acks_stream": f"""WITH {event_catalog._ACK_IDX}
 SELECT event_id, CASE WHEN dead THEN 'dead' WHEN ok_at IS NOT NULL THEN 'delivered' ELSE 'pending' END AS status, dead AS dead_letter FROM final""",
+    # As in the batch form, with every sample a tick of its own.
+    "autoscale_stream": compute_catalog.ORACLES["autoscale_decisions"]
+    .replace("/ 60000000) AS BIGINT) + 1", "/ 1) AS BIGINT)")
+    .replace("tick2 * 60", "tick2 / 1000000.0")
+    .replace("CAST(0 AS BIGINT) AS act, CAST(0 AS BIGINT) AS up", "CAST(0 AS DOUBLE) AS act, CAST(0 AS DOUBLE) AS up"),
     "stall_stream": """WITH l AS (SELECT CAST(user_id AS VARCHAR) AS loop, max((epoch_us(ts) // 1000)) AS last_ms FROM events GROUP BY ALL)
 SELECT loop, last_ms, CAST(86400000 AS BIGINT) AS limit_ms FROM l WHERE last_ms + 86400001 < (SELECT max((epoch_us(ts) // 1000)) FROM events)""",
     "sweep_timeouts_stream": """SELECT CAST(event_id AS VARCHAR) AS attempt_id, (epoch_us(ts) // 1000) + 3600000 AS due_ms FROM events

@@ -92,6 +92,42 @@ def latest_per_tick(samples: DataFrame, tick_seconds: int) -> DataFrame:
     )
 
 
+def scaler_machine(decide: Callable, targets: dict, tick_seconds: float) -> Machine:
+    """Replays one workload: (workload_id, tick, metric, value, closes, start_replicas, low, high).
+
+    The state is [replicas, last change, last change upwards, newest value per
+    metric]; a row that closes its tick asks the policy.
+    """
+
+    def step(state, row):
+        current, last_action, last_up, measured = state
+        _, tick, metric, value, closes, _, low, high = row
+        measured = {**measured, metric: value}
+        if not closes:
+            return [current, last_action, last_up, measured], (False, current, current)
+        now = float(tick * tick_seconds)
+        new = decide(current, low, high, measured, targets, now, last_action, last_up)
+        if new is None:
+            return [current, last_action, last_up, measured], (False, current, current)
+        up = now if new > current else last_up
+        return [new, now, up, measured], (True, current, new)
+
+    return Machine(
+        start=lambda row: [row[5], 0.0, 0.0, {}],
+        step=step,
+        outputs=[("decided", "boolean"), ("from_replicas", "long"), ("to_replicas", "long")],
+    )
+
+
+def replica_bounds(workloads: DataFrame) -> DataFrame:
+    return workloads.filter(F.col("status") == "active").select(
+        F.col("id").alias("workload_id"),
+        F.col("desired_replicas").cast("bigint").alias("start_replicas"),
+        F.col("min_replicas").cast("bigint").alias("low"),
+        F.col("max_replicas").cast("bigint").alias("high"),
+    )
+
+
 def autoscale_decisions(
     workloads: DataFrame,
     samples: DataFrame,
@@ -111,15 +147,9 @@ def autoscale_decisions(
     )
     # The alphabetically last metric of a tick closes it.
     closing = ticks.groupBy("workload_id", "tick").agg(F.max("metric").alias("_closing"))
-    bounds = workloads.filter(F.col("status") == "active").select(
-        F.col("id").alias("workload_id"),
-        F.col("desired_replicas").cast("bigint").alias("start_replicas"),
-        F.col("min_replicas").cast("bigint").alias("low"),
-        F.col("max_replicas").cast("bigint").alias("high"),
-    )
     rows = (
         ticks.join(closing, ["workload_id", "tick"])
-        .join(bounds, "workload_id")
+        .join(replica_bounds(workloads), "workload_id")
         .select(
             "workload_id",
             "tick",
@@ -132,22 +162,5 @@ def autoscale_decisions(
         )
     )
 
-    def step(state, row):
-        current, last_action, last_up, measured = state
-        _, tick, metric, value, closes, _, low, high = row
-        measured = {**measured, metric: value}
-        if not closes:
-            return [current, last_action, last_up, measured], (False, current, current)
-        now = float(tick * tick_seconds)
-        new = decide(current, low, high, measured, targets, now, last_action, last_up)
-        if new is None:
-            return [current, last_action, last_up, measured], (False, current, current)
-        up = now if new > current else last_up
-        return [new, now, up, measured], (True, current, new)
-
-    machine = Machine(
-        start=lambda row: [row[5], 0.0, 0.0, {}],
-        step=step,
-        outputs=[("decided", "boolean"), ("from_replicas", "long"), ("to_replicas", "long")],
-    )
+    machine = scaler_machine(decide, targets, tick_seconds)
     return fold(rows, ["workload_id"], ["tick", "metric"], machine)

@@ -8,7 +8,7 @@ stepped through, so one pass over a file source gives the batch result.
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from opsframe.operators.folds import Machine
+from opsframe.operators.scaling import replica_bounds, scaler_machine, target_policy
 
 
 def _machine_runner(machine: Machine, order: list, columns: list, ttl_ms: int | None):
@@ -105,6 +106,32 @@ def dedup_stream(requests: DataFrame, ttl_seconds: int | None = 90 * 86_400) ->
     return told.unionByName(rest)
 
 
+def autoscale_stream(
+    samples: DataFrame, workloads: DataFrame, targets: dict, policy: Callable | None = None
+) -> DataFrame:
+    """Scaling decisions as samples (workload_id, metric, ts, value) arrive.
+
+    Every sample asks the policy with the newest value of each metric; ``tick`` is
+    the sample's time in microseconds.
+    """
+    machine = scaler_machine(policy or target_policy(), targets, 1e-6)
+    rows = (
+        samples.filter(F.col("metric").isin(list(targets)))
+        .join(replica_bounds(workloads), "workload_id")
+        .select(
+            "workload_id",
+            F.unix_micros("ts").alias("tick"),
+            "metric",
+            "value",
+            F.lit(True).alias("closes"),
+            "start_replicas",
+            "low",
+            "high",
+        )
+    )
+    return fold_stream(rows, ["workload_id"], ["tick", "metric"], machine)
+
+
 def stall_stream(
     heartbeats: DataFrame,
     intervals: dict[str, float],
