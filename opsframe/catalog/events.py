@@ -126,6 +126,14 @@ ORACLES = {
 FROM bus_events e LEFT JOIN bus_offsets o ON o.topic = e.topic AND o."partition" = e."partition"
 WHERE e.status = 'pending' AND e.seq > coalesce(o.seq, 0) AND e.attempts_g1 < 5
 QUALIFY row_number() OVER (PARTITION BY e.topic, e."partition" ORDER BY e.seq) <= 10""",
+    # crc32 bit by bit over the characters of each distinct key.
+    "event_partition": """WITH RECURSIVE keys AS (SELECT DISTINCT CAST(user_id AS VARCHAR) AS key FROM events),
+bits AS (SELECT key, 0 AS i, CAST(4294967295 AS BIGINT) AS crc FROM keys
+ UNION ALL SELECT key, i + 1, CASE WHEN fed & 1 = 1 THEN xor(fed >> 1, CAST(3988292384 AS BIGINT)) ELSE fed >> 1 END
+ FROM (SELECT key, i, CASE WHEN i % 8 = 0 THEN xor(crc, CAST(ascii(substring(key, i // 8 + 1, 1)) AS BIGINT)) ELSE crc END AS fed
+  FROM bits WHERE i < 8 * length(key)) f)
+SELECT e.event_id AS id, b.key, xor(b.crc, CAST(4294967295 AS BIGINT)) % 4 AS "partition" FROM events e
+ JOIN bits b ON b.key = CAST(e.user_id AS VARCHAR) AND b.i = 8 * length(b.key)""",
     "assign_sequence": 'SELECT id, topic, "partition", seq FROM bus_events',
     "validate_event": """WITH raw AS (SELECT event_id AS id,
  CASE WHEN event_id % 31 = 0 THEN '' WHEN event_id % 37 = 0 THEN repeat('t', 129) ELSE event_type END AS topic,

@@ -20,9 +20,8 @@ from opsframe.streaming import stateful as st
 
 
 def event_stream(spark, d):
-    return (
-        spark.readStream.schema(TABLES["events"]).option("pathGlobFilter", "events.parquet").parquet(d)
-    )
+    # The pattern matches one name, be it a single file or a folder of files.
+    return spark.readStream.schema(TABLES["events"]).parquet(f"{d}/events.parque[t]")
 
 
 def refuse_tens(payload: str) -> None:

@@ -21,7 +21,7 @@ def slugify(text: Column) -> Column:
     )
 
 
-def _quoted(text: Column) -> Column:
+def json_quoted(text: Column) -> Column:
     """Quoted JSON string, taken out of a one-field object."""
     return F.regexp_extract(F.to_json(F.struct(text.alias("v"))), r"(?s)^\{\"v\":(.*)\}$", 1)
 
@@ -44,7 +44,7 @@ def escape_non_ascii(text: Column) -> Column:
 
 def json_string(text: Column) -> Column:
     """Quoted JSON string in plain ASCII."""
-    return escape_non_ascii(_quoted(text))
+    return escape_non_ascii(json_quoted(text))
 
 
 def task_key(intent: Column, capabilities: Column) -> Column:

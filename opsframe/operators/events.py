@@ -224,15 +224,18 @@ def ack_offsets(events: DataFrame, acks: DataFrame, max_attempts: int = 5) -> Da
         .filter(F.col("moved").isNotNull())
     )
     offsets = moves.groupBy(*keys).agg(F.max_by("seq", "moved").alias("offset"))
-    pending = states.filter(F.col("status") == "pending").select("topic", "partition", "seq")
-    stranded = (
-        offsets.join(pending, ["topic", "partition"])
-        .filter(F.col("seq") <= F.col("offset"))
-        .groupBy(*keys)
-        .agg(F.count("*").alias("stranded"))
+    # How many events are still pending up to each sequence number; an offset is the
+    # number of an event, so it finds its count by equality.
+    counted = ordered_columns(
+        states.select("topic", "partition", "seq", "status"),
+        ["topic", "partition"],
+        ["seq"],
+        running={"stranded": (F.col("status") == "pending").cast("bigint")},
+        sized_by=events,
     )
-    return offsets.join(stranded, keys, "left").select(
-        *keys, "offset", F.coalesce("stranded", F.lit(0)).alias("stranded")
+    upto = counted.select("topic", "partition", F.col("seq").alias("offset"), "stranded")
+    return offsets.join(upto, ["topic", "partition", "offset"], "left").select(
+        *keys, "offset", "stranded"
     )
 
 

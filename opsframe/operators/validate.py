@@ -1,6 +1,7 @@
 """Definition checks: raw rows in, defaults filled and an ``errors`` list out.
 
 The first error is the one a caller would see first; an empty list means valid.
+The error texts are fixed values that callers match on.
 """
 
 from __future__ import annotations

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from opsframe.functions.keys import json_quoted
 from opsframe.operators.ordered import ordered_columns
 
 
@@ -54,10 +55,6 @@ def quarantine_torn(
     return kept.get["n"], moved.get["n"]
 
 
-def _quoted(value: Column) -> Column:
-    return F.regexp_extract(F.to_json(F.struct(value.alias("v"))), r"(?s)^\{\"v\":(.*)\}$", 1)
-
-
 def record_lines(records: DataFrame, now: Column) -> DataFrame:
     """JSON line per record (kind, content, provenance), stamped with ``now`` in UTC."""
     seconds = F.date_format(now, "yyyy-MM-dd'T'HH:mm:ss")
@@ -69,13 +66,13 @@ def record_lines(records: DataFrame, now: Column) -> DataFrame:
     )
     entries = F.transform(
         F.array_sort(F.map_entries(F.coalesce("provenance", F.expr("map()").cast("map<string,string>")))),
-        lambda e: F.concat(_quoted(e["key"]), F.lit(": "), _quoted(e["value"])),
+        lambda e: F.concat(json_quoted(e["key"]), F.lit(": "), json_quoted(e["value"])),
     )
     line = F.concat(
         F.lit('{"content": '),
-        _quoted(F.col("content")),
+        json_quoted(F.col("content")),
         F.lit(', "kind": '),
-        _quoted(F.col("kind")),
+        json_quoted(F.col("kind")),
         F.lit(', "provenance": {'),
         F.array_join(entries, ", "),
         F.lit('}, "timestamp": "'),
