@@ -5,10 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opsframe.llm import chat, mixing, sharding
+from opsframe.llm import chat, mixing, neardup, sharding, toxicity
 from opsframe.llm.base import table
 
 
+def op2_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class of every document."""
+    classes = neardup.near_classes(table(spark, sf_dir, "documents"))
+    kept = F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("node") == F.col("keeper_node"))
+    return classes.select("doc_id", "class_id", "class_size", kept.alias("kept"))
+
+
 def op3_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's shard by virtual slots, sizes near equal in bytes."""
     rows, _ = sharding.shard_rows(table(spark, sf_dir, "documents"))
@@ -18,6 +25,17 @@ def op3_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_counterfactual(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of every document, by a model that saw no held-out label."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.scored(docs, model)
+    return scored.select(
+        "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score",
+        (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
 def op5_chat_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of all conversations, read back from their formatted text."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -45,7 +63,9 @@ def op8_sainte_lague(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_dart_minhash": op2_dart_minhash,
     "op3_virtual_slots": op3_virtual_slots,
+    "op4_counterfactual": op4_counterfactual,
     "op5_chat_machine": op5_chat_machine,
     "op8_sainte_lague": op8_sainte_lague,
 }
