@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opsframe.llm import chat, mixing, neardup, sharding, toxicity
+from opsframe.llm import chat, fingerprint, mixing, neardup, sharding, toxicity
 from opsframe.llm.base import table
 
 
@@ -62,12 +62,18 @@ def op8_sainte_lague(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
+def op10_improbable_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's digest beside that of its edited text and of the next document."""
+    return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_dart_minhash": op2_dart_minhash,
     "op3_virtual_slots": op3_virtual_slots,
     "op4_counterfactual": op4_counterfactual,
     "op5_chat_machine": op5_chat_machine,
     "op8_sainte_lague": op8_sainte_lague,
+    "op10_improbable_features": op10_improbable_features,
 }
 
 ORACLES: dict[str, str] = {}

@@ -23,9 +23,10 @@ from opsframe.llm.base import quoted
 
 #: Labelled rows that a fit may use; more are sampled by a hash of their id.
 MAX_TRAIN = 16_000
-#: Features kept by how far their share of toxic texts is from the mean.
-MAX_FEATURES = 8_192
+#: Features kept: those whose number of toxic texts is this many standard deviations from what chance gives.
+MIN_DEVIATIONS = 4.0
 MIN_TEXTS = 4
+MAX_FEATURES = 8_192
 THRESHOLD = 0.3
 PREFIXES = (3, 4, 5, 6)
 #: Names of groups, each list swapped within itself; pass others for other languages or needs.
@@ -163,7 +164,7 @@ def _flat(lists: list) -> tuple[np.ndarray, np.ndarray]:
 
 def fit_weights(
     label: np.ndarray, own: list, lost: list, gained: list, width: int,
-    ridge: float = 2e-5, counterfactual: float = 2.0, rounds: int = 400, rate: float = 0.1,
+    ridge: float = 1e-5, counterfactual: float = 2.0, rounds: int = 400, rate: float = 0.1,
 ) -> tuple[np.ndarray, float]:
     """Minimise log loss + ridge * |w|^2 + counterfactual * mean (score(x) - score(twin))^2, by Adam."""
     n = len(label)
@@ -196,7 +197,7 @@ def fit(
     share = rows.agg(F.avg("label")).first()[0] or 0.0
     mean = F.col("n") * F.lit(share)
     far = F.abs(F.col("toxic") - mean) / F.sqrt(mean * (1 - F.lit(share)) + 1e-9)
-    top = counts.filter(F.col("n") >= MIN_TEXTS).orderBy(F.desc(far), "feature").limit(MAX_FEATURES).collect()
+    top = counts.filter((F.col("n") >= MIN_TEXTS) & (far >= MIN_DEVIATIONS)).orderBy(F.desc(far), "feature").limit(MAX_FEATURES).collect()
     chosen = {r["feature"]: i for i, r in enumerate(top)}
     seen = _vectors(rows, chosen, groups).toPandas()
     w, b = fit_weights(
