@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opsframe.llm import chat, fingerprint, mixing, neardup, sharding, toxicity
+from opsframe.llm import chat, decontaminate, fingerprint, mixing, neardup, sharding, toxicity
 from opsframe.llm.base import table
 
 
@@ -56,6 +56,11 @@ def op5_chat_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that holds a benchmark item, with the item."""
+    return decontaminate.leak_pairs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_sainte_lague(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the mix takes of every document."""
     mixed, _ = mixing.plan_mix(table(spark, sf_dir, "documents"))
@@ -72,6 +77,7 @@ QUERIES = {
     "op3_virtual_slots": op3_virtual_slots,
     "op4_counterfactual": op4_counterfactual,
     "op5_chat_machine": op5_chat_machine,
+    "op7_templates": op7_templates,
     "op8_sainte_lague": op8_sainte_lague,
     "op10_improbable_features": op10_improbable_features,
 }
