@@ -21,107 +21,128 @@ from opsframe.llm.base import fresh, quoted
 from opsframe.llm.shingles import WORDS, mix, repeats, shingles, weighted_jaccard
 from opsframe.session import scratch_folder
 
-BANDS = 20
-ROWS = 6
+COORDINATES = 128
+BAND_ROWS = 8
+#: Every ordering of the coordinates gives COORDINATES / BAND_ROWS bands.
+ORDERINGS = 2
 SIMILARITY = 0.8
-#: Rounds in which each bucket compares its texts with one leader, before what is left is compared directly.
-LEADER_ROUNDS = 3
+#: A pair is not looked at more closely if its signatures agree by this much less than asked: 4.5 deviations.
+SLACK = 0.16
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _arrivals(cells: np.ndarray, start: np.ndarray, first: int, count: int) -> tuple[np.ndarray, np.ndarray]:
-    """Darts ``first`` to ``first + count`` of each cell: their hashes and times after ``start``."""
-    darts = mix(cells[:, None] + np.arange(first + 1, first + count + 1, dtype=np.uint64)[None, :] * _STEP)
-    gaps = -np.log1p(-((darts >> np.uint64(11)).astype(np.float64) * 2.0**-53))
-    return darts, start[:, None] + np.cumsum(gaps, axis=1)
+def signatures(elements: np.ndarray, weights: np.ndarray, texts: np.ndarray, count: int, k: int) -> np.ndarray:
+    """The earliest dart on each of ``k`` coordinates, as hashes, for ``count`` texts at once.
 
-
-def dart_minhash(elements: np.ndarray, weights: np.ndarray, k: int) -> np.ndarray | None:
-    """The earliest dart on each of ``k`` coordinates, as hashes; None without weight.
-
-    ``weights`` are positive reals: a dart of the last, partial unit of an element counts only if it
-    falls below the weight.
+    Element i with weight ``weights[i]`` > 0 belongs to text ``texts[i]``; every text must have one.
+    Weights may be any positive reals: a dart of the last, partial unit of an element
+    counts only if it falls below the weight.
     """
-    total = float(weights.sum())
-    if total <= 0:
-        return None
     units = np.ceil(weights).astype(np.int64)
     owner = np.repeat(np.arange(len(elements)), units)
     unit = np.arange(len(owner)) - np.repeat(np.cumsum(units) - units, units)
     cells = mix(elements[owner] + unit.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))
-    room = weights[owner] - unit
-    until = (k * np.log(k) + 2 * k) / total
-    while True:
-        darts, times = _arrivals(cells, np.zeros(len(cells)), 0, 1)
-        live = np.flatnonzero(times[:, 0] < until)
-        found = [(darts[live, 0], times[live, 0], live)]
-        at, begun = 1, times[live, 0]
+    room, home = weights[owner] - unit, texts[owner]
+    until = (k * np.log(k) + 2 * k) / np.bincount(texts, weights, count)
+    out = np.zeros(count * k, np.uint64)
+    open_ = np.ones(count, bool)
+    while open_.any():
+        live = np.flatnonzero(open_[home])
+        clock, turn, found = np.zeros(len(live)), 0, []
         while len(live):
-            more = int(until + 4 * np.sqrt(until)) + 2
-            darts, times = _arrivals(cells[live], begun, at, more)
-            inside = times < until
-            found.append((darts[inside], times[inside], np.broadcast_to(live[:, None], times.shape)[inside]))
-            on = inside[:, -1]
-            live, begun, at = live[on], times[on, -1], at + more
+            turn += 1
+            dart = mix(cells[live] + np.uint64(turn) * _STEP)
+            clock = clock - np.log1p(-((dart >> np.uint64(11)).astype(np.float64) * 2.0**-53))
+            inside = clock < until[home[live]]
+            live, clock = live[inside], clock[inside]
+            found.append((dart[inside], clock, live))
         dart, time, cell = (np.concatenate(x) for x in zip(*found, strict=True))
-        height = (mix(dart ^ _STEP) >> np.uint64(11)).astype(np.float64) * 2.0**-53
-        hit = height < room[cell]
-        dart, time = dart[hit], time[hit]
-        coordinate = (mix(dart) % np.uint64(k)).astype(np.int64)
-        order = np.argsort(time, kind="stable")
-        seen, where = np.unique(coordinate[order], return_index=True)
-        if len(seen) == k:
-            return dart[order[where]]
-        until *= 2
-
-
-def band_keys(text: str | None, bands: int = BANDS, rows: int = ROWS, words: int = WORDS) -> list[int] | None:
-    """One hash per band of the text's signature; None if it has no words."""
-    runs = shingles(text, words)
-    if not len(runs):
-        return None
-    before = repeats(runs)
-    last = np.flatnonzero(np.concatenate((runs[1:] != runs[:-1], [True])))
-    signature = dart_minhash(runs[last], (before[last] + 1).astype(np.float64), bands * rows).reshape(bands, rows)
-    out = np.zeros(bands, np.uint64)
-    for row in range(rows):
-        out = mix(out + signature[:, row])
-    return mix(out + np.arange(bands, dtype=np.uint64)).view(np.int64).tolist()
+        scattered = mix(dart ^ _STEP)
+        hit = (scattered >> np.uint64(11)).astype(np.float64) * 2.0**-53 < room[cell]
+        dart, time, cell = dart[hit], time[hit], cell[hit]
+        place = home[cell] * k + (mix(scattered[hit]) % np.uint64(k)).astype(np.int64)
+        best = np.full(count * k, np.inf)
+        np.minimum.at(best, place, time)
+        first = time == best[place]
+        out[place[first]] = dart[first]
+        open_ &= np.isinf(best.reshape(count, k)).any(axis=1)
+        until = until * 2
+    return out.reshape(count, k)
+
+
+def band_layout(k: int = COORDINATES, rows: int = BAND_ROWS, orderings: int = ORDERINGS) -> np.ndarray:
+    """Coordinates of each band: the coordinates in several fixed orders, each cut into bands."""
+    rng = np.random.default_rng(7)
+    return np.concatenate([rng.permutation(k)[: k // rows * rows].reshape(-1, rows) for _ in range(orderings)])
+
+
+def sign_texts(bodies: list[str | None], words: int, k: int, layout: np.ndarray) -> list[tuple[list[int], bytes] | None]:
+    """(hash per band, 16 bits per coordinate) of each text; None for a text without words."""
+    runs = [shingles(b, words) for b in bodies]
+    full = [i for i, r in enumerate(runs) if len(r)]
+    out: list = [None] * len(bodies)
+    if not full:
+        return out
+    parts = []
+    for place, i in enumerate(full):
+        last = np.flatnonzero(np.concatenate((runs[i][1:] != runs[i][:-1], [True])))
+        count = np.diff(np.concatenate(([-1], last)))
+        parts.append((runs[i][last], count.astype(np.float64), np.full(len(last), place)))
+    signed = signatures(*(np.concatenate(x) for x in zip(*parts, strict=True)), len(full), k)
+    bands = np.zeros((len(full), len(layout)), np.uint64)
+    for row in range(layout.shape[1]):
+        bands = mix(bands + signed[:, layout[:, row]])
+    bands = mix(bands + np.arange(len(layout), dtype=np.uint64)).view(np.int64)
+    sketch = (signed >> np.uint64(48)).astype("<u2")
+    for place, i in enumerate(full):
+        out[i] = (bands[place].tolist(), sketch[place].tobytes())
+    return out
 
 
 def text_key(text: Column) -> Column:
-    return F.md5(F.coalesce(text, F.lit("")))
+    return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
 
 
 def _kept(df: DataFrame, name: str) -> DataFrame:
-    """Write a narrow step to the shared folder and go on from the files."""
+    """Write a step to the shared folder and go on from the files."""
     folder = scratch_folder(df.sparkSession, name)
     df.write.parquet(folder)
     return df.sparkSession.read.parquet(folder)
 
 
-def _signatures(texts: DataFrame, bands: int, rows: int, words: int) -> DataFrame:
+def _signed(texts: DataFrame, words: int, k: int) -> DataFrame:
+    layout = band_layout(k)
+
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({
-                "doc_id": batch["doc_id"], "node": batch["node"],
-                "bands": [band_keys(t, bands, rows, words) for t in batch["text"]],
-            })
+            size = batch["text"].str.len().fillna(0).cumsum()
+            for _, part in batch.groupby((size // 200_000).to_numpy()):  # bounded memory, few numpy calls
+                signed = sign_texts(list(part["text"]), words, k, layout)
+                yield pd.DataFrame({
+                    "doc_id": part["doc_id"].to_numpy(), "node": part["node"].to_numpy(),
+                    "bands": [s and s[0] for s in signed], "sketch": [s and s[1] for s in signed],
+                })
 
     kind = texts.schema["doc_id"].dataType.simpleString()
-    return texts.mapInPandas(sign, f"doc_id {kind}, node string, bands array<long>")
+    return texts.mapInPandas(sign, f"doc_id {kind}, node binary, bands array<long>, sketch binary")
+
+
+def _alike(pairs: DataFrame, sketches: DataFrame, bodies: DataFrame, similarity: float, words: int, k: int) -> DataFrame:
+    """Those pairs (a, b) of texts whose weighted Jaccard similarity is high enough, checked on whole texts.
 
+    Signatures are compared first, so that few texts are sent.
+    """
+    side = lambda df, node, value, name: df.select(F.col("node").alias(node), F.col(value).alias(name))
 
-def _checked(pairs: DataFrame, texts: DataFrame, similarity: float, words: int) -> DataFrame:
-    """Those pairs (a, b) of texts whose weighted Jaccard similarity is high enough."""
-    named = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    bodies = texts.join(named, "node", "left_semi").groupBy("node").agg(F.min("text").alias("text"))
-    bodies = _kept(bodies, "bodies")
+    def agree(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch[c]), "<u2").reshape(-1, k) for c in ("sa", "sb"))
+            yield batch.loc[(x == y).mean(axis=1) >= similarity - SLACK, ["a", "b"]]
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: dict[str, np.ndarray] = {}
+        seen: dict[bytes, np.ndarray] = {}
 
-        def runs(node: str, text: str) -> np.ndarray:
+        def runs(node: bytes, text: str) -> np.ndarray:
             if node not in seen:
                 if len(seen) >= 64:
                     seen.clear()
@@ -135,9 +156,10 @@ def _checked(pairs: DataFrame, texts: DataFrame, similarity: float, words: int)
             ]
             yield batch.loc[good, ["a", "b"]]
 
-    with_a = pairs.join(bodies.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
-    both = with_a.join(bodies.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
-    return both.select("a", "b", "ta", "tb").mapInPandas(compare, "a string, b string")
+    sketched = pairs.join(side(sketches, "a", "sketch", "sa"), "a").join(side(sketches, "b", "sketch", "sb"), "b")
+    near = sketched.select("a", "b", "sa", "sb").mapInPandas(agree, "a binary, b binary")
+    both = near.join(side(bodies, "a", "text", "ta"), "a").join(side(bodies, "b", "text", "tb"), "b")
+    return both.select("a", "b", "ta", "tb").mapInPandas(compare, "a binary, b binary")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -167,32 +189,38 @@ def components(links: DataFrame) -> DataFrame:
 
 def near_classes(
     docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY,
-    words: int = WORDS, bands: int = BANDS, rows: int = ROWS,
+    words: int = WORDS, k: int = COORDINATES,
 ) -> DataFrame:
-    """One row per document: doc_id, node (its text's digest), class_id, class_size, keeper (node, id).
+    """One row per document: doc_id, node (its text's digest), class_id, class_size, keeper_node.
 
-    ``class_id`` is the least doc_id of the class, ``keeper_node`` the digest of the text
-    under that id.  Equal texts are one node, so copies are never paired with each other.  A null text counts
+    ``class_id`` is the least doc_id of the class, ``keeper_node`` the digest of a text under that
+    id.  Equal texts are one node, so copies are never paired with each other.  A null text counts
     as an empty one; texts without words are in a class with their equals only; texts shorter
     than a shingle are compared as one run of words.  Repeated rows and null ids (counted last) each keep a row.
     An empty table gives no rows.  Other columns are not looked at.
 
-    Candidates share a band.  In each bucket all texts are compared with one leader, in several rounds with
-    different leaders; then every text outside a bucket's largest class is compared with all
-    texts of other classes there, so no pair that shares a bucket is left out.
+    Candidates share a band.  In each bucket every text is compared with two leaders, one that most buckets
+    of a group agree on and one of the bucket's own.  Then every text outside a bucket's largest class is
+    compared with all texts of other classes there, so no pair that shares a bucket is left out.
     """
     texts = docs.select(quoted(key).alias("doc_id"), text_key(quoted(text)).alias("node"), quoted(text).alias("text"))
-    signed = _kept(_signatures(texts, bands, rows, words), "signatures")
-    nodes = signed.filter("bands is not null").groupBy("node").agg(F.first("bands").alias("bands"))
-    members = nodes.select("node", F.posexplode("bands").alias("band", "hash"))
-    shared = members.groupBy("band", "hash").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
-    members = _kept(members.join(shared, ["band", "hash"]), "members")
-    if not members.limit(1).count():
-        labels = nodes.select("node", F.col("node").alias("label")).limit(0)
-    else:
-        labels = _linked(members, texts, similarity, words)
+    signed = _kept(_signed(texts, words, k), "signed")
     per_text = signed.groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
-    labelled = per_text.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    sketches = _kept(
+        signed.filter("sketch is not null").groupBy("node").agg(F.first("sketch").alias("sketch"), F.first("bands").alias("bands")),
+        "sketches",
+    )
+    every = sketches.select("node", F.posexplode("bands").alias("band", "hash"))
+    common, own = F.struct(F.xxhash64("node"), "node"), F.struct(F.xxhash64("node", "band"), "node")
+    shared = every.groupBy("band", "hash").agg(
+        F.count("*").alias("n"), F.min(common)["node"].alias("common"), F.min(own)["node"].alias("own")
+    ).filter("n > 1").drop("n")
+    members = _kept(every.join(shared, ["band", "hash"]), "members")
+    labelled = per_text.withColumn("label", F.col("node"))
+    if not members.isEmpty():
+        labels = _linked(members, sketches.drop("bands"), texts, per_text, similarity, words, k)
+        if labels is not None:
+            labelled = per_text.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     heads = labelled.groupBy("label").agg(
         F.min("least").alias("class_id"), F.sum("n").alias("class_size"),
         F.min(F.struct(F.col("least").isNull(), "least", "node"))["node"].alias("keeper_node"),
@@ -203,35 +231,32 @@ def near_classes(
     )
 
 
-def _linked(members: DataFrame, texts: DataFrame, similarity: float, words: int) -> DataFrame:
-    links, labels = None, None
-    for turn in range(LEADER_ROUNDS + 1):
-        now = members
-        if labels is not None:
-            now = members.join(labels, "node", "left")
-            now = now.withColumn("label", F.coalesce("label", "node"))
-        else:
-            now = now.withColumn("label", F.col("node"))
-        if turn < LEADER_ROUNDS:
-            # one leader for the whole text set at first, so buckets name the same pairs; then one per bucket
-            order = F.struct(F.xxhash64("node", F.lit(turn), "band") if turn else F.xxhash64("node"), "node", "label")
-            leader = now.groupBy("band", "hash").agg(F.min(order).alias("leader"))
-            other = now.join(leader, ["band", "hash"]).filter("label != leader.label")
-            pairs = other.select(F.col("leader.node").alias("a"), F.col("node").alias("b"))
-        else:
-            sizes = now.groupBy("band", "hash", "label").agg(F.count("*").alias("n"))
-            main = sizes.groupBy("band", "hash").agg(F.max(F.struct("n", "label"))["label"].alias("main"), F.count("*").alias("classes"))
-            open_ = now.join(main.filter("classes > 1").drop("classes"), ["band", "hash"])
-            rest = open_.filter("label != main").select("band", "hash", F.col("node").alias("b"), F.col("label").alias("lb"))
-            pairs = open_.join(rest, ["band", "hash"]).filter("label != lb").select(F.col("node").alias("a"), "b")
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        pairs = _kept(pairs, "pairs")
-        if not pairs.limit(1).count():
-            break
-        found = _kept(_checked(pairs, texts, similarity, words), "found")
-        links = found if links is None else _kept(links.union(found), "links")
-        labels = components(links)
-    return labels
+def _linked(
+    members: DataFrame, sketches: DataFrame, texts: DataFrame, per_text: DataFrame, similarity: float, words: int, k: int
+) -> DataFrame | None:
+    """(node, label) of all texts that are linked to another; None if there are none."""
+    named = members.select("node").distinct().join(per_text, "node").select("node", "least")
+    one = texts.join(
+        named.withColumnsRenamed({"node": "_node", "least": "_least"}),
+        (F.col("node") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("_least")), "left_semi",
+    )
+    bodies = _kept(one.groupBy("node").agg(F.first("text").alias("text")), "bodies")
+    pick = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+    led = members.select("node", F.explode(F.array("common", "own")).alias("leader")).filter("node != leader")
+    links = _kept(_alike(led.select(*pick("node", "leader")).distinct(), sketches, bodies, similarity, words, k), "links")
+    labels = components(links) if not links.isEmpty() else None
+    now = members.select("band", "hash", "node").withColumn("label", F.col("node"))
+    if labels is not None:
+        now = members.select("band", "hash", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    sizes = now.groupBy("band", "hash", "label").agg(F.count("*").alias("n"))
+    main = sizes.groupBy("band", "hash").agg(F.max(F.struct("n", "label"))["label"].alias("main"), F.count("*").alias("classes"))
+    open_ = now.join(main.filter("classes > 1").drop("classes"), ["band", "hash"])
+    rest = open_.filter("label != main").select("band", "hash", F.col("node").alias("other"), F.col("label").alias("other_label"))
+    pairs = open_.join(rest, ["band", "hash"]).filter("label != other_label").select(*pick("node", "other")).distinct()
+    more = _kept(_alike(pairs, sketches, bodies, similarity, words, k), "more")
+    if more.isEmpty():
+        return labels
+    return components(links.union(more))
 
 
 def one_per_class(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opsframe.llm import chat, decontaminate, fingerprint, mixing, neardup, sharding, toxicity
+from opsframe.llm import chat, decontaminate, fingerprint, lmscore, mixing, neardup, sharding, toxicity
 from opsframe.llm.base import table
 
 
@@ -67,6 +67,13 @@ def op8_sainte_lague(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
+def op9_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document scored by a model of the documents labelled as good against one of all documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    good = table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id").distinct()
+    return lmscore.cross_entropy_difference(docs, docs.join(good, "doc_id", "left_semi"))
+
+
 def op10_improbable_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's digest beside that of its edited text and of the next document."""
     return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
@@ -79,6 +86,7 @@ QUERIES = {
     "op5_chat_machine": op5_chat_machine,
     "op7_templates": op7_templates,
     "op8_sainte_lague": op8_sainte_lague,
+    "op9_entropy_difference": op9_entropy_difference,
     "op10_improbable_features": op10_improbable_features,
 }
 

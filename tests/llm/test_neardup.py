@@ -3,7 +3,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 
-from opsframe.llm.neardup import components, dart_minhash, near_classes, one_per_class
+from opsframe.llm.neardup import components, near_classes, one_per_class, signatures
 from opsframe.llm.shingles import mix, words_of
 
 DOCS = "doc_id long, text string, node string, label int"
@@ -73,11 +73,13 @@ def test_agreement_estimates_similarity():
     for _ in range(60):
         ids = mix(rng.integers(1, 2**62, 300).astype(np.uint64))
         wa, wb = rng.uniform(0.1, 3, 300), rng.uniform(0.1, 3, 300)
-        a, b = dart_minhash(ids[:250], wa[:250], 128), dart_minhash(ids[50:], wb[50:], 128)
+        both = np.concatenate((ids[:250], ids[50:])), np.concatenate((wa[:250], wb[50:]))
+        a, b = signatures(*both, np.repeat([0, 1], 250), 2, 128)
         full_a, full_b = np.r_[wa[:250], np.zeros(50)], np.r_[np.zeros(50), wb[50:]]
         close.append((a == b).mean() - np.minimum(full_a, full_b).sum() / np.maximum(full_a, full_b).sum())
     assert abs(np.mean(close)) < 0.015 and np.std(close) < 0.06
-    assert dart_minhash(np.empty(0, np.uint64), np.empty(0), 16) is None
+    tiny = signatures(ids[:2], np.array([0.3, 40.0]), np.array([0, 1]), 2, 16)
+    assert tiny.all() and (tiny[0] != tiny[1]).all()
 
 
 def test_components_of_a_long_chain(spark):
