@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opsframe.llm import chat, decontaminate, fingerprint, lmscore, mixing, neardup, sharding, toxicity
+from opsframe.llm import chat, decontaminate, extract, fingerprint, lmscore, mixing, neardup, sharding, toxicity
 from opsframe.llm.base import table
 
 
+def op1_boosted_dom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    pages = table(spark, sf_dir, "pages")
+    return extract.extract(pages, extract.fit(pages))
+
+
 def op2_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate class of every document."""
     classes = neardup.near_classes(table(spark, sf_dir, "documents"))
@@ -80,6 +86,7 @@ def op10_improbable_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_boosted_dom": op1_boosted_dom,
     "op2_dart_minhash": op2_dart_minhash,
     "op3_virtual_slots": op3_virtual_slots,
     "op4_counterfactual": op4_counterfactual,
