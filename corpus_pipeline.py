@@ -4,11 +4,33 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from opsframe.llm import mixing, sharding
+from opsframe.llm import decontaminate, mixing, neardup, sharding, toxicity
 from opsframe.llm.base import DOCUMENT, table
 from opsframe.session import scratch_folder, ship_package
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity classifier does not reject.
+
+    It learns from the labels of these very documents, but for the held-out quarter.
+    """
+    ship_package(spark)
+    docs = docs.select(*DOCUMENT)
+    return toxicity.clean(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate class."""
+    ship_package(spark)
+    return neardup.one_per_class(docs.select(*DOCUMENT))
+
+
+def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item, its values exchanged or not."""
+    ship_package(spark)
+    return decontaminate.without_leaks(docs.select(*DOCUMENT), table(spark, sf_dir, "benchmark"))
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix of sources takes it."""
     return mixing.repeats(docs.select(*DOCUMENT))
@@ -21,6 +43,9 @@ def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("drop_toxic", drop_toxic),
+    ("drop_near_duplicates", drop_near_duplicates),
+    ("drop_benchmark_leaks", drop_benchmark_leaks),
     ("mix_sources", mix_sources),
     ("shard", shard),
 ]

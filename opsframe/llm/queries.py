@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opsframe.llm import chat, decontaminate, extract, fingerprint, lmscore, mixing, neardup, sharding, toxicity
+from opsframe.llm import chat, decontaminate, extract, fingerprint, lmscore, mixing, neardup, secretscan, sharding, toxicity
 from opsframe.llm.base import table
 
 
@@ -62,6 +62,12 @@ def op5_chat_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every candidate secret of the documents with what the forest makes of it."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return secretscan.scan(docs, secretscan.fit(secretscan.labelled_findings(docs)))
+
+
 def op7_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document that holds a benchmark item, with the item."""
     return decontaminate.leak_pairs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -91,6 +97,7 @@ QUERIES = {
     "op3_virtual_slots": op3_virtual_slots,
     "op4_counterfactual": op4_counterfactual,
     "op5_chat_machine": op5_chat_machine,
+    "op6_forest": op6_forest,
     "op7_templates": op7_templates,
     "op8_sainte_lague": op8_sainte_lague,
     "op9_entropy_difference": op9_entropy_difference,

@@ -1,0 +1,50 @@
+import hashlib
+import re
+
+from pyspark.sql import functions as F
+
+from opsframe.llm import secretscan as ss
+from opsframe.llm.queries import QUERIES
+
+DOCS = "doc_id long, text string, source string, candidate int, label string"
+
+
+def test_candidates_are_placed(spark):
+    texts = ['x token = "abcdef0123456789abcd" y', "é𝄞 password=Tr0ub4dor&3 and 1234567890123 end", "plain words only", None, "", "a1" * 20_000]
+    docs = spark.createDataFrame([(i, t, None, 1, "") for i, t in enumerate(texts)] + [(1, texts[1], None, 1, "")], DOCS)
+    got = ss.candidates(docs).collect()
+    assert sorted((r["doc_id"], r["candidate"][:30]) for r in got) == [
+        (0, "abcdef0123456789abcd"), (1, "1234567890123"), (1, "1234567890123"), (1, "Tr0ub4dor&3"), (1, "Tr0ub4dor&3"), (5, "a1" * 15),
+    ]
+    for r in got:
+        text = texts[r["doc_id"]]
+        assert text[r["start"] : r["start"] + len(r["candidate"])] == r["candidate"]
+        assert text[: r["start"]].endswith(r["before"]) and text[r["start"] + len(r["candidate"]) :].startswith(r["after"])
+    assert ss.scan(docs.limit(0), None).count() == 0 and ss.scan(docs, None).filter("is_secret").count() == 0
+
+
+def test_held_out_findings(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labelled = ss.labelled_findings(docs).withColumn("part", F.pmod(F.xxhash64("before"), F.lit(4)))
+    model = ss.fit(labelled.filter("part > 0").drop("part"))
+    out = model.transform(ss.VectorAssembler(inputCols=ss.FEATURES, outputCol="features").transform(ss.with_features(labelled.filter("part = 0"))))
+    right = out.agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0]
+    assert right > 0.97, right
+    assert ss.fit(labelled.limit(0)) is None
+
+
+def test_query_on_the_documents(spark):
+    """Assigned tokens are found, card numbers are not; every finding is where it says."""
+    sf = "/root/testdata/sf0.01"
+    got = {(r["doc_id"], r["start"]): r for r in QUERIES["op6_forest"](spark, sf).collect()}
+    tokens = cards = hits = false = 0
+    for d in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        for m in re.finditer(r'token = "([0-9a-f]{40})"', d["text"]):
+            tokens += 1
+            r = got[d["doc_id"], m.start(1)]
+            hits += r["is_secret"]
+            assert r["digest"] == hashlib.sha256(m[1].encode()).hexdigest()
+        for m in re.finditer(r"(?<![\w+/-])\d{16}(?![\w+/-])", d["text"]):
+            cards += 1
+            false += got[d["doc_id"], m.start()]["is_secret"]
+    assert tokens and hits >= 0.98 * tokens and cards and false <= 0.02 * cards
