@@ -25,6 +25,8 @@ PAIRS = 1 << 20
 BACKOFF = 5.0
 SMOOTHING = 0.5
 _FLUSH = 2_000_000
+#: Cells that are sent to the driver as one row.
+_BLOCK = 1 << 13
 
 
 def token_ids(text: str | None) -> np.ndarray:
@@ -79,13 +81,18 @@ class Bigrams:
     @staticmethod
     def of(counts: DataFrame) -> Bigrams:
         """The counts brought together: at most 2 * VOCABULARY + PAIRS numbers, whatever the corpus."""
-        got = counts.toPandas()
-        total = np.zeros(2 * VOCABULARY + PAIRS)
-        total[got["cell"].to_numpy(np.int64)] = got["n"].to_numpy(float)
-        return Bigrams(
-            total[:VOCABULARY].astype(np.float32), total[VOCABULARY : VOCABULARY + PAIRS].astype(np.float32),
-            total[VOCABULARY + PAIRS :].astype(np.float32),
-        )
+
+        def pack(part: pd.DataFrame) -> pd.DataFrame:
+            block = int(part["cell"].iloc[0]) // _BLOCK
+            filled = np.zeros(_BLOCK, np.float32)
+            filled[part["cell"].to_numpy() % _BLOCK] = part["n"]
+            return pd.DataFrame({"block": [block], "packed": [filled.tobytes()]})
+
+        blocks = counts.groupBy(F.floor(F.col("cell") / _BLOCK)).applyInPandas(pack, "block int, packed binary")
+        total = np.zeros(2 * VOCABULARY + PAIRS, np.float32)
+        for row in blocks.collect():
+            total[row["block"] * _BLOCK : (row["block"] + 1) * _BLOCK] = np.frombuffer(row["packed"], np.float32)
+        return Bigrams(*np.split(total, [VOCABULARY, VOCABULARY + PAIRS]))
 
     def losses(self, ids: np.ndarray, cells: np.ndarray, whole: float) -> np.ndarray:
         """Nats per token; ``whole`` is the number of tokens the model counted."""
