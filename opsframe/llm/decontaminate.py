@@ -8,6 +8,7 @@ must be consistent: one benchmark value stands for one value in the document, al
 from __future__ import annotations
 
 import re
+import string
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 
 from opsframe.llm.base import fresh, quoted
 from opsframe.llm.shingles import mix, multiplier
+from opsframe.session import scratch_folder
 
 WINDOW = 8
 #: Words of a window that must stand as they are, not as placeholders.
@@ -29,8 +31,8 @@ FILTER_BITS = 1 << 23
 # Words that count as numbers and as units.
 NUMBER_WORDS = frozenset("zero one two three four five six seven eight nine ten eleven twelve twenty thirty forty fifty hundred thousand million half".split())
 UNITS = frozenset("mm cm m km kg g mg lb lbs oz l ml inch inches feet foot ft mile miles meter meters metre metres second seconds minute minutes hour hours day days week weeks month months year years dollar dollars euro euros cent cents percent usd eur mph kmh litre litres liter liters gram grams kilogram kilograms degrees".split())
-_NUMBER = re.compile(r"[+-]?\d[\d.,:/]*%?")
-_EDGE = re.compile(r"^[^\w$€£%+-]+|[^\w%]+$")
+_NUMBER = re.compile(r"\d[\d.,:/]*")
+_MARKS = string.punctuation + "“”„‘’«»…–—¿¡€£·"
 WORD, NUMBER, UNIT, NAME = 0, 1, 2, 3
 _PLACE = mix(np.arange(1, 5, dtype=np.uint64))
 
@@ -42,45 +44,40 @@ class Tokens(dict):
 
     def __init__(self):
         super().__init__()
-        self._begin()
-
-    def _begin(self):
-        self.clear()
-        self.hash: list[int] = []
-        self.kind: list[int] = []
-        self.titled: list[bool] = []
-        self.ends: list[bool] = []
-        self.columns = None
+        self.hash = np.zeros(1 << 16, np.uint64)
+        self.kind = np.zeros(1 << 16, np.int8)
+        self.titled = np.zeros(1 << 16, bool)
+        self.ends = np.zeros(1 << 16, bool)
 
     def __missing__(self, raw: str) -> int:
-        word = _EDGE.sub("", raw)
+        word = raw if raw.isalnum() else raw.strip(_MARKS)
+        low = word.lower()
         kind = WORD
-        if not word or not any(c.isalnum() for c in word):
+        if word.isalpha():
+            kind = NUMBER if low in NUMBER_WORDS else UNIT if low in UNITS else WORD
+        elif not any(c.isalnum() for c in word):
             kind = -1  # marks only
-        elif _NUMBER.fullmatch(word.lstrip("$€£")) or word.lower() in NUMBER_WORDS:
+        elif _NUMBER.fullmatch(word):
             kind = NUMBER
-        elif word.lower() in UNITS:
-            kind = UNIT
-        place = self[raw] = len(self.hash)
-        self.hash.append(xxhash.xxh3_64_intdigest(word.lower()))
-        self.kind.append(kind)
-        self.titled.append(len(word) > 1 and word[0].isupper() and word[1:].islower())
-        self.ends.append(raw.rstrip("\"')]").endswith((".", "!", "?", ":")))
-        self.columns = None
+        place = len(self)
+        if place == len(self.hash):
+            for name in ("hash", "kind", "titled", "ends"):
+                column = getattr(self, name)
+                setattr(self, name, np.concatenate((column, np.zeros_like(column))))
+        self[raw] = place
+        self.hash[place] = xxhash.xxh3_64_intdigest(low)
+        self.kind[place] = kind
+        self.titled[place] = len(word) > 1 and word[0].isupper() and word[1:].islower()
+        self.ends[place] = raw.rstrip("\"')]").endswith((".", "!", "?", ":"))
         return place
 
     def of(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(canonical hash, own hash, kind) of each token of the text."""
         raw = text.split()
-        if len(self.hash) > self.LIMIT:
-            self._begin()
+        if len(self) > self.LIMIT:
+            self.clear()
         at = np.fromiter(map(self.__getitem__, raw), np.int64, len(raw))
-        if self.columns is None:
-            self.columns = (
-                np.array(self.hash, np.uint64), np.array(self.kind, np.int8),
-                np.array(self.titled, bool), np.array(self.ends, bool),
-            )
-        own, kind, titled, ends = (c[at] for c in self.columns)
+        own, kind, titled, ends = self.hash[at], self.kind[at], self.titled[at], self.ends[at]
         real = kind >= 0
         own, kind, titled, ends = own[real], kind[real].copy(), titled[real], ends[real]
         if len(own):
@@ -189,6 +186,9 @@ def leaks(docs: DataFrame, items: DataFrame, carry: list[str], text: str = "text
     sound = pairs.filter(functional).withColumn("changed", F.exists("exchange", lambda e: e["was"] != e["now"]))
     keys = [*carry, "item_id"]
     per_window = sound.groupBy(*keys, "need", "place").agg(F.min("changed").alias("changed"), F.min(F.struct("changed", "exchange"))["exchange"].alias("exchange"))
+    folder = scratch_folder(docs.sparkSession, "windows")  # used twice below
+    per_window.write.parquet(folder)
+    per_window = docs.sparkSession.read.parquet(folder)
     values = per_window.select(*keys, F.explode("exchange").alias("e")).select(*keys, "e.was", "e.now")
     votes = values.groupBy(*keys, "was", "now").agg(F.count("*").alias("n"))
     best = votes.groupBy(*keys, "was").agg(F.max(F.struct("n", "now"))["now"].alias("now"))
