@@ -117,7 +117,7 @@ def list_nodes(spark, d):
 
 
 def audit_tail(spark, d):
-    return ct.audit_tail(fx.audit(spark, d), limit=250).select("id", "actor", "action")
+    return ct.audit_tail(fx.audit(spark, d), limit=2_500).select("id", "actor", "action")
 
 
 def audit_retention(spark, d):
@@ -263,7 +263,7 @@ walk AS (SELECT DISTINCT name, CAST(0 AS BIGINT) AS n, CAST(-1 AS BIGINT) AS id,
 SELECT id, allowed, CASE WHEN open THEN 'open' ELSE 'closed' END AS state FROM walk WHERE n > 0""",
     "list_entities": "SELECT id, name, epoch_us(created_at) AS created_us FROM workloads WHERE namespace = 'Brand#7'",
     "list_nodes": "SELECT id, name FROM compute_nodes",
-    "audit_tail": "SELECT id, actor, action FROM audit ORDER BY ts DESC, id DESC LIMIT 250",
+    "audit_tail": "SELECT id, actor, action FROM audit ORDER BY ts DESC, id DESC LIMIT 2500",
     "audit_retention": "SELECT id FROM audit ORDER BY ts DESC, id DESC LIMIT 5000",
     "entity_counts": """SELECT 'workflows' AS entity, count(*) AS rows FROM workflows UNION ALL SELECT 'workloads', count(*) FROM workloads
 UNION ALL SELECT 'nodes', count(*) FROM compute_nodes UNION ALL SELECT 'leases', count(*) FROM leases""",

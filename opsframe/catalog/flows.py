@@ -35,7 +35,7 @@ def tick_flow(spark, d):
 
 
 def plan_flow(spark, d):
-    plans = flows.plan_tasks(fx.tasks(spark, d), fx.resources(spark, d))
+    plans = flows.plan_tasks(fx.tasks(spark, d), fx.resources(spark, d), "task-", "plan/", "plan.task.")
     return plans.runs.select("run_key", "name", "timeout")
 
 
@@ -63,6 +63,6 @@ UNION ALL SELECT w.workflow_id, w.node_id, CASE WHEN w.ok AND s.id IS NOT NULL T
  CASE WHEN NOT w.ok THEN 'concurrency limit' WHEN s.id IS NULL THEN 'no lease' ELSE s.id END FROM walk w LEFT JOIN slot s ON s.workload_id = w.workload_id""",
     "plan_flow": f"""WITH {text_catalog._TAGGED}, ok AS (SELECT DISTINCT t.intent, t.capabilities FROM tagged t JOIN tasks k ON k.task_id = t.task_id
  WHERE NOT (regexp_matches(lower(k.intent), '\\b(delete|destroy|drop|wipe|transfer|purchase|deploy)\\b') AND k.autonomy IN ('A3','A4','A5')))
-SELECT 'saf-' || substring(sha256('{{"capabilities": ["' || array_to_string(list_sort(capabilities), '", "') || '"], "intent": "' || intent || '"}}'), 1, 40) AS run_key,
- 'saf/' || substring({text_catalog._SLUG.format(c='intent')}, 1, 48) AS name, CAST(300.0 * len(capabilities) AS DOUBLE) AS timeout FROM ok""",
+SELECT 'task-' || substring(sha256('{{"capabilities": ["' || array_to_string(list_sort(capabilities), '", "') || '"], "intent": "' || intent || '"}}'), 1, 40) AS run_key,
+ 'plan/' || substring({text_catalog._SLUG.format(c='intent')}, 1, 48) AS name, CAST(300.0 * len(capabilities) AS DOUBLE) AS timeout FROM ok""",
 }

@@ -145,17 +145,17 @@ def autoscale_stream(spark, d):
 
 
 def stall_stream(spark, d):
-    """Silences of more than half an hour per event type, as they are noticed."""
+    """Silences of users for more than a day, as they are noticed."""
     beats = event_stream(spark, d).selectExpr("cast(user_id as string) as loop", "ts")
-    stalls = st.stall_stream(beats, {}, stall_seconds=86_400.0)
+    stalls = st.stall_stream(beats, {}, "0 seconds", stall_seconds=86_400.0)
     return cs.run_to_files(stalls, scratch_folder(spark, "stall"))
 
 
 def timeout_stream(spark, d):
-    """Attempts of which no completion arrives in time: every third is never closed."""
+    """Attempts of which no completion arrives in time: every third is never closed, some end late."""
     changes = event_stream(spark, d).select(
         F.col("event_id").cast("string").alias("attempt_id"),
-        F.col("ts"),
+        F.col("ts").alias("started"),
         F.explode(
             F.when(F.col("event_id") % 3 == 0, F.array(F.lit(True))).otherwise(
                 F.array(F.lit(True), F.lit(False))
@@ -163,7 +163,11 @@ def timeout_stream(spark, d):
         ).alias("running"),
         F.lit(3_600_000).cast("bigint").alias("timeout_ms"),
     )
-    return cs.run_to_files(st.timeout_stream(changes), scratch_folder(spark, "timeout"))
+    # an end comes half an hour after its start, of every fifth attempt two hours after it
+    late = F.when(F.col("attempt_id").cast("bigint") % 5 == 0, 7200).otherwise(1800).cast("bigint")
+    moment = F.timestamp_micros(F.unix_micros("started") + F.when(F.col("running"), 0).otherwise(late * 1_000_000))
+    changes = changes.withColumn("ts", moment).drop("started")
+    return cs.run_to_files(st.timeout_stream(changes, "0 seconds"), scratch_folder(spark, "timeout"))
 
 
 QUERIES = {
@@ -196,8 +200,11 @@ SELECT event_id, CASE WHEN dead THEN 'dead' WHEN ok_at IS NOT NULL THEN 'deliver
     .replace("/ 60000000) AS BIGINT) + 1", "/ 1) AS BIGINT)")
     .replace("tick2 * 60", "tick2 / 1000000.0")
     .replace("CAST(0 AS BIGINT) AS act, CAST(0 AS BIGINT) AS up", "CAST(0 AS DOUBLE) AS act, CAST(0 AS DOUBLE) AS up"),
-    "stall_stream": """WITH l AS (SELECT CAST(user_id AS VARCHAR) AS loop, max((epoch_us(ts) // 1000)) AS last_ms FROM events GROUP BY ALL)
-SELECT loop, last_ms, CAST(86400000 AS BIGINT) AS limit_ms FROM l WHERE last_ms + 86400001 < (SELECT max((epoch_us(ts) // 1000)) FROM events)""",
+    "stall_stream": """WITH l AS (SELECT CAST(user_id AS VARCHAR) AS loop, (epoch_us(ts) // 1000) AS last_ms,
+ lead(epoch_us(ts) // 1000) OVER (PARTITION BY user_id ORDER BY ts) AS next_ms FROM events)
+SELECT loop, last_ms, CAST(86400000 AS BIGINT) AS limit_ms FROM l WHERE next_ms - last_ms > 86400000
+ OR next_ms IS NULL AND last_ms + 86400001 < (SELECT max((epoch_us(ts) // 1000)) FROM events)""",
     "sweep_timeouts_stream": """SELECT CAST(event_id AS VARCHAR) AS attempt_id, (epoch_us(ts) // 1000) + 3600000 AS due_ms FROM events
- WHERE event_id % 3 = 0 AND (epoch_us(ts) // 1000) + 3600001 < (SELECT max((epoch_us(ts) // 1000)) FROM events)""",
+ WHERE CASE WHEN event_id % 3 = 0 THEN (epoch_us(ts) // 1000) + 3600001 < (SELECT max((epoch_us(ts) // 1000)
+  + CASE WHEN event_id % 3 = 0 THEN 0 WHEN event_id % 5 = 0 THEN 7200000 ELSE 1800000 END) FROM events) ELSE event_id % 5 = 0 END""",
 }

@@ -44,7 +44,7 @@ def slug(spark, d):
 
 def task_keys(spark, d):
     return _tagged(spark, d).select(
-        "task_id", task_key(F.col("intent"), F.col("capabilities")).alias("task_key")
+        "task_id", task_key(F.col("intent"), F.col("capabilities"), "task-").alias("task_key")
     )
 
 
@@ -61,7 +61,7 @@ def top_candidates(spark, d):
 
 
 def expand_plan(spark, d):
-    runs, nodes = it.expand_plan(_tagged(spark, d))
+    runs, nodes = it.expand_plan(_tagged(spark, d), "plan/", "plan.task.")
     return nodes.join(runs.select("task_id", F.col("name").alias("run"), F.col("timeout").alias("run_timeout")), "task_id").select(
         "task_id", "run", "run_timeout", "node_id", "event_topic", "retry_max"
     )
@@ -334,7 +334,7 @@ ORACLES = {
  AND autonomy IN ('A3','A4','A5') AS b FROM tasks)
 SELECT task_id, NOT b AS allowed, CASE WHEN b THEN 'Explicit human approval required.' ELSE 'allowed' END AS reason FROM v""",
     "slugify": f"SELECT doc_id, {_SLUG.format(c='text')} AS slug FROM documents",
-    "task_keys": f"""WITH {_TAGGED} SELECT task_id, 'saf-' || substring(sha256('{{"capabilities": ["' || array_to_string(list_sort(capabilities), '", "')
+    "task_keys": f"""WITH {_TAGGED} SELECT task_id, 'task-' || substring(sha256('{{"capabilities": ["' || array_to_string(list_sort(capabilities), '", "')
  || '"], "intent": "' || intent || '"}}'), 1, 40) AS task_key FROM tagged""",
     "capability_scores": f"""WITH {_TAGGED}, sets AS (SELECT array_to_string(list_sort(capabilities), ' ') AS set_key, any_value(capabilities) AS caps, count(*) AS tasks
  FROM tagged GROUP BY 1),
@@ -347,8 +347,8 @@ SELECT set_key, tasks, resource_id, round(fit, 9) AS fit,
 SELECT task_id, row_number() OVER (PARTITION BY task_id ORDER BY score DESC, confidence DESC, ord) AS place, resource_id, round(score, 9) AS score, confidence
  FROM s QUALIFY place <= 5""",
     "expand_plan": f"""WITH {_TAGGED}, u AS (SELECT task_id, intent, len(capabilities) AS n, unnest(capabilities) AS cap, generate_subscripts(capabilities, 1) - 1 AS i FROM tagged)
-SELECT task_id, 'saf/' || substring({_SLUG.format(c='intent')}, 1, 48) AS run, CAST(300.0 * n AS DOUBLE) AS run_timeout, 'cap-' || i AS node_id,
- 'saf.task.' || {_SLUG.format(c='cap')} AS event_topic, CAST(3 AS BIGINT) AS retry_max FROM u""",
+SELECT task_id, 'plan/' || substring({_SLUG.format(c='intent')}, 1, 48) AS run, CAST(300.0 * n AS DOUBLE) AS run_timeout, 'cap-' || i AS node_id,
+ 'plan.task.' || {_SLUG.format(c='cap')} AS event_topic, CAST(3 AS BIGINT) AS retry_max FROM u""",
     "net_cost": "SELECT l_orderkey, l_linenumber, l_extendedprice - l_quantity * 100 AS net FROM lineitem",
     "save_proof": """WITH v AS (SELECT 'doc/' || doc_id AS path, doc_id % 17 > 0 AS here, doc_id % 10 = 0 AS edited,
  CASE WHEN doc_id % 3 = 0 THEN 'same' WHEN doc_id % 7 = 0 THEN 'x' END AS expected FROM documents)

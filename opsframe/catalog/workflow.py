@@ -100,8 +100,14 @@ def backoff_schedule(spark, d):
     )
 
 
+def _attempts_with_errors(spark, d):
+    """Attempts of which every other one already says what went wrong."""
+    told = F.expr("case when attempt_no % 2 = 1 and status in ('failed', 'timed_out') then concat('was ', node_id) end")
+    return fx.attempts(spark, d).withColumn("error", told)
+
+
 def fold_attempts(spark, d):
-    states = wf.fold_attempts(fx.wf_nodes(spark, d), fx.attempts(spark, d))
+    states = wf.fold_attempts(fx.wf_nodes(spark, d), _attempts_with_errors(spark, d))
     return states.select(
         "workflow_id", "node_id", "attempts", "status", "error",
         F.coalesce(F.unix_micros("next_retry_at"), F.lit(-1)).alias("next_retry_us"),
@@ -122,7 +128,7 @@ def _reports(spark, d):
 
 
 def complete_attempts(spark, d):
-    done = wf.complete_attempts(fx.attempts(spark, d), _reports(spark, d), fx.workflows(spark, d))
+    done = wf.complete_attempts(_attempts_with_errors(spark, d), _reports(spark, d), fx.workflows(spark, d))
     return done.select(
         "workflow_id", "node_id", "attempt_no", "status", F.coalesce("error", F.lit("")).alias("error")
     )
@@ -165,7 +171,7 @@ def _limited_nodes(spark, d):
 
 def sweep_timeouts(spark, d):
     nodes, attempts = _limited_nodes(spark, d), fx.attempts(spark, d)
-    late = wf.timed_out_attempts(attempts, nodes, now()).selectExpr(
+    late = wf.timed_out_attempts(attempts, nodes, now(), fx.workflows(spark, d)).selectExpr(
         "workflow_id", "node_id", "attempt_no", "'attempt' as what", "'node_timeout' as reason"
     )
     skipped, stopped = wf.time_out_runs(fx.workflows(spark, d), nodes, attempts, now())
@@ -214,9 +220,9 @@ def retry_nodes(spark, d):
 
 
 def recover_orphans(spark, d):
-    recovered = wf.recover_orphans(fx.attempts(spark, d), now())
+    recovered = wf.recover_orphans(_attempts_with_errors(spark, d), now(), fx.workflows(spark, d))
     states = wf.fold_attempts(fx.wf_nodes(spark, d), recovered)
-    return states.select("workflow_id", "node_id", "attempts", "status")
+    return states.select("workflow_id", "node_id", "attempts", "status", "error")
 
 
 def clone_runs(spark, d):
@@ -289,14 +295,18 @@ _READY2 = _READY.format(bad="'failed','timed_out','skipped'")
 _FOLD = """SELECT n.workflow_id, n.node_id, a.attempt_no AS attempts,
  CASE WHEN a.status IN ('failed','timed_out') AND a.attempt_no <= n.retry_max THEN 'pending'
   WHEN a.status = 'running' THEN 'dispatched' ELSE a.status END AS status,
- CASE a.status WHEN 'timed_out' THEN 'node timed out' WHEN 'failed' THEN 'attempt failed' ELSE '' END AS error,
+ CASE WHEN a.status IN ('failed','timed_out') AND a.error <> '' THEN a.error
+  WHEN a.status = 'timed_out' THEN 'node timed out' WHEN a.status = 'failed' THEN 'attempt failed'
+  WHEN a.status = 'cancelled' THEN 'cancelled' ELSE '' END AS error,
  CASE WHEN a.status IN ('failed','timed_out') AND a.attempt_no <= n.retry_max
   THEN epoch_us(a.finished_at) + CAST(least(60, 2 ** (a.attempt_no - 1)) * 1000000 AS BIGINT) ELSE -1 END AS next_retry_us,
  CASE WHEN a.status = 'succeeded' OR (a.status IN ('failed','timed_out') AND a.attempt_no > n.retry_max)
-  THEN epoch_us(a.finished_at) ELSE -1 END AS finished_us
+  OR a.status = 'cancelled' THEN epoch_us(a.finished_at) ELSE -1 END AS finished_us
  FROM wf_nodes n JOIN {attempts} a ON a.workflow_id = n.workflow_id AND a.node_id = n.node_id
  QUALIFY row_number() OVER (PARTITION BY n.workflow_id, n.node_id ORDER BY a.attempt_no DESC) = 1"""
 
+_TOLD = """(SELECT *, CASE WHEN attempt_no % 2 = 1 AND status IN ('failed','timed_out') THEN 'was ' || node_id END AS error FROM attempts)"""
+
 _OUTCOME = """SELECT w.id, w.name, w.namespace, CASE WHEN NOT bool_and(n.status IN ('succeeded','failed','timed_out','cancelled','skipped')) THEN 'open'
  WHEN w.cancel_requested OR bool_or(n.status = 'cancelled') THEN 'cancelled' WHEN bool_or(n.status = 'timed_out') THEN 'timed_out'
  WHEN bool_or(n.status = 'failed') THEN 'failed' WHEN bool_and(n.status = 'succeeded') THEN 'succeeded' ELSE 'open' END AS outcome,
@@ -369,12 +379,12 @@ SELECT r.workflow_id, r.node_id, coalesce(s.id, '') AS lease_id, s.id IS NOT NUL
  FROM ({_READY1}) r LEFT JOIN slot s ON s.workload_id = r.workload_id WHERE r.decision = 'ready'""",
     "backoff_schedule": """SELECT workflow_id, node_id, attempt_no, CAST(least(60.0, 2.0 * 2 ** (attempt_no - 1)) AS DOUBLE) AS delay
  FROM attempts WHERE status IN ('failed','timed_out')""",
-    "fold_attempts": _FOLD.format(attempts="attempts"),
+    "fold_attempts": _FOLD.format(attempts=_TOLD),
     "complete_attempts": """SELECT a.workflow_id, a.node_id, a.attempt_no,
  CASE WHEN a.status <> 'running' THEN a.status WHEN coalesce(w.cancel_requested, false) THEN 'cancelled'
   WHEN a.attempt_no % 3 = 0 THEN 'timed_out' WHEN a.attempt_no % 2 = 0 THEN 'succeeded' ELSE 'failed' END AS status,
- CASE WHEN a.status = 'running' THEN 'e' || a.attempt_no ELSE '' END AS error
- FROM attempts a LEFT JOIN workflows w ON w.id = a.workflow_id""",
+ CASE WHEN a.status = 'running' THEN 'e' || a.attempt_no ELSE coalesce(a.error, '') END AS error
+ FROM """ + _TOLD + """ a LEFT JOIN workflows w ON w.id = a.workflow_id""",
     "workflow_outcome": f"""SELECT id, name, namespace, outcome, outcome = 'failed' AND dead_letter AS dead_lettered, nodes FROM ({_OUTCOME})""",
     "outcome_events": f"""SELECT 'workflow.finished' AS topic, id AS key, '{{"workflow_id":"' || id || '","name":"' || name || '","namespace":"' || namespace
  || '","outcome":"' || outcome || '","nodes":' || nodes || '}}' AS payload FROM ({_OUTCOME}) WHERE outcome <> 'open'""",
@@ -389,7 +399,7 @@ SELECT 'workflow.node_latency' AS name, CAST(le AS DOUBLE) AS le, count(*) FILTE
  AND {DUCK_NOW} > created_at + CAST(timeout AS INT) * INTERVAL 1 SECOND)
 SELECT a.workflow_id, a.node_id, a.attempt_no, 'attempt' AS what, 'node_timeout' AS reason FROM attempts a
  JOIN wf_nodes n ON n.workflow_id = a.workflow_id AND n.node_id = a.node_id
- WHERE a.status = 'running' AND n.node_id % 2 = 0 AND {DUCK_NOW} > a.started_at + n.node_id * INTERVAL 1 HOUR
+ WHERE a.status = 'running' AND a.workflow_id NOT IN (SELECT id FROM over) AND n.node_id % 2 = 0 AND {DUCK_NOW} > a.started_at + n.node_id * INTERVAL 1 HOUR
 UNION ALL SELECT n.workflow_id, n.node_id, 0, 'node', 'workflow timeout' FROM wf_nodes n JOIN over ON over.id = n.workflow_id
  WHERE n.status IN ('pending','dispatched')
 UNION ALL SELECT a.workflow_id, a.node_id, a.attempt_no, 'attempt', 'workflow timeout' FROM attempts a JOIN over ON over.id = a.workflow_id
@@ -407,9 +417,11 @@ UNION ALL SELECT a.workflow_id, a.node_id, a.attempt_no, 'cancelled' FROM attemp
  CASE WHEN n.status IN ('failed','timed_out') THEN 'running' ELSE '' END AS run_status
  FROM run_requests r LEFT JOIN workflows w ON w.id = r.workflow_id
  LEFT JOIN wf_nodes n ON n.workflow_id = r.workflow_id AND n.node_id = 1 + length(r.workflow_id) % 5""",
-    "recover_orphans": "SELECT workflow_id, node_id, attempts, status FROM ("
+    "recover_orphans": "SELECT workflow_id, node_id, attempts, status, error FROM ("
     + _FOLD.format(
-        attempts="(SELECT * REPLACE (CASE status WHEN 'running' THEN 'failed' ELSE status END AS status) FROM attempts)"
+        attempts=f"""(SELECT t.* REPLACE (CASE WHEN t.status = 'running' THEN CASE WHEN coalesce(w.cancel_requested, false) THEN 'cancelled'
+ ELSE 'failed' END ELSE t.status END AS status, CASE WHEN t.status = 'running' THEN 'recovered_after_restart' ELSE t.error END AS error)
+ FROM {_TOLD} t LEFT JOIN workflows w ON w.id = t.workflow_id)"""
     )
     + ")",
     "clone_runs": """SELECT o_orderkey || '.' || epoch_ms(o_orderdate) AS id, CAST(o_orderkey AS VARCHAR) AS template_id, 'pending' AS status,

@@ -82,13 +82,17 @@ def _day_fits(day: Column) -> Column:
     )
 
 
+def _utc_date(moment: Column) -> Column:
+    return F.date_from_unix_date(F.floor(F.unix_seconds(moment) / 86_400).cast("int"))
+
+
 def cron_expand(schedules: DataFrame, start: Column, end: Column) -> DataFrame:
     """Fire times of every valid schedule in [start, end).
 
     Days are matched first; only the hours and minutes of matching days are
     spelled out, so the work follows the number of fires, and no shuffle is needed.
     """
-    days = F.filter(F.sequence(F.to_date(start), F.to_date(end)), _day_fits)
+    days = F.filter(F.sequence(_utc_date(start), _utc_date(end)), _day_fits)
     fires = (
         parse_schedules(schedules)
         .filter("error = ''")
@@ -119,11 +123,11 @@ def cron_next(schedules: DataFrame, now: Column) -> DataFrame:
     parsed = parse_schedules(schedules).withColumn("_times", times)
 
     def first_day(days: int) -> Column:
-        after = F.sequence(F.date_add(F.to_date(now), 1), F.date_add(F.to_date(now), days))
+        after = F.sequence(F.date_add(_utc_date(now), 1), F.date_add(_utc_date(now), days))
         return F.unix_date(F.array_min(F.filter(after, _day_fits)))
 
     later = F.array_min(F.filter("_times", lambda t: today * 1440 + t > minute_now))
-    on_today = F.when(_day_fits(F.to_date(now)), today * 1440 + later)
+    on_today = F.when(_day_fits(_utc_date(now)), today * 1440 + later)
     # Nearly every schedule fits a day of the next two months; look further only if not.
     next_day = F.coalesce(first_day(62), first_day(SEARCH_MINUTES // 1440 + 1))
     fire = F.coalesce(on_today, next_day * 1440 + F.array_min("_times"))

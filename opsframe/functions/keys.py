@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Prefix and kept length of a task key.
-TASK_KEY_PREFIX = "saf-"
+# Fixed value: kept length of a task key.
 TASK_KEY_HEX = 40
 
 
@@ -22,8 +21,39 @@ def slugify(text: Column) -> Column:
 
 
 def json_quoted(text: Column) -> Column:
-    """Quoted JSON string, taken out of a one-field object."""
-    return F.regexp_extract(F.to_json(F.struct(text.alias("v"))), r"(?s)^\{\"v\":(.*)\}$", 1)
+    """Quoted JSON string, taken out of a one-field object; control characters in lower-case hex."""
+    quoted = F.regexp_extract(F.to_json(F.struct(text.alias("v"))), r"(?s)^\{\"v\":(.*)\}$", 1)
+    lower = quoted
+    for code in ("0B", "0E", "0F", "1A", "1B", "1C", "1D", "1E", "1F"):
+        # an even number of backslashes before it: not an escaped backslash with letters after it
+        lower = F.regexp_replace(lower, rf"(?<!\\)((?:\\\\)*)\\u00{code}", rf"$1\\u00{code.lower()}")
+    return F.when(text.rlike(r"[\x0b\x0e\x0f\x1a-\x1f]"), lower).otherwise(quoted)
+
+
+def json_number(value: Column) -> Column:
+    """A double as JSON text: the digits Java finds shortest, plain between 1e-4 and 1e16, else with an exponent."""
+    text = F.abs(value).cast("string")
+    mantissa = F.regexp_extract(text, r"^([0-9.]+)E", 1)
+    power = F.regexp_extract(text, r"E(-?[0-9]+)$", 1).try_cast("int")
+    digits = F.regexp_replace(F.replace(mantissa, F.lit("."), F.lit("")), "(?<=.)0+$", "")
+    count = F.length(digits)
+    point = power + 1
+    whole = F.concat(F.rpad(F.substring(digits, F.lit(1), point), point, F.lit("0")), F.lit("."))
+    rest = F.when(count > point, F.substring(digits, point + 1, count)).otherwise("0")
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
+    tail = F.when(count > 1, F.concat(F.lit("."), F.substring(digits, F.lit(2), count))).otherwise("")
+    sign = F.when(power < 0, "-").otherwise("+")
+    far = F.concat(F.substring(digits, 1, 1), tail, F.lit("e"), sign, F.lpad(F.abs(power).cast("string"), F.greatest(F.length(F.abs(power).cast("string")), F.lit(2)), F.lit("0")))
+    plain = (
+        F.when(power.isNull(), text)
+        .when((power >= 0) & (power < 16), F.concat(whole, rest))
+        .when((power < 0) & (power >= -4), small)
+        .otherwise(far)
+    )
+    negative = value.cast("string").startswith("-")
+    return F.when(F.isnan(value), "NaN").when(F.abs(value) == float("inf"), F.when(negative, "-Infinity").otherwise("Infinity")).otherwise(
+        F.concat(F.when(negative, "-").otherwise(""), plain)
+    )
 
 
 def escape_non_ascii(text: Column) -> Column:
@@ -47,8 +77,8 @@ def json_string(text: Column) -> Column:
     return escape_non_ascii(json_quoted(text))
 
 
-def task_key(intent: Column, capabilities: Column) -> Column:
-    """Replay-safe key: same intent and capability set, same key."""
+def task_key(intent: Column, capabilities: Column, prefix: str) -> Column:
+    """Replay-safe key after ``prefix``: same intent and capability set, same key."""
     caps = F.array_join(
         F.transform(F.array_sort(capabilities), lambda c: json_string(c)), ", "
     )
@@ -56,7 +86,7 @@ def task_key(intent: Column, capabilities: Column) -> Column:
         F.lit('{"capabilities": ['), caps, F.lit('], "intent": '), json_string(intent), F.lit("}")
     )
     return F.concat(
-        F.lit(TASK_KEY_PREFIX), F.substring(F.sha2(text, 256), 1, TASK_KEY_HEX)
+        F.lit(prefix), F.substring(F.sha2(text, 256), 1, TASK_KEY_HEX)
     )
 
 

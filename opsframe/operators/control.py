@@ -63,12 +63,12 @@ def list_entities(rows: DataFrame, namespace: str | None, order: str = "created_
     return scoped.orderBy(order, "id") if "id" in rows.columns else scoped.orderBy(order)
 
 
-def audit_tail(audit: DataFrame, limit: int = 100) -> DataFrame:
-    """Newest entries first; at most 1000 are served."""
-    return audit.orderBy(F.desc("ts"), F.desc("id")).limit(min(limit, 1000))
+def audit_tail(audit: DataFrame, limit: int) -> DataFrame:
+    """The newest ``limit`` entries, newest first."""
+    return audit.orderBy(F.desc("ts"), F.desc("id")).limit(limit)
 
 
-def audit_retention(audit: DataFrame, keep: int = 5_000) -> DataFrame:
+def audit_retention(audit: DataFrame, keep: int) -> DataFrame:
     """The newest ``keep`` entries."""
     return audit.orderBy(F.desc("ts"), F.desc("id")).limit(keep)
 

@@ -33,8 +33,6 @@ OFFLINE_PENALTY = 0.15
 REMOTE_KINDS = ["model", "model-provider"]
 
 # Names used in a task's plan.
-PLAN_NAME_PREFIX = "saf/"
-PLAN_TOPIC_PREFIX = "saf.task."
 PLAN_NAME_LENGTH = 48
 
 
@@ -214,7 +212,11 @@ def top_candidates(
 
 
 def expand_plan(
-    tasks: DataFrame, node_timeout: float = 300.0, retry_max: int = 3
+    tasks: DataFrame,
+    name_prefix: str,
+    topic_prefix: str,
+    node_timeout: float = 300.0,
+    retry_max: int = 3,
 ) -> tuple[DataFrame, DataFrame]:
     """One workflow per task and one event node per capability.
 
@@ -227,7 +229,7 @@ def expand_plan(
     runs = tasks.select(
         "task_id",
         F.concat(
-            F.lit(PLAN_NAME_PREFIX), F.when(name == "", "task").otherwise(name)
+            F.lit(name_prefix), F.when(name == "", "task").otherwise(name)
         ).alias("name"),
         (F.lit(float(node_timeout)) * F.size(caps)).alias("timeout"),
         F.lit(True).alias("dead_letter"),
@@ -236,7 +238,7 @@ def expand_plan(
         "task_id",
         F.concat(F.lit("cap-"), F.col("i")).alias("node_id"),
         F.col("cap").alias("name"),
-        F.concat(F.lit(PLAN_TOPIC_PREFIX), slugify(F.col("cap"))).alias("event_topic"),
+        F.concat(F.lit(topic_prefix), slugify(F.col("cap"))).alias("event_topic"),
         F.lit(float(node_timeout)).alias("timeout"),
         F.lit(retry_max).cast("bigint").alias("retry_max"),
         F.lit(1.0).alias("backoff_base"),

@@ -143,9 +143,14 @@ def first_per_key(
 ) -> DataFrame:
     """First ``n`` rows of each key in order.
 
-    Spark keeps only ``n`` rows per key and map task before the shuffle, so a
-    hot key never travels whole.
+    For small ``n`` Spark keeps only that many rows per key and map task before the
+    shuffle, so a hot key never travels whole.  It does so up to a limit of its own;
+    a larger ``n`` takes row numbers that survive hot keys.
     """
+    limit = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
+    if n > limit:
+        numbered = ordered_columns(df, keys, order, number="_rn")
+        return numbered.filter(F.col("_rn") <= n).drop("_rn")
     window = Window.partitionBy(*keys).orderBy(*order)
     return (
         df.withColumn("_rn", F.row_number().over(window))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,40 +44,54 @@ def dominant_demand(workloads: DataFrame, targets: DataFrame, latest: DataFrame)
     )
 
 
-def target_policy(
-    deadband: float = 0.10,
-    cooldown: float = 60.0,
-    protect_after: float = 180.0,
-    step: int | None = None,
-) -> Callable:
-    """Default policy: dominant metric with deadband, cooldown, scale-down guard.
+@dataclass(frozen=True)
+class TargetPolicy:
+    """Default policy: follow the dominant metric unless a veto stands against the move.
 
-    ``decide(current, low, high, measured, targets, now, last_action, last_up)`` gives
-    the new replica count or None; times are seconds.
+    Times are seconds.  Called as ``policy(current, low, high, measured, targets, now,
+    last_action, last_up)`` it gives the new replica count or None.
     """
 
-    def decide(current, low, high, measured, targets, now, last_action, last_up):
-        asked = []
-        for metric, (target, least, most) in targets.items():
-            if metric in measured and target > 0:
-                need = math.ceil(current * measured[metric] / target)
-                asked.append(min(max(need, least), most))
-        if not asked:
-            return None
-        wanted = int(min(max(max(asked), low), high))
-        change = wanted - current
-        if change and abs(change) <= deadband * max(1.0, float(current)):
-            return None
-        if now - last_action < cooldown:
+    deadband: float = 0.10
+    cooldown: float = 60.0
+    protect_after: float = 180.0
+    step: int | None = None
+
+    def demand(self, current, low, high, measured, targets) -> int | None:
+        """Replicas the most demanding usable metric asks for, within the workload's bounds."""
+        usable = {m: t for m, t in targets.items() if t[0] > 0 and m in measured}
+        asked = (
+            _within(math.ceil(current * measured[m] / goal), least, most)
+            for m, (goal, least, most) in usable.items()
+        )
+        top = max(asked, default=None)
+        return None if top is None else int(_within(top, low, high))
+
+    def vetoes(self, current, goal, since_action, since_up) -> dict[str, bool]:
+        """Rules against going from ``current`` to ``goal`` now; ``since_up`` is None if never raised."""
+        return {
+            "too small a move": 0 < abs(goal - current) <= self.deadband * max(1.0, current),
+            "acted lately": since_action < self.cooldown,
+            "raised lately": goal <= current and since_up is not None and since_up < self.protect_after,
+        }
+
+    def __call__(self, current, low, high, measured, targets, now, last_action, last_up):
+        goal = self.demand(current, low, high, measured, targets)
+        if goal is None:
             return None
-        if change <= 0 and last_up and now - last_up < protect_after:
+        if any(self.vetoes(current, goal, now - last_action, now - last_up if last_up else None).values()):
             return None
-        if step is not None and abs(change) > step:
-            wanted = current + (step if change > 0 else -step)
-            wanted = int(min(max(wanted, low), high))
-        return wanted if wanted != current else None
+        if self.step is not None:
+            goal = int(_within(_within(goal, current - self.step, current + self.step), low, high))
+        return None if goal == current else goal
+
+
+def _within(value, low, high):
+    return max(low, min(value, high)) if low <= high else high
+
 
-    return decide
+def target_policy(**settings) -> TargetPolicy:
+    return TargetPolicy(**settings)
 
 
 def latest_per_tick(samples: DataFrame, tick_seconds: int) -> DataFrame:

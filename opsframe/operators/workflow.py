@@ -22,6 +22,14 @@ from opsframe.session import cut_lineage
 
 NODE = ["workflow_id", "node_id"]
 
+# What nodes and attempts say went wrong.
+NODE_TIMED_OUT = "node timed out"
+ATTEMPT_FAILED = "attempt failed"
+CANCELLED = "cancelled"
+RECOVERED = "recovered_after_restart"
+RUN_TIMED_OUT = "workflow timeout"
+
+
 
 def _edges(nodes: DataFrame) -> DataFrame:
     return nodes.select(*NODE, F.explode("depends_on").alias("dep"))
@@ -232,17 +240,12 @@ def complete_attempts(
     attempts that no longer run are ignored.
     """
     key = [*NODE, "attempt_no"]
+    before = _errors_of(attempts)
     first = reports.groupBy(*key).agg(
         F.min_by(F.struct("ok", "timed_out", "error", "at"), F.struct("at", "ok")).alias("r")
     )
     joined = attempts.join(first, key, "left")
-    cancelled = F.lit(False)
-    if workflows is not None:
-        stop = workflows.select(
-            F.col("id").alias("workflow_id"), F.col("cancel_requested").alias("_stop")
-        )
-        joined = joined.join(stop, "workflow_id", "left")
-        cancelled = F.coalesce("_stop", F.lit(False))
+    joined, cancelled = _with_cancels(joined, workflows)
     hit = (F.col("status") == "running") & F.col("r").isNotNull()
     target = (
         F.when(cancelled, "cancelled")
@@ -254,10 +257,25 @@ def complete_attempts(
         *[c for c in attempts.columns if c not in ("status", "finished_at", "error")],
         F.when(hit, target).otherwise(F.col("status")).alias("status"),
         F.when(hit, F.col("r.at")).otherwise(F.col("finished_at")).alias("finished_at"),
-        F.when(hit, F.col("r.error")).alias("error"),
+        F.when(hit, F.col("r.error")).otherwise(before).alias("error"),
     )
 
 
+def _errors_of(attempts: DataFrame) -> Column:
+    """What an attempt says went wrong; null if the table does not tell."""
+    return F.col("error") if "error" in attempts.columns else F.lit(None).cast("string")
+
+
+def _with_cancels(attempts: DataFrame, workflows: DataFrame | None) -> tuple[DataFrame, Column]:
+    """``attempts`` and whether their run is asked to stop."""
+    if workflows is None:
+        return attempts, F.lit(False)
+    stop = workflows.select(
+        F.col("id").alias("workflow_id"), F.col("cancel_requested").alias("_stop")
+    )
+    return attempts.join(stop, "workflow_id", "left"), F.coalesce("_stop", F.lit(False))
+
+
 def late_reports(attempts: DataFrame, reports: DataFrame) -> DataFrame:
     """Reports that change nothing because their attempt is not running."""
     running = attempts.filter(F.col("status") == "running")
@@ -270,11 +288,11 @@ def fold_attempts(
     """State of each attempted node after its latest attempt.
 
     A failure or timeout returns to pending with a backoff while the attempt
-    number is at most ``retry_max`` (so ``retry_max + 1`` tries in all).
+    number is at most ``retry_max`` (so ``retry_max + 1`` tries in all).  The
+    attempt's own error is kept; without one a fixed text tells what happened.
     """
-    latest = attempts.groupBy(*NODE).agg(
-        F.max_by(F.struct("attempt_no", "status", "finished_at"), "attempt_no").alias("a")
-    )
+    told = F.struct("attempt_no", "status", "finished_at", _errors_of(attempts).alias("error"))
+    latest = attempts.groupBy(*NODE).agg(F.max_by(told, "attempt_no").alias("a"))
     base = F.col("backoff_base") if "backoff_base" in nodes.columns else 1.0
     cap = F.col("backoff_max") if "backoff_max" in nodes.columns else 60.0
     tries, state = F.col("a.attempt_no"), F.col("a.status")
@@ -295,21 +313,33 @@ def fold_attempts(
         F.when(again | (state == "running"), F.lit(None))
         .otherwise(F.col("a.finished_at"))
         .alias("finished_at"),
-        F.when(state == "timed_out", "node timed out")
-        .when(state == "failed", "attempt failed")
+        F.when(lost & (F.col("a.error") != ""), F.col("a.error"))
+        .when(state == "timed_out", NODE_TIMED_OUT)
+        .when(state == "failed", ATTEMPT_FAILED)
+        .when(state == "cancelled", CANCELLED)
         .otherwise("")
         .alias("error"),
     )
 
 
-def recover_orphans(attempts: DataFrame, now: Column) -> DataFrame:
-    """After a restart every running attempt counts as failed."""
+def recover_orphans(
+    attempts: DataFrame, now: Column, workflows: DataFrame | None = None
+) -> DataFrame:
+    """After a restart every running attempt counts as failed, or as cancelled if its run is to stop.
+
+    Other attempts keep their state and their error.
+    """
     orphan = F.col("status") == "running"
-    return attempts.select(
+    before = _errors_of(attempts)
+    joined, cancelled = _with_cancels(attempts, workflows)
+    return joined.select(
         *[c for c in attempts.columns if c not in ("status", "finished_at", "error")],
-        F.when(orphan, "failed").otherwise(F.col("status")).alias("status"),
+        F.when(orphan & cancelled, "cancelled")
+        .when(orphan, "failed")
+        .otherwise(F.col("status"))
+        .alias("status"),
         F.when(orphan, now).otherwise(F.col("finished_at")).alias("finished_at"),
-        F.when(orphan, "recovered_after_restart").otherwise("").alias("error"),
+        F.when(orphan, RECOVERED).otherwise(before).alias("error"),
     )
 
 
@@ -391,12 +421,21 @@ def timed_out_runs(workflows: DataFrame, now: Column) -> DataFrame:
     )
 
 
-def timed_out_attempts(attempts: DataFrame, nodes: DataFrame, now: Column) -> DataFrame:
-    """Running attempts past the timeout of their node."""
+def timed_out_attempts(
+    attempts: DataFrame, nodes: DataFrame, now: Column, workflows: DataFrame | None = None
+) -> DataFrame:
+    """Running attempts past the timeout of their node.
+
+    With ``workflows``, attempts of runs that time out themselves are left out:
+    those are stopped first, by ``time_out_runs``.
+    """
     limits = nodes.filter(F.col("timeout").isNotNull()).select(*NODE, "timeout")
+    running = attempts.filter(F.col("status") == "running")
+    if workflows is not None:
+        over = timed_out_runs(workflows, now).select(F.col("id").alias("workflow_id"))
+        running = running.join(over, "workflow_id", "left_anti")
     return (
-        attempts.filter(F.col("status") == "running")
-        .join(limits, NODE)
+        running.join(limits, NODE)
         .filter(now > seconds_after("started_at", F.col("timeout")))
     )
 
@@ -409,7 +448,7 @@ def time_out_runs(
     skipped = (
         nodes.filter(F.col("status").isin("pending", "dispatched"))
         .join(over, "workflow_id", "left_semi")
-        .select(*NODE, F.lit("skipped").alias("status"), F.lit("workflow timeout").alias("error"))
+        .select(*NODE, F.lit("skipped").alias("status"), F.lit(RUN_TIMED_OUT).alias("error"))
     )
     stopped = (
         attempts.filter(F.col("status") == "running")
@@ -418,7 +457,7 @@ def time_out_runs(
             *NODE,
             "attempt_no",
             F.lit("timed_out").alias("status"),
-            F.lit("workflow timeout").alias("error"),
+            F.lit(RUN_TIMED_OUT).alias("error"),
         )
     )
     return skipped, stopped

@@ -94,18 +94,25 @@ class Plans:
     nodes: DataFrame
 
 
-def plan_tasks(tasks: DataFrame, resources: DataFrame, network: bool = True) -> Plans:
+def plan_tasks(
+    tasks: DataFrame,
+    resources: DataFrame,
+    key_prefix: str,
+    name_prefix: str,
+    topic_prefix: str,
+    network: bool = True,
+) -> Plans:
     """Tag tasks, drop the blocked ones, rank resources and lay out their workflows.
 
     Tasks with the same intent and capabilities share one run under one key.
     """
     tagged = tasks.withColumn("capabilities", it.tag_capabilities(F.col("intent")))
     allowed = it.policy_gate(tagged).filter("allowed")
-    keyed = allowed.withColumn("run_key", task_key(F.col("intent"), F.col("capabilities")))
+    keyed = allowed.withColumn("run_key", task_key(F.col("intent"), F.col("capabilities"), key_prefix))
     distinct = keyed.groupBy("run_key").agg(
         F.min(F.struct("task_id", "intent", "capabilities")).alias("t")
     ).select("run_key", "t.*")
-    runs, nodes = it.expand_plan(distinct)
+    runs, nodes = it.expand_plan(distinct, name_prefix, topic_prefix)
     return Plans(
         candidates=it.top_candidates(allowed, resources, network=network),
         runs=distinct.select("task_id", "run_key").join(runs, "task_id"),

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from opsframe.functions.keys import escape_non_ascii
+from opsframe.functions.keys import escape_non_ascii, json_number, json_quoted
 from opsframe.schemas import ENTITIES, ENTITY_DEFAULTS
 
 
@@ -31,33 +33,44 @@ def decode_entity_rows(rows: DataFrame, entity: str, version: str | None = None)
     )
 
 
-def _canonical(value: Column, kind: T.DataType) -> Column:
-    """Same value with struct fields and map keys in sorted order."""
+def _json(value: Column, kind: T.DataType) -> Column:
+    """Compact JSON text with struct fields and map keys in sorted order."""
+    comma = lambda parts: F.array_join(parts, ",")
     if isinstance(kind, T.StructType):
         fields = sorted(kind.fields, key=lambda f: f.name)
-        return F.when(
-            value.isNotNull(),
-            F.struct(*[_canonical(value.getField(f.name), f.dataType).alias(f.name) for f in fields]),
-        )
-    if isinstance(kind, T.ArrayType):
-        return F.transform(value, lambda x: _canonical(x, kind.elementType))
-    if isinstance(kind, T.MapType):
+        parts = [
+            F.concat(F.lit(json.dumps(f.name) + ":"), _json(value.getField(f.name), f.dataType))
+            for f in fields
+        ]
+        text = F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
+    elif isinstance(kind, T.ArrayType):
+        items = F.transform(value, lambda x: _json(x, kind.elementType))
+        text = F.concat(F.lit("["), comma(items), F.lit("]"))
+    elif isinstance(kind, T.MapType):
         entries = F.array_sort(
             F.map_entries(value), lambda a, b: F.when(a["key"] < b["key"], -1).otherwise(1)
         )
-        return F.map_from_entries(
-            F.transform(
-                entries, lambda e: F.struct(e["key"], _canonical(e["value"], kind.valueType))
-            )
+        items = F.transform(
+            entries,
+            lambda e: F.concat(
+                json_quoted(e["key"].cast("string")), F.lit(":"), _json(e["value"], kind.valueType)
+            ),
         )
-    return value
+        text = F.concat(F.lit("{"), comma(items), F.lit("}"))
+    elif isinstance(kind, (T.DoubleType, T.FloatType)):
+        text = json_number(value.cast("double"))
+    elif isinstance(kind, (T.IntegralType, T.BooleanType, T.DecimalType)):
+        text = value.cast("string")
+    elif isinstance(kind, T.StringType):
+        text = json_quoted(value)
+    else:  # dates and times as Spark writes them
+        text = F.regexp_extract(F.to_json(F.struct(value.alias("v"))), r"(?s)^\{\"v\":(.*)\}$", 1)
+    return F.when(value.isNull(), "null").otherwise(text)
 
 
 def encode_entity_rows(df: DataFrame, id_column: str = "id") -> DataFrame:
     """(id, payload): every column as compact JSON with sorted keys."""
     fields = sorted(df.schema.fields, key=lambda f: f.name)
-    body = F.struct(
-        *[_canonical(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in fields]
-    )
-    payload = escape_non_ascii(F.to_json(body, {"ignoreNullFields": "false"}))
+    body = F.struct(*[F.col(f"`{f.name}`").alias(f.name) for f in fields])
+    payload = escape_non_ascii(_json(body, T.StructType(fields)))
     return df.select(F.col(id_column).cast("string").alias("id"), payload.alias("payload"))

@@ -55,12 +55,22 @@ def quarantine_torn(
     return kept.get["n"], moved.get["n"]
 
 
+def utc_text(moment: Column) -> Column:
+    """Date and time to the second in UTC, whatever the session's time zone."""
+    seconds = F.floor(F.unix_micros(moment) / 1_000_000).cast("bigint")
+    day = F.date_from_unix_date(F.floor(seconds / 86_400).cast("int"))
+    left = F.pmod(seconds, F.lit(86_400))
+    return F.concat(
+        day.cast("string"),
+        F.format_string("T%02d:%02d:%02d", F.floor(left / 3600), F.floor(left / 60) % 60, left % 60),
+    )
+
+
 def record_lines(records: DataFrame, now: Column) -> DataFrame:
     """JSON line per record (kind, content, provenance), stamped with ``now`` in UTC."""
-    seconds = F.date_format(now, "yyyy-MM-dd'T'HH:mm:ss")
     micros = F.pmod(F.unix_micros(now), F.lit(1_000_000))
     stamp = F.concat(
-        seconds,
+        utc_text(now),
         F.when(micros > 0, F.format_string(".%06d", micros)).otherwise(""),
         F.lit("+00:00"),
     )

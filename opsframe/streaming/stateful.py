@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -135,12 +136,14 @@ def autoscale_stream(
 def stall_stream(
     heartbeats: DataFrame,
     intervals: dict[str, float],
+    delay: str,
     stall_seconds: float = 30.0,
-    delay: str = "0 seconds",
 ) -> DataFrame:
-    """Loops (loop, ts) that fall silent for longer than their limit in event time.
+    """Every silence of a loop (loop, ts) that is longer than its limit in event time.
 
-    Each loop keeps its last heartbeat and one event-time timeout after it.
+    Each loop keeps its last heartbeat and one event-time timeout after it.  Gaps between
+    heartbeats that arrive together are reported too, so the result does not depend on
+    how the input is cut into micro-batches.  Heartbeats later than ``delay`` are dropped.
     """
     limits = {k: int(max(stall_seconds, 3 * v) * 1000) for k, v in intervals.items()}
     default = int(stall_seconds * 1000)
@@ -152,12 +155,18 @@ def stall_stream(
             held.remove()
             yield pd.DataFrame({"loop": [key[0]], "last_ms": [last], "limit_ms": [limit]})
             return
-        newest = max(int(pdf["ts_ms"].max()) for pdf in batches)
-        if held.exists:
-            newest = max(newest, held.get[0])
+        known = [[held.get[0]]] if held.exists else []
+        beats = np.sort(np.concatenate(known + [pdf["ts_ms"].to_numpy() for pdf in batches]))
+        ends = beats[:-1][np.diff(beats) > limit].tolist()
+        newest = int(beats[-1])
         due = newest + limit + 1
-        if due <= held.getCurrentWatermarkMs():  # a heartbeat that came too late to matter
-            yield pd.DataFrame({"loop": [key[0]], "last_ms": [newest], "limit_ms": [limit]})
+        over = due <= held.getCurrentWatermarkMs()
+        ends += [newest] if over else []
+        if ends:
+            yield pd.DataFrame({"loop": key[0], "last_ms": ends, "limit_ms": limit})
+        if over:
+            if held.exists:
+                held.remove()
             return
         held.update((newest,))
         held.setTimeoutTimestamp(due)
@@ -172,11 +181,12 @@ def stall_stream(
     )
 
 
-def timeout_stream(changes: DataFrame, delay: str = "0 seconds") -> DataFrame:
+def timeout_stream(changes: DataFrame, delay: str) -> DataFrame:
     """Timed-out attempts of a stream of (attempt_id, ts, running, timeout_ms).
 
-    A row with ``running`` starts an attempt, one without ends it; what is not
-    ended in time is emitted when the watermark passes its limit.
+    A row with ``running`` starts an attempt, one without ends it.  An end after the limit is a
+    timeout, also if both come in one micro-batch; what is not ended at all is
+    emitted when the watermark passes its limit.  Rows later than ``delay`` are dropped.
     """
 
     def watch(key, batches, held):
@@ -186,11 +196,19 @@ def timeout_stream(changes: DataFrame, delay: str = "0 seconds") -> DataFrame:
             yield pd.DataFrame({"attempt_id": [key[0]], "due_ms": [due]})
             return
         pdf = pd.concat(list(batches))
-        if not pdf["running"].all():
+        starts, ends = pdf[pdf["running"]], pdf[~pdf["running"]]
+        if held.exists:
+            due = held.get[0]
+        elif len(starts):
+            due = int((starts["ts_ms"] + starts["timeout_ms"]).max())
+        else:
+            return  # the end of an attempt that is already reported
+        if len(ends):
             if held.exists:
                 held.remove()
+            if int(ends["ts_ms"].min()) > due:
+                yield pd.DataFrame({"attempt_id": [key[0]], "due_ms": [due]})
             return
-        due = int((pdf["ts_ms"] + pdf["timeout_ms"]).max())
         if due + 1 <= held.getCurrentWatermarkMs():
             yield pd.DataFrame({"attempt_id": [key[0]], "due_ms": [due]})
             return

@@ -54,7 +54,7 @@ def test_plan_tasks(spark):
         [("r1", 1, "agent", ["cap://software/testing/execute"], 0.5, 0.0)],
         "resource_id string, ord int, kind string, capability_ids array<string>, trust double, cost_estimate double",
     )
-    plans = flows.plan_tasks(tasks, resources)
+    plans = flows.plan_tasks(tasks, resources, "task-", "plan/", "plan.task.")
     assert [r.task_id for r in plans.runs.collect()] == [1]
-    assert plans.nodes.first().event_topic == "saf.task.cap-software-testing-execute"
+    assert plans.nodes.first().event_topic == "plan.task.cap-software-testing-execute"
     assert sorted(r.task_id for r in plans.candidates.collect()) == [1, 2]
