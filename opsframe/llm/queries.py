@@ -104,7 +104,48 @@ QUERIES = {
     "op10_improbable_features": op10_improbable_features,
 }
 
-ORACLES: dict[str, str] = {}
+_ESCAPED = "replace({0}, '\\', '\\b')"
+for _control, _code in zip(chat.INSTRUCT.control, chat.INSTRUCT.codes, strict=False):
+    _ESCAPED = f"replace({_ESCAPED}, '{_control}', '\\{_code}')"
+
+ORACLES: dict[str, str] = {
+    "op5_chat_machine": f"""WITH RECURSIVE t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+ UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS place,
+ length({_ESCAPED.format('text')}) + CASE role WHEN 'system' THEN 18 WHEN 'user' THEN 18 WHEN 'assistant' THEN 11
+  ELSE 17 + length({_ESCAPED.format('role')}) END AS chars FROM t),
+walk AS (SELECT conv_id, CAST(0 AS BIGINT) AS place, 'start' AS state, CAST(NULL AS BIGINT) AS fault FROM (SELECT DISTINCT conv_id FROM t)
+ UNION ALL SELECT w.conv_id, n.place, CASE WHEN list_contains(['start>system','start>user','system>user','user>assistant','assistant>user'], w.state || '>' || n.role)
+  THEN n.role ELSE w.state END, coalesce(w.fault, CASE WHEN NOT list_contains(['start>system','start>user','system>user','user>assistant','assistant>user'], w.state || '>' || n.role)
+  THEN n.place END) FROM walk w JOIN n ON n.conv_id = w.conv_id AND n.place = w.place + 1),
+ended AS (SELECT conv_id, coalesce(fault, CASE WHEN state NOT IN ('user','assistant') THEN place + 1 END) AS first_fault
+ FROM walk QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY place DESC) = 1)
+SELECT n.conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY n.place)) AS turns_sha256,
+ CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+ sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY n.place), '')) AS loss_sha256,
+ CAST(sum(chars) AS BIGINT) AS formatted_chars, any_value(first_fault) IS NULL AS valid, any_value(first_fault) AS first_fault
+ FROM n JOIN ended USING (conv_id) GROUP BY n.conv_id""",
+    "op8_sainte_lague": """WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
+ md5(coalesce(text, '')) AS digest FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source IS NULL, source) - 1 AS rank FROM d GROUP BY source),
+w AS (SELECT *, CASE rank % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight, 3 * source_size AS full_size FROM s),
+l AS (SELECT *, ((SELECT sum(source_size) FROM s) - coalesce(sum(full_size) OVER (ORDER BY full_size / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+ / sum(weight) OVER (ORDER BY full_size / weight, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
+t AS (SELECT *, CASE WHEN full_size <= level * weight THEN CAST(full_size AS DOUBLE) ELSE weight * (SELECT level FROM l WHERE full_size > level * weight
+ ORDER BY full_size / weight, rank LIMIT 1) END AS target FROM l),
+seats AS (SELECT source, count(*) AS seats FROM (SELECT source, rank, target / (2 * seat + 1) AS quotient, seat
+ FROM t, unnest(range(0, CAST(target / 64 AS BIGINT) + 3)) AS u(seat) WHERE target > 0
+ ORDER BY quotient DESC, rank, seat LIMIT (SELECT CAST(round(sum(source_size) / 64) AS BIGINT) FROM s)) GROUP BY source),
+r AS (SELECT t.source, source_size, target, least(coalesce(seats, 0) * 64, full_size) AS run,
+ CASE WHEN source_size > 0 THEN CAST('0x' || substr(md5('mix-1|' || coalesce(t.source, '-')), 1, 12) AS BIGINT) % source_size ELSE 0 END AS start
+ FROM t LEFT JOIN seats ON seats.source IS NOT DISTINCT FROM t.source),
+p AS (SELECT doc_id, source, size, coalesce(sum(size) OVER (PARTITION BY source ORDER BY md5('mix-1|' || coalesce(CAST(doc_id AS VARCHAR), '-') || '|' || digest || '|0'), doc_id, size
+ ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM d)
+SELECT doc_id, p.source, size, source_size, target, CAST(CASE WHEN source_size = 0 THEN 0 ELSE (run // source_size) * size
+ + greatest(0, least(pos + size, least(start + run % source_size, source_size)) - greatest(pos, start))
+ + greatest(0, least(pos + size, start + run % source_size - source_size) - pos) END AS BIGINT) AS taken
+ FROM p JOIN r ON r.source IS NOT DISTINCT FROM p.source""",
+}
 
 
 def all_queries():
