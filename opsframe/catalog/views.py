@@ -67,7 +67,7 @@ VIEWS: dict[str, str] = {
     "heartbeats": """SELECT event_type AS loop, ts FROM events""",
     "audit": """SELECT event_id AS id, ts, CAST(user_id AS VARCHAR) AS actor, event_type AS action, props AS resource FROM events""",
     "ledger_body": """SELECT conv_id AS chain_id, turn AS seq,
- '{"role":"' || role || '","len":' || CAST(length(text) AS VARCHAR) || '}' AS body FROM conversations""",
+ role || ': ' || text AS body FROM conversations""",
     "tasks": """SELECT o_orderkey AS task_id, ['Inspect the repos','Refactoring pass','run TESTS now',
  'latest contest digit','Git commit of work','research the web','open Browser tab','verifying proof','plain chore',
  'send report','undelete row','redeploy unit','delete row','deploy unit','drop it','wipe disk then verify'][1 + o_orderkey % 16]

@@ -287,7 +287,7 @@ def ledger_body(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "conversations").selectExpr(
         "conv_id as chain_id",
         "turn as seq",
-        "concat('{\"role\":\"', role, '\",\"len\":', length(text), '}') as body",
+        "concat(role, ': ', text) as body",
     )
 
 
