@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,8 +26,9 @@ PAIRS = 1 << 20
 BACKOFF = 5.0
 SMOOTHING = 0.5
 _FLUSH = 2_000_000
-#: Cells that are sent to the driver as one row.
+#: Cells that travel as one row, and groups in which tasks' blocks are first added up.
 _BLOCK = 1 << 13
+_PARTS = 64
 
 
 def token_ids(text: str | None) -> np.ndarray:
@@ -43,9 +45,9 @@ def pair_cells(ids: np.ndarray) -> np.ndarray:
 
 
 def count_cells(texts: DataFrame, text: str = "text") -> DataFrame:
-    """(cell, n) over all texts: word ids as they are, word pairs after them, contexts after those.
+    """Counts over all texts, as packed blocks of cells: word ids, then word pairs, then contexts.
 
-    Each task adds up what it has seen before it sends anything, so a frequent word is one row per task.
+    Each task adds up what it has seen before it sends anything, so a frequent word is one number per task.
     """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -62,12 +64,19 @@ def count_cells(texts: DataFrame, text: str = "text") -> DataFrame:
                     held, size = [], 0
             if held:
                 np.add(total, np.bincount(np.concatenate(held), minlength=len(total)), out=total)
-        seen = np.flatnonzero(total)
-        for part in np.array_split(seen, max(1, len(seen) // 100_000)):
-            yield pd.DataFrame({"cell": part.astype(np.int32), "n": total[part]})
+        part = TaskContext.get().partitionId() % _PARTS
+        for block, cells in enumerate(total.reshape(-1, _BLOCK)):
+            if cells.any():
+                yield pd.DataFrame({"block": [block], "part": [part], "packed": [cells.tobytes()]})
 
-    partial = texts.select(quoted(text).alias("text")).mapInPandas(count, "cell int, n long")
-    return partial.groupBy("cell").agg(F.sum("n").alias("n"))
+    def add(rows: pd.DataFrame) -> pd.DataFrame:
+        whole = sum(np.frombuffer(p, np.int64) for p in rows["packed"])
+        return pd.DataFrame({"block": rows["block"].iloc[:1], "part": [0], "packed": [whole.tobytes()]})
+
+    kind = "block int, part int, packed binary"
+    partial = texts.select(quoted(text).alias("text")).mapInPandas(count, kind)
+    # in two steps, so no task adds up what all tasks have sent
+    return partial.groupBy("block", "part").applyInPandas(add, kind).groupBy("block").applyInPandas(add, kind)
 
 
 @dataclass
@@ -81,17 +90,9 @@ class Bigrams:
     @staticmethod
     def of(counts: DataFrame) -> Bigrams:
         """The counts brought together: at most 2 * VOCABULARY + PAIRS numbers, whatever the corpus."""
-
-        def pack(part: pd.DataFrame) -> pd.DataFrame:
-            block = int(part["cell"].iloc[0]) // _BLOCK
-            filled = np.zeros(_BLOCK, np.float32)
-            filled[part["cell"].to_numpy() % _BLOCK] = part["n"]
-            return pd.DataFrame({"block": [block], "packed": [filled.tobytes()]})
-
-        blocks = counts.groupBy(F.floor(F.col("cell") / _BLOCK)).applyInPandas(pack, "block int, packed binary")
         total = np.zeros(2 * VOCABULARY + PAIRS, np.float32)
-        for row in blocks.collect():
-            total[row["block"] * _BLOCK : (row["block"] + 1) * _BLOCK] = np.frombuffer(row["packed"], np.float32)
+        for row in counts.collect():
+            total[row["block"] * _BLOCK : (row["block"] + 1) * _BLOCK] = np.frombuffer(row["packed"], np.int64)
         return Bigrams(*np.split(total, [VOCABULARY, VOCABULARY + PAIRS]))
 
     def losses(self, ids: np.ndarray, cells: np.ndarray, whole: float) -> np.ndarray:
