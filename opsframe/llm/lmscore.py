@@ -1,15 +1,16 @@
 """Cross-entropy difference: how much better a target model foresees a text than a background model.
 
 Both models are bigram models with the same vocabulary and the same smoothing; one counts the target
-texts, the other all texts.  Words hash into a fixed number of ids and word pairs into a fixed number of cells,
-so every word and pair of the corpus is counted, while a model has a fixed size.  A document's
+texts, the other all texts.  Words, word pairs and contexts are told apart by 63-bit hashes, so no two of
+them share a count in practice, and the tables of counts grow with the corpus.  No task and no driver holds a
+model: texts are taken in chunks, each chunk's counts go to ranges of the hash space as packed blocks, are added up
+there, and the sums of just its own keys come back to the chunk.  A document's
 score is the mean difference of the two losses per token; lower is more like the target.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -18,117 +19,147 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from opsframe.llm.base import quoted
-from opsframe.llm.shingles import _HASH, mix, words_of
+from opsframe.llm.shingles import _HASH, _ODD, mix, words_of
+from opsframe.session import scratch_folder
 
+#: Words that the smoothing makes room for at least; a corpus with more distinct words gets as many.
 VOCABULARY = 1 << 17
-PAIRS = 1 << 20
 #: Tokens that a context must have been seen to weigh as much as the unigram below it.
 BACKOFF = 5.0
 SMOOTHING = 0.5
-_FLUSH = 2_000_000
-#: Cells that travel as one row, and groups in which tasks' blocks are first added up.
-_BLOCK = 1 << 13
-_PARTS = 64
+#: Tokens of a chunk of whole documents; a longer document is a chunk of its own.
+_CHUNK = 1_500_000
+#: Ranges of the hash space at least, and characters of input for each when there are more.
+_RANGES = 256
+_RANGE_CHARS = 16_000_000
 
 
 def token_ids(text: str | None) -> np.ndarray:
-    """Shared ids of the words, after a mark for the beginning (id 0)."""
+    """64-bit hashes of the words, after a mark for the beginning (0)."""
     words = words_of(text)
-    h = np.fromiter(map(_HASH.__getitem__, words), np.uint64, len(words))
-    ids = (h % np.uint64(VOCABULARY - 1)).astype(np.int64) + 1
-    return np.concatenate(([0], ids))
+    return np.fromiter((0, *map(_HASH.__getitem__, words)), np.uint64, len(words) + 1)
 
 
 def pair_cells(ids: np.ndarray) -> np.ndarray:
-    key = (ids[:-1].astype(np.uint64) << np.uint64(32)) | ids[1:].astype(np.uint64)
-    return (mix(key) % np.uint64(PAIRS)).astype(np.int64)
+    """Key of each word with the one before it; even, as only words have odd keys."""
+    return mix(ids[:-1] * _ODD[0] + mix(ids[1:] + _ODD[1])) & ~np.uint64(1)
 
 
-def count_cells(texts: DataFrame, text: str = "text") -> DataFrame:
-    """Counts over all texts, as packed blocks of cells: word ids, then word pairs, then contexts.
+def _word_keys(ids: np.ndarray) -> np.ndarray:
+    return mix(ids[1:] + _ODD[2]) | np.uint64(1)
 
-    Each task adds up what it has seen before it sends anything, so a frequent word is one number per task.
-    """
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(2 * VOCABULARY + PAIRS, np.int64)
-        for batch in batches:
-            held, size = [], 0
-            for body in batch["text"]:
-                ids = token_ids(body)
-                if len(ids) > 1:
-                    held += [ids[1:], VOCABULARY + pair_cells(ids), VOCABULARY + PAIRS + ids[:-1]]
-                    size += 3 * len(ids)
-                if size > _FLUSH:
-                    np.add(total, np.bincount(np.concatenate(held), minlength=len(total)), out=total)
-                    held, size = [], 0
-            if held:
-                np.add(total, np.bincount(np.concatenate(held), minlength=len(total)), out=total)
-        part = TaskContext.get().partitionId() % _PARTS
-        for block, cells in enumerate(total.reshape(-1, _BLOCK)):
-            if cells.any():
-                yield pd.DataFrame({"block": [block], "part": [part], "packed": [cells.tobytes()]})
+def _context_keys(ids: np.ndarray) -> np.ndarray:
+    return mix(ids[:-1] + _ODD[3]) & ~np.uint64(1)
 
-    def add(rows: pd.DataFrame) -> pd.DataFrame:
-        whole = sum(np.frombuffer(p, np.int64) for p in rows["packed"])
-        return pd.DataFrame({"block": rows["block"].iloc[:1], "part": [0], "packed": [whole.tobytes()]})
 
-    kind = "block int, part int, packed binary"
-    partial = texts.select(quoted(text).alias("text")).mapInPandas(count, kind)
-    # in two steps, so no task adds up what all tasks have sent
-    return partial.groupBy("block", "part").applyInPandas(add, kind).groupBy("block").applyInPandas(add, kind)
+def _keys(texts: list[np.ndarray]) -> np.ndarray:
+    """All keys of some texts: words, then pairs, then contexts, each in the order of the tokens."""
+    return np.concatenate([f(ids) for f in (_word_keys, pair_cells, _context_keys) for ids in texts])
 
 
-@dataclass
-class Bigrams:
-    """Log probabilities from hashed counts: the pair's share, mixed with the smoothed share of the word."""
+def chunked(docs: DataFrame, chosen: DataFrame, bits: int) -> DataFrame:
+    """Documents with their chunk, and each chunk's counts by range of the hash space.
 
-    words: np.ndarray
-    pairs: np.ndarray
-    contexts: np.ndarray
+    Rows with a ``bucket`` are sorted keys and their counts, ``target`` or not, the first with the chunk's tokens; the
+    others are documents.
+    """
+    fields = ["chunk", "doc_id", "text", "tokens", "bucket", "target", "keys", "counts"]
+    both = docs.withColumn("target", F.lit(False)).unionByName(
+        chosen.select(F.lit(None).cast(docs.schema["doc_id"].dataType).alias("doc_id"), "text", F.lit(True).alias("target"))
+    )
+
+    def blocks(chunk: int, target: bool, texts: list[np.ndarray]) -> Iterator[pd.DataFrame]:
+        keys, counts = np.unique(_keys(texts), return_counts=True)
+        buckets = (keys >> np.uint64(64 - bits)).astype(np.int64)
+        cuts = np.flatnonzero(np.diff(buckets, prepend=-1))
+        n = sum(len(ids) - 1 for ids in texts)
+        rows = [
+            (chunk, None, None, 0 if a else n, int(buckets[a]), target, keys[a:b].tobytes(), counts[a:b].tobytes())
+            for a, b in zip(cuts, [*cuts[1:], len(keys)], strict=True)
+        ]
+        yield pd.DataFrame(rows, columns=fields, dtype=object)
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        chunk = TaskContext.get().partitionId() << 32
+        held: dict[bool, list[np.ndarray]] = {False: [], True: []}
+        size = {False: 0, True: 0}
+        for batch in batches:
+            out = []
+            for doc, body, target in zip(batch["doc_id"], batch["text"], batch["target"], strict=True):
+                ids, target = token_ids(body), bool(target)
+                if size[target] and size[target] + len(ids) > _CHUNK:
+                    yield from blocks(chunk, target, held[target])
+                    held[target], size[target] = [], 0
+                    chunk += not target
+                if len(ids) > 1:
+                    held[target].append(ids)
+                    size[target] += len(ids)
+                if not target:
+                    out.append((chunk, doc, body, len(ids) - 1, None, None, None, None))
+            yield pd.DataFrame(out, columns=fields, dtype=object)
+        for target, texts in held.items():
+            if texts:
+                yield from blocks(chunk, target, texts)
 
-    @staticmethod
-    def of(counts: DataFrame) -> Bigrams:
-        """The counts brought together: at most 2 * VOCABULARY + PAIRS numbers, whatever the corpus."""
-        total = np.zeros(2 * VOCABULARY + PAIRS, np.float32)
-        for row in counts.collect():
-            total[row["block"] * _BLOCK : (row["block"] + 1) * _BLOCK] = np.frombuffer(row["packed"], np.int64)
-        return Bigrams(*np.split(total, [VOCABULARY, VOCABULARY + PAIRS]))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return both.mapInPandas(
+        work, f"chunk long, doc_id {kind}, text string, tokens long, bucket long, target boolean, keys binary, counts binary"
+    )
 
-    def losses(self, ids: np.ndarray, cells: np.ndarray, whole: float) -> np.ndarray:
-        """Nats per token; ``whole`` is the number of tokens the model counted."""
-        word = (self.words[ids[1:]] + SMOOTHING) / (whole + SMOOTHING * VOCABULARY)
-        context = self.contexts[ids[:-1]]
-        return -np.log((np.minimum(self.pairs[cells], context) + BACKOFF * word) / (context + BACKOFF))
 
+def summed(blocks: DataFrame) -> DataFrame:
+    """Each chunk's keys with their sums in both models, in the order of the keys; ``words``: distinct words of a range."""
 
-def score_texts(
-    docs: DataFrame, target: Bigrams, background: Bigrams, key: str = "doc_id", text: str = "text"
-) -> DataFrame:
+    def add(rows: pd.DataFrame) -> pd.DataFrame:
+        keys = [np.frombuffer(k, np.uint64) for k in rows["keys"]]
+        ends = np.cumsum([len(k) for k in keys])
+        distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
+        counts = np.concatenate([np.frombuffer(c, np.int64) for c in rows["counts"]])
+        target = np.repeat(rows["target"].to_numpy(bool), [len(k) for k in keys])
+        sums = [np.bincount(place[side], counts[side], len(distinct)).astype(np.int64) for side in (target, ~target)]
+        bucket, words = int(rows["bucket"].iloc[0]), int((distinct & np.uint64(1)).sum())
+        out = [(None, bucket, None, None, words)]
+        for chunk, chosen, end, own in zip(rows["chunk"], rows["target"], ends, keys, strict=True):
+            if not chosen:
+                part = place[end - len(own) : end]
+                out.append((chunk, bucket, sums[0][part].tobytes(), sums[1][part].tobytes(), 0))
+        return pd.DataFrame(out, columns=["chunk", "bucket", "in_target", "in_all", "words"], dtype=object)
+
+    return blocks.groupBy("bucket").applyInPandas(add, "chunk long, bucket long, in_target binary, in_all binary, words long")
+
+
+def _losses(words: np.ndarray, pairs: np.ndarray, contexts: np.ndarray, whole: int, vocabulary: int) -> np.ndarray:
+    """Nats per token: the pair's share, mixed with the smoothed share of the word."""
+    word = (words + SMOOTHING) / (whole + SMOOTHING * vocabulary)
+    return -np.log((pairs + BACKOFF * word) / (contexts + BACKOFF))
+
+
+def score_chunks(docs: DataFrame, sums: DataFrame, wholes: tuple[int, int], vocabulary: int) -> DataFrame:
     """doc_id, n_tokens, loss_target, loss_background, score (their difference) per document."""
-    context = docs.sparkSession.sparkContext
-    shared = context.broadcast((target, background))  # of fixed size
     names = ["doc_id", "n_tokens", "loss_target", "loss_background", "score"]
-    rows = docs.select(quoted(key).alias("doc_id"), quoted(text).alias("text"))
-    kind = rows.schema["doc_id"].dataType.simpleString()
-
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        models = shared.value
-        wholes = [float(m.words.sum(dtype=np.float64)) for m in models]
-        for batch in batches:
-            out = []
-            for doc, body in zip(batch["doc_id"], batch["text"], strict=True):
-                ids = token_ids(body)
-                n = len(ids) - 1
-                if not n:
-                    out.append((doc, 0, None, None, None))
-                    continue
-                cells = pair_cells(ids)
-                a, b = (float(m.losses(ids, cells, w).mean(dtype=np.float64)) for m, w in zip(models, wholes, strict=True))
-                out.append((doc, n, a, b, a - b))
-            yield pd.DataFrame(out, columns=names).astype({c: "float64" for c in names[2:]})
 
-    return rows.mapInPandas(work, f"doc_id {kind}, n_tokens long, loss_target double, loss_background double, score double")
+    def work(rows: pd.DataFrame, blocks: pd.DataFrame) -> pd.DataFrame:
+        out = pd.DataFrame({"doc_id": rows["doc_id"], "n_tokens": rows["tokens"]}).assign(**dict.fromkeys(names[2:], np.nan))
+        full = np.flatnonzero(rows["tokens"].to_numpy() > 0)
+        if len(full):
+            blocks = blocks.sort_values("bucket")
+            distinct, place = np.unique(_keys([token_ids(t) for t in rows["text"].iloc[full]]), return_inverse=True)
+            n = rows["tokens"].to_numpy()[full]
+            starts = np.cumsum(n) - n
+            for name, column, whole in zip(names[2:4], ["in_target", "in_all"], wholes, strict=True):
+                total = np.concatenate([np.frombuffer(b, np.int64) for b in blocks[column]])
+                if len(total) != len(distinct):
+                    raise ValueError(f"{len(total)} sums for {len(distinct)} keys of a chunk")
+                per_token = _losses(*np.split(total[place], 3), whole, vocabulary)
+                out.iloc[full, out.columns.get_loc(name)] = np.add.reduceat(per_token, starts) / n
+            out["score"] = out["loss_target"] - out["loss_background"]
+        return out
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.groupBy("chunk").cogroup(sums.groupBy("chunk")).applyInPandas(
+        work, f"doc_id {kind}, n_tokens long, loss_target double, loss_background double, score double"
+    )
 
 
 def cross_entropy_difference(
@@ -140,6 +171,22 @@ def cross_entropy_difference(
     scored each.  Without target texts the target model is flat.  An empty table gives no rows.
     Other columns are not looked at.
     """
-    background = Bigrams.of(count_cells(docs, text))
-    target = Bigrams.of(count_cells(chosen, body))
-    return score_texts(docs, target, background, key, text)
+    spark = docs.sparkSession
+    docs = docs.select(quoted(key).alias("doc_id"), quoted(text).alias("text"))
+    chosen = chosen.select(quoted(body).alias("text"))
+    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    bits = (max(_RANGES, chars // _RANGE_CHARS + 1) - 1).bit_length()
+    folder = scratch_folder(spark, "chunks")  # a chunk must stay the same in both steps
+    chunked(docs, chosen, bits).write.parquet(folder)
+    rows = spark.read.parquet(folder)
+    folder = scratch_folder(spark, "sums")
+    summed(rows.filter("bucket is not null").select("chunk", "bucket", "target", "keys", "counts")).write.parquet(folder)
+    sums = spark.read.parquet(folder)
+    wholes = {r["target"]: r["n"] for r in rows.filter("bucket is not null").groupBy("target").agg(F.sum("tokens").alias("n")).collect()}
+    words = sums.agg(F.sum("words")).first()[0] or 0
+    return score_chunks(
+        rows.filter("bucket is null").select("chunk", "doc_id", "text", "tokens"),
+        sums.filter("chunk is not null").select("chunk", "bucket", "in_target", "in_all"),
+        (wholes.get(True, 0), wholes.get(False, 0)),
+        max(VOCABULARY, words),
+    )

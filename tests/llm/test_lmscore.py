@@ -60,3 +60,32 @@ def test_query(spark):
     sf = "/root/testdata/sf0.001"
     got = QUERIES["op9_entropy_difference"](spark, sf)
     assert got.count() == spark.read.parquet(f"{sf}/documents.parquet").count()
+
+
+def test_counts_are_those_of_words_and_pairs_themselves(spark, monkeypatch):
+    """Against counts of the strings, with more words than the vocabulary has room for and texts in many chunks."""
+    monkeypatch.setattr(lm, "_CHUNK", 20_000)
+    rng = random.Random(5)
+    docs = [(i, " ".join(f"w{j}" for j in range(i * 4000, i * 4000 + 4000))) for i in range(35)]
+    docs += [(100 + i, " ".join(f"w{int(rng.random() ** 4 * 140_000)}" for _ in range(3000))) for i in range(30)]
+    chosen = [t for i, t in docs if i % 2]
+
+    def model(texts):
+        split = [["", *t.split()] for t in texts]
+        words = Counter(w for s in split for w in s[1:])
+        return words, Counter(p for s in split for p in zip(s, s[1:])), Counter(w for s in split for w in s[:-1]), sum(words.values())
+
+    def loss(m, t):
+        words, pairs, contexts, whole = m
+        tokens, out = ["", *t.split()], 0.0
+        for a, b in zip(tokens, tokens[1:]):
+            word = (words[b] + lm.SMOOTHING) / (whole + lm.SMOOTHING * 140_000)
+            out -= math.log((pairs[a, b] + lm.BACKOFF * word) / (contexts[a] + lm.BACKOFF))
+        return out / (len(tokens) - 1)
+
+    target, background = model(chosen), model([t for _, t in docs])
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r for r in lm.cross_entropy_difference(frame, spark.createDataFrame([(t,) for t in chosen], "text string")).collect()}
+    assert len(got) == len(docs)
+    for i, t in docs:
+        assert abs(got[i]["loss_target"] - loss(target, t)) < 1e-9 and abs(got[i]["loss_background"] - loss(background, t)) < 1e-9
