@@ -3,6 +3,7 @@
 Numbers, units and names become typed placeholders, so a question keeps its windows when its
 values are exchanged.  Windows of both sides are joined by hash.  Where a window matches, the exchanged values
 must be consistent: one benchmark value stands for one value in the document, all through.
+Windows of the lower-cased words as they stand are joined beside them, for copies in another case and items of any kind or length.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from opsframe.llm.base import fresh, quoted
-from opsframe.llm.shingles import mix, multiplier
+from opsframe.llm.shingles import _ODD, mix, multiplier
 from opsframe.session import scratch_folder
 
 WINDOW = 8
@@ -98,13 +99,21 @@ def windows(canonical: np.ndarray, kind: np.ndarray, size: int = WINDOW) -> tupl
     return mix(out + np.uint64(n)), words >= min(LITERALS, n)
 
 
+def verbatim(own: np.ndarray, size: int = WINDOW) -> np.ndarray:
+    """Hash of each window of the words as they stand, apart from all template windows."""
+    return mix(windows(own, np.zeros(len(own), np.int8), size)[0] + _ODD[4])
+
+
 def _slots(own: np.ndarray, kind: np.ndarray, at: int, n: int) -> list[int]:
     part = slice(at, at + n)
     return own[part][kind[part] != WORD].view(np.int64).tolist()
 
 
 def item_windows(items: DataFrame, key: str = "item_id", text: str = "text") -> DataFrame:
-    """All template windows of the benchmark: item_id, need, place, hash, slots."""
+    """All windows of the benchmark, templates and verbatim ones: item_id, verbatim, need, place, hash, size, slots.
+
+    The first window is there twice if its first word would be a name inside a sentence, where a copy may stand.
+    """
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tokens = Tokens()
@@ -112,17 +121,26 @@ def item_windows(items: DataFrame, key: str = "item_id", text: str = "text") ->
             out = []
             for item, body in zip(batch["item_id"], batch["text"], strict=True):
                 canonical, own, kind = tokens.of(body or "")
-                hashes, good = windows(canonical, kind)
                 n = min(WINDOW, len(own))
+                whole = verbatim(own)
+                need = min(WINDOWS_NEEDED, len(np.unique(whole)))
+                out += [(item, True, need, i, h, n, []) for i, h in enumerate(whole.view(np.int64).tolist())]
                 if n < LITERALS:
-                    continue  # too short to be told from common speech
-                need = min(WINDOWS_NEEDED, len(np.unique(hashes[good])))
-                out += [(item, need, int(i), int(hashes[i].view(np.int64)), n, _slots(own, kind, i, n)) for i in np.flatnonzero(good)]
-            yield pd.DataFrame(out, columns=["item_id", "need", "place", "hash", "size", "slots"])
+                    continue  # a template this short cannot be told from common speech
+                hashes, good = windows(canonical, kind)
+                inside = [x[1:] for x in tokens.of("x " + (body or ""))]
+                also, fine = windows(inside[0][:n], inside[2][:n])
+                sure = good.copy()
+                sure[0] &= fine[0]
+                need = min(WINDOWS_NEEDED, max(1, len(np.unique(hashes[sure]))))
+                out += [(item, False, need, int(i), int(hashes[i].view(np.int64)), n, _slots(own, kind, i, n)) for i in np.flatnonzero(good)]
+                if fine[0] and kind[0] != inside[2][0]:
+                    out.append((item, False, need, 0, int(also[0].view(np.int64)), n, _slots(own, inside[2], 0, n)))
+            yield pd.DataFrame(out, columns=["item_id", "verbatim", "need", "place", "hash", "size", "slots"])
 
     rows = items.select(quoted(key).alias("item_id"), quoted(text).alias("text"))
     kind = rows.schema["item_id"].dataType.simpleString()
-    return rows.mapInPandas(work, f"item_id {kind}, need int, place int, hash long, size int, slots array<long>")
+    return rows.mapInPandas(work, f"item_id {kind}, verbatim boolean, need int, place int, hash long, size int, slots array<long>")
 
 
 def _filter_words(wanted: DataFrame) -> np.ndarray:
@@ -141,6 +159,11 @@ def document_hits(docs: DataFrame, filter_words: np.ndarray, sizes: list[int], t
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tokens, bits = Tokens(), shared.value
+
+        def known(hashes: np.ndarray) -> np.ndarray:
+            bit = hashes % np.uint64(FILTER_BITS)
+            return (bits[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
+
         for batch in batches:
             out = []
             for row in zip(*[batch[c] for c in carry], batch["_text"], strict=True):
@@ -148,10 +171,13 @@ def document_hits(docs: DataFrame, filter_words: np.ndarray, sizes: list[int], t
                 for size in sizes:
                     if len(own) < size:
                         continue
+                    names, first = np.unique(verbatim(own, size), return_index=True)
+                    for i in np.flatnonzero(known(names)):
+                        out.append((*row[:-1], int(first[i]), int(names[i].view(np.int64)), size, []))
+                    if size < LITERALS:
+                        continue
                     hashes, good = windows(canonical, kind, size)
-                    bit = hashes % np.uint64(FILTER_BITS)
-                    held = (bits[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1)
-                    found = np.flatnonzero(good & (held == 1))
+                    found = np.flatnonzero(good & known(hashes))
                     filled = np.concatenate(([0], np.cumsum(kind != WORD)))
                     told: set[int] = set()
                     for i in found:
@@ -172,8 +198,9 @@ def leaks(docs: DataFrame, items: DataFrame, carry: list[str], text: str = "text
 
     Further columns: item_id, windows (different windows of the item found), need, changed (whether values
     were exchanged).  Only windows whose values are exchanged consistently count: within a window by themselves, and
-    between windows by the exchange that most windows agree on.  Null texts are empty; texts and items of fewer than
-    four words match nothing; an item shorter than a window is one window; repeated rows of equal carried columns count
+    between windows by the exchange that most windows agree on.  Windows of the words as they stand, whatever their case, count
+    by themselves and may reach their need instead.  Null texts are empty; items of fewer than four words match as
+    they stand only; an item shorter than a window is one window; repeated rows of equal carried columns count
     once; empty tables give no rows.
     """
     wanted = item_windows(items, key, body)
@@ -185,7 +212,7 @@ def leaks(docs: DataFrame, items: DataFrame, carry: list[str], text: str = "text
     functional = F.size(F.array_distinct("slots")) == F.size("exchange")  # one value for each benchmark value
     sound = pairs.filter(functional).withColumn("changed", F.exists("exchange", lambda e: e["was"] != e["now"]))
     keys = [*carry, "item_id"]
-    per_window = sound.groupBy(*keys, "need", "place").agg(F.min("changed").alias("changed"), F.min(F.struct("changed", "exchange"))["exchange"].alias("exchange"))
+    per_window = sound.groupBy(*keys, "verbatim", "need", "place").agg(F.min("changed").alias("changed"), F.min(F.struct("changed", "exchange"))["exchange"].alias("exchange"))
     folder = scratch_folder(docs.sparkSession, "windows")  # used twice below
     per_window.write.parquet(folder)
     per_window = docs.sparkSession.read.parquet(folder)
@@ -200,10 +227,10 @@ def leaks(docs: DataFrame, items: DataFrame, carry: list[str], text: str = "text
     kept = per_window.join(renamed, match, "left").filter(
         F.forall("exchange", lambda e: F.element_at("agreed", e["was"]) == e["now"])
     )
-    return (
-        kept.groupBy(*keys, "need").agg(F.count("*").alias("windows"), F.max("changed").alias("changed"))
-        .filter("windows >= need").select(*keys, "windows", "need", "changed")
-    )
+    counted = kept.groupBy(*keys, "verbatim", "need").agg(F.count("*").alias("windows"), F.max("changed").alias("changed"))
+    leaked = counted.filter("windows >= need")
+    best = leaked.groupBy(*keys).agg(F.max(F.struct("windows", ~F.col("verbatim"), "need", "changed")).alias("best"))
+    return best.select(*keys, "best.windows", "best.need", "best.changed")
 
 
 def leak_pairs(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -69,3 +69,23 @@ def test_query_finds_copied_items(spark):
         words = items[i].split()
         runs = {" ".join(words[k : k + 8]) for k in range(len(words) - 7)}
         assert sum(run in docs[d] for run in runs) >= 2, (d, i)
+
+
+def test_whole_copies_in_any_case_place_and_length(spark):
+    rows, items = cases()
+    items += [
+        (11, "Each farmer sells 12 apples to a baker at noon today.", 0),  # ten words: all windows are needed
+        (12, "12 kg 30 kg Anna Bruno 7 8 9 km", 0), (13, "Blue heron", 0),
+    ]
+    rows = [(d, t, {1} if d == 11 else want) for d, t, want in rows]  # an upper-cased copy is a copy
+    rows += [
+        (20, "so we said " + items[-3][1], {11}), (21, "so we said " + items[-3][1].replace("12", "15"), {11}),
+        (22, ITEM.lower(), {1}), (23, "tor mel 12 kg 30 kg Anna Bruno 7 8 9 km pa", {12}), (24, "a BLUE heron.", {13}),
+        (25, "blue herons and a heron", set()),
+    ]
+    docs = spark.createDataFrame([(d, t, "x", 1) for d, t, _ in rows], DOCS).repartition(3)
+    got = {}
+    for r in leak_pairs(docs, spark.createDataFrame(items, ITEMS)).collect():
+        got.setdefault(r["doc_id"], set()).add(r["item_id"])
+        assert r["changed"] == (r["doc_id"] in (1, 2, 4, 21))
+    assert got == {d: want for d, _, want in rows if want}
