@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opsframe.llm.base import fresh, quoted
+from opsframe.llm.base import fresh, null_safe, quoted
 from opsframe.llm.shingles import _ODD, mix, multiplier
 from opsframe.session import scratch_folder
 
@@ -110,7 +110,7 @@ def _slots(own: np.ndarray, kind: np.ndarray, at: int, n: int) -> list[int]:
 
 
 def item_windows(items: DataFrame, key: str = "item_id", text: str = "text") -> DataFrame:
-    """All windows of the benchmark, templates and verbatim ones: item_id, verbatim, need, place, hash, size, slots.
+    """All windows of the benchmark, templates and verbatim ones: item_id, verbatim, need, length, place, hash, size, slots.
 
     The first window is there twice if its first word would be a name inside a sentence, where a copy may stand.
     """
@@ -124,7 +124,7 @@ def item_windows(items: DataFrame, key: str = "item_id", text: str = "text") ->
                 n = min(WINDOW, len(own))
                 whole = verbatim(own)
                 need = min(WINDOWS_NEEDED, len(np.unique(whole)))
-                out += [(item, True, need, i, h, n, []) for i, h in enumerate(whole.view(np.int64).tolist())]
+                out += [(item, True, need, len(own), i, h, n, []) for i, h in enumerate(whole.view(np.int64).tolist())]
                 if n < LITERALS:
                     continue  # a template this short cannot be told from common speech
                 hashes, good = windows(canonical, kind)
@@ -133,14 +133,14 @@ def item_windows(items: DataFrame, key: str = "item_id", text: str = "text") ->
                 sure = good.copy()
                 sure[0] &= fine[0]
                 need = min(WINDOWS_NEEDED, max(1, len(np.unique(hashes[sure]))))
-                out += [(item, False, need, int(i), int(hashes[i].view(np.int64)), n, _slots(own, kind, i, n)) for i in np.flatnonzero(good)]
+                out += [(item, False, need, len(own), int(i), int(hashes[i].view(np.int64)), n, _slots(own, kind, i, n)) for i in np.flatnonzero(good)]
                 if fine[0] and kind[0] != inside[2][0]:
-                    out.append((item, False, need, 0, int(also[0].view(np.int64)), n, _slots(own, inside[2], 0, n)))
-            yield pd.DataFrame(out, columns=["item_id", "verbatim", "need", "place", "hash", "size", "slots"])
+                    out.append((item, False, need, len(own), 0, int(also[0].view(np.int64)), n, _slots(own, inside[2], 0, n)))
+            yield pd.DataFrame(out, columns=["item_id", "verbatim", "need", "length", "place", "hash", "size", "slots"])
 
     rows = items.select(quoted(key).alias("item_id"), quoted(text).alias("text"))
     kind = rows.schema["item_id"].dataType.simpleString()
-    return rows.mapInPandas(work, f"item_id {kind}, verbatim boolean, need int, place int, hash long, size int, slots array<long>")
+    return rows.mapInPandas(work, f"item_id {kind}, verbatim boolean, need int, length int, place int, hash long, size int, slots array<long>")
 
 
 def _filter_words(wanted: DataFrame) -> np.ndarray:
@@ -154,7 +154,7 @@ def _filter_words(wanted: DataFrame) -> np.ndarray:
 
 
 def document_hits(docs: DataFrame, filter_words: np.ndarray, sizes: list[int], text: str, carry: list[str]) -> DataFrame:
-    """Windows of documents that may be the benchmark's: the carried columns, place, hash, size, slots."""
+    """Windows of documents that may be the benchmark's: the carried columns, row (hash of the text), place, hash, size, slots."""
     shared = docs.sparkSession.sparkContext.broadcast(filter_words)
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -168,12 +168,13 @@ def document_hits(docs: DataFrame, filter_words: np.ndarray, sizes: list[int], t
             out = []
             for row in zip(*[batch[c] for c in carry], batch["_text"], strict=True):
                 canonical, own, kind = tokens.of(row[-1] or "")
+                head = (*row[:-1], np.uint64(xxhash.xxh3_64_intdigest(row[-1] or "")).view(np.int64).item())
                 for size in sizes:
                     if len(own) < size:
                         continue
                     names, first = np.unique(verbatim(own, size), return_index=True)
                     for i in np.flatnonzero(known(names)):
-                        out.append((*row[:-1], int(first[i]), int(names[i].view(np.int64)), size, []))
+                        out.append((*head, int(first[i]), int(names[i].view(np.int64)), size, []))
                     if size < LITERALS:
                         continue
                     hashes, good = windows(canonical, kind, size)
@@ -185,12 +186,12 @@ def document_hits(docs: DataFrame, filter_words: np.ndarray, sizes: list[int], t
                         plain = filled[i + size] == filled[i]
                         if not plain or name not in told:  # a repeat without values tells nothing new
                             told.add(name)
-                            out.append((*row[:-1], int(i), name, size, _slots(own, kind, i, size)))
-            yield pd.DataFrame(out, columns=[*carry, "doc_place", "hash", "size", "doc_slots"])
+                            out.append((*head, int(i), name, size, _slots(own, kind, i, size)))
+            yield pd.DataFrame(out, columns=[*carry, "row", "doc_place", "hash", "size", "doc_slots"])
 
     rows = docs.select(*carry, quoted(text).alias("_text"))
     types = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in carry)
-    return rows.mapInPandas(work, f"{types}, doc_place int, hash long, size int, doc_slots array<long>")
+    return rows.mapInPandas(work, f"{types}, row long, doc_place int, hash long, size int, doc_slots array<long>")
 
 
 def leaks(docs: DataFrame, items: DataFrame, carry: list[str], text: str = "text", key: str = "item_id", body: str = "text") -> DataFrame:
@@ -198,7 +199,8 @@ def leaks(docs: DataFrame, items: DataFrame, carry: list[str], text: str = "text
 
     Further columns: item_id, windows (different windows of the item found), need, changed (whether values
     were exchanged).  Only windows whose values are exchanged consistently count: within a window by themselves, and
-    between windows by the exchange that most windows agree on.  Windows of the words as they stand, whatever their case, count
+    between windows of one copy by the exchange that most windows agree on; a text may hold several copies, and the best
+    one tells.  Windows of the words as they stand, whatever their case, count
     by themselves and may reach their need instead.  Null texts are empty; items of fewer than four words match as
     they stand only; an item shorter than a window is one window; repeated rows of equal carried columns count
     once; empty tables give no rows.
@@ -212,29 +214,53 @@ def leaks(docs: DataFrame, items: DataFrame, carry: list[str], text: str = "text
     functional = F.size(F.array_distinct("slots")) == F.size("exchange")  # one value for each benchmark value
     sound = pairs.filter(functional).withColumn("changed", F.exists("exchange", lambda e: e["was"] != e["now"]))
     keys = [*carry, "item_id"]
-    per_window = sound.groupBy(*keys, "verbatim", "need", "place").agg(F.min("changed").alias("changed"), F.min(F.struct("changed", "exchange"))["exchange"].alias("exchange"))
-    folder = scratch_folder(docs.sparkSession, "windows")  # used twice below
-    per_window.write.parquet(folder)
-    per_window = docs.sparkSession.read.parquet(folder)
-    values = per_window.select(*keys, F.explode("exchange").alias("e")).select(*keys, "e.was", "e.now")
-    votes = values.groupBy(*keys, "was", "now").agg(F.count("*").alias("n"))
-    best = votes.groupBy(*keys, "was").agg(F.max(F.struct("n", "now"))["now"].alias("now"))
-    agreed = best.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("was", "now"))).alias("agreed"))
-    renamed = agreed.withColumnsRenamed({k: f"_a_{k}" for k in keys})
-    match = F.lit(True)
-    for k in keys:
-        match = match & F.col(k).eqNullSafe(F.col(f"_a_{k}"))
-    kept = per_window.join(renamed, match, "left").filter(
-        F.forall("exchange", lambda e: F.element_at("agreed", e["was"]) == e["now"])
+    # a copy lies at one distance from the item, or near it where words were put in; pieces far apart share the whole text
+    distance = F.col("doc_place") - F.col("place")
+    where = F.array(
+        F.struct(F.lit(0).alias("kind"), F.col("row"), distance.cast("long").alias("at")),
+        F.struct(F.lit(1).alias("kind"), F.col("row"), F.floor(distance / F.col("length")).alias("at")),
+        F.struct(F.lit(2).alias("kind"), F.col("row"), F.floor(distance / F.col("length") + 0.5).alias("at")),
+        F.struct(F.lit(3).alias("kind"), F.lit(0).cast("long").alias("row"), F.lit(0).cast("long").alias("at")),
     )
-    counted = kept.groupBy(*keys, "verbatim", "need").agg(F.count("*").alias("windows"), F.max("changed").alias("changed"))
-    leaked = counted.filter("windows >= need")
+    free = F.when(F.size("exchange") > 0, where).otherwise(F.array(F.lit(None).cast("struct<kind:int,row:bigint,at:bigint>")))
+    spread = sound.select(*keys, "verbatim", "need", "place", "exchange", "changed", F.explode(free).alias("copy")).distinct()
+    folder = scratch_folder(docs.sparkSession, "windows")  # used several times below
+    spread.write.parquet(folder)
+    spread = docs.sparkSession.read.parquet(folder)
+    # windows without values belong to every copy
+    fixed = spread.filter("copy is null").groupBy(*keys, "verbatim", "need").agg(
+        F.countDistinct("place").alias("fixed"), F.max(F.col("place") == 0).alias("fixed_first")
+    )
+    filled = spread.filter("copy is not null")
+    copies = [*keys, "copy"]
+    values = filled.select(*copies, "place", F.explode("exchange").alias("e")).select(*copies, "place", "e.was", "e.now")
+    votes = values.groupBy(*copies, "was", "now").agg(F.countDistinct("place").alias("n"))
+    best = votes.groupBy(*copies, "was").agg(F.max(F.struct("n", "now"))["now"].alias("now"))
+    agreed = best.groupBy(*copies).agg(F.map_from_entries(F.collect_list(F.struct("was", "now"))).alias("agreed"))
+    kept = null_safe(filled, agreed, copies).filter(F.forall("exchange", lambda e: F.element_at("agreed", e["was"]) == e["now"]))
+    counted = kept.groupBy(*copies, "need").agg(
+        F.countDistinct("place").alias("n"), F.max(F.col("place") == 0).alias("first"), F.max("changed").alias("changed")
+    )
+    # the first window may be there both with a value and without: it is one window
+    best = counted.groupBy(*keys, "need").agg(
+        F.max(F.struct("n", (~F.col("changed")).alias("same"))).alias("with_first"),
+        F.max(F.struct((F.col("n") - F.col("first").cast("int")).alias("n"), (~F.col("changed")).alias("same"))).alias("but_first"),
+    ).select(*keys, F.lit(False).alias("verbatim"), "need", "with_first", "but_first")
+    parts = fixed.unionByName(best, allowMissingColumns=True).groupBy(*keys, "verbatim", "need").agg(
+        *[F.max(c).alias(c) for c in ("fixed", "fixed_first", "with_first", "but_first")]
+    )
+    found = F.when(F.col("fixed_first"), F.col("but_first")).otherwise(F.col("with_first"))
+    leaked = parts.select(
+        *keys, "verbatim", "need",
+        (F.coalesce("fixed", F.lit(0)) + F.coalesce(found["n"], F.lit(0))).cast("long").alias("windows"),
+        F.coalesce(~found["same"], F.lit(False)).alias("changed"),
+    ).filter("windows >= need")
     best = leaked.groupBy(*keys).agg(F.max(F.struct("windows", ~F.col("verbatim"), "need", "changed")).alias("best"))
     return best.select(*keys, "best.windows", "best.need", "best.changed")
 
 
 def leak_pairs(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, item_id, windows, need, changed) for every leak; rows that share an id count together."""
+    """(doc_id, item_id, windows, need, changed) for every leak; rows that share an id count together, copies row by row."""
     return leaks(docs.select(quoted(key).alias("doc_id"), quoted(text).alias("body")), items, ["doc_id"], "body")
 
 

@@ -89,3 +89,15 @@ def test_whole_copies_in_any_case_place_and_length(spark):
         got.setdefault(r["doc_id"], set()).add(r["item_id"])
         assert r["changed"] == (r["doc_id"] in (1, 2, 4, 21))
     assert got == {d: want for d, _, want in rows if want}
+
+
+def test_several_exchanged_copies_of_an_item_in_one_text(spark):
+    rng = random.Random(9)
+    item = "put 5 tor 17 mel kan 80 ris ud pa into it"
+    copy = lambda: item.replace("5", str(rng.randint(100, 999))).replace("17", str(rng.randint(100, 999))).replace("80", str(rng.randint(100, 999)))
+    rows = [(i, " and so on ".join(copy() for _ in range(2 + i % 4)), "x", 1) for i in range(40)]
+    rows += [(100 + i % 5, copy(), "x", 1) for i in range(20)]  # four texts that share an id
+    rows += [(200, item.replace("17 mel", "17 new mel").replace("80", "81"), "x", 1)]  # words put in: too few windows are left
+    got = leak_pairs(spark.createDataFrame(rows, DOCS).repartition(3), spark.createDataFrame([(1, item, 0)], ITEMS)).collect()
+    assert sorted(r["doc_id"] for r in got) == [*range(40), *range(100, 105)]
+    assert all(r["changed"] and r["windows"] == 5 for r in got)
