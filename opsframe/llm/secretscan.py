@@ -15,10 +15,13 @@ from pyspark.sql import functions as F
 
 from opsframe.llm.base import quoted
 
-#: A run of key-like characters with a digit, or what is assigned to a telling name.
+#: What is assigned to a telling name, quoted or not, or a run of key-like characters with a known prefix, a digit,
+#: a capital after another character than a capital, or five consonants.
 CANDIDATE = (
-    r"(?<=[=:\"'\s])(?i:(?<=(?:password|passwd|pwd|secret|token|apikey|api_key|auth)[ ]{0,2}[=:][ ]{0,2}[\"']{0,1}))[^\s\"'<>,;]{6,}"
-    r"|(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,64}[0-9])[A-Za-z0-9+/_-]{12,}={0,2}"
+    r"(?<=[=:\"'\s])(?i:(?<=(?:password|passwd|passphrase|pwd|secret|token|credential|credentials|auth|apikey|accesskey|secretkey|privatekey|[_-]key)"
+    r"[\"']{0,1}[ \t]{0,8}[=:][ \t]{0,8}[\"']{0,1}))[^\s\"'<>,;]{6,}"
+    r"|(?<![A-Za-z0-9+/_-])(?=AKIA|ASIA|ghp_|gho_|sk_live_|sk-|xox[bap]-|AIza|eyJ|[A-Za-z+/_-]*+[0-9]"
+    r"|[A-Za-z+/_-]*?(?:[a-z+/_-][A-Z]|[b-df-hj-np-tv-xzB-DF-HJ-NP-TV-XZ]{5}))[A-Za-z0-9+/_-]{12,}={0,2}"
 )
 #: Code points looked at on each side of a candidate.
 AROUND = 60
@@ -31,7 +34,7 @@ DICTIONARY = (
     "default config file path data image static assets html index page post article content version release build main "
     "app web api http https www com org net img css js min the and for with from this that item order ref number id code"
 ).split()
-SECRET_WORDS = "password|passwd|pwd|secret|token|api[ _-]?key|access[ _-]?key|auth|bearer|credential|private"
+SECRET_WORDS = "password|passwd|passphrase|pwd|secret|token|api[ _-]?key|access[ _-]?key|[a-z][_-]key|auth|bearer|credential|private"
 HARMLESS_WORDS = "sha1|sha256|sha|md5|checksum|digest|commit|revision|etag|uuid|guid|isbn|phone|order|invoice|card|example|sample|hash"
 HARMLESS_PATHS = "test|tests|example|examples|sample|doc|docs|fixture|mock"
 FEATURES = [
@@ -93,7 +96,7 @@ def with_features(found: DataFrame) -> DataFrame:
         "f_prefix": c.rlike("^(AKIA|ASIA|ghp_|gho_|sk_live_|sk-|xox[bap]-|AIza|eyJ)"),
         "f_longest_word": F.coalesce(F.array_max(F.transform(words, F.length)), F.lit(0)),
         "f_path": F.col("path").rlike(f"(?i)(^|[^a-z])({HARMLESS_PATHS})([^a-z]|$)"),
-        "f_assigned": F.col("before").rlike("[=:]\\s{0,2}[\"']?$"), "f_quoted": F.col("before").rlike("[\"'`]$"),
+        "f_assigned": F.col("before").rlike("[=:]\\s{0,8}[\"']?$"), "f_quoted": F.col("before").rlike("[\"'`]$"),
         "f_secret_near": near.rlike(SECRET_WORDS), "f_harmless_near": near.rlike(f"(^|[^a-z])({HARMLESS_WORDS})([^a-z]|$)"),
         "f_path_around": F.concat(F.right("before", F.lit(3)), F.left("after", F.lit(2))).rlike("[/.@]"),
     }
@@ -113,21 +116,25 @@ def labelled_findings(docs: DataFrame, key: str = "doc_id", text: str = "text",
     take = lambda start, n: F.substring(seed, start, n)
     base = F.regexp_replace(F.base64(F.unhex(take(1, 96))), "[=]", "")
     alnum = F.regexp_replace(base, "[+/]", "x")
+    letters = F.translate(alnum, "0123456789", "GhJkLmNpQr")
     number = F.regexp_replace(seed, "[a-f]", "")
     word = lambda i: F.coalesce(F.element_at(words, F.least(F.lit(i), F.size(words))), F.lit(""))
     name = F.regexp_replace(F.lower(F.concat_ws("-", word(3), word(4), word(5))), "[^a-z-]", "")
+    titled = [F.initcap(F.regexp_replace(word(i), "[^A-Za-z]", "")) for i in (3, 4, 5)]
     uuid = F.concat_ws("-", take(1, 8), take(9, 4), take(13, 4), take(17, 4), take(21, 12))
     secrets = [
         ('token = "', take(1, 40), '"'), ("password=", take(41, 18), " "), ("", F.concat(F.lit("AKIA"), F.upper(F.substring(alnum, 1, 16))), " "),
         ('api_key: "', F.substring(base, 1, 40), '"'), ("Authorization: Bearer ", F.substring(alnum, 1, 36), " "), ("", F.concat(F.lit("ghp_"), F.substring(alnum, 3, 36)), " "),
         ("secret = '", F.substring(base, 5, 24), "'"), ("pwd:", F.concat(F.substring(alnum, 2, 9), F.lit("!7")), " "), ("key=", F.concat(F.lit("sk_live_"), F.substring(alnum, 4, 24)), " "),
-        ("auth_token=", take(33, 32), "&"),
+        ("auth_token=", take(33, 32), "&"), ('"password": "', F.substring(letters, 3, 11), '"'), ("", F.concat(F.lit("AKIA"), F.upper(F.substring(letters, 5, 16))), " "),
+        ("secret_key: ", F.substring(letters, 1, 24), " "), ("", F.substring(letters, 7, 20), " "),
     ]
     harmless = [
         ("commit ", take(1, 40), " "), ("md5: ", take(5, 32), " "), ("sha256 ", take(1, 64), " "), ("", F.substring(number, 1, 16), " "),
         ("id: ", uuid, " "), ("https://", F.concat(name, F.lit("/2024/"), name), " "), ("token = \"", F.lit("YOUR_TOKEN_HERE_123"), '"'),
         ("password=", F.lit("changeme123example"), " "), ("src/", F.concat(name, F.lit("/index2/page_10")), ".html"), ("order ", F.concat(F.lit("ORD-"), F.substring(number, 1, 12)), " "),
         ("secret: ", F.lit("xxxxxxxxxxxxxxxx1"), " "), ("", F.concat(name, F.lit("-"), F.substring(number, 1, 3)), " "), ("phone +", F.substring(number, 2, 13), " "),
+        ("", F.concat(*titled), "("), ("", F.concat_ws("-", *titled), " "), ("", F.concat_ws("/", *titled), " "), ('"password": "', F.lit("example-password"), '"'),
     ]
 
     def example(place: int, kinds: list, label: int) -> Column:
