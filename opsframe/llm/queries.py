@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opsframe.llm import chat, decontaminate, extract, fingerprint, lmscore, mixing, neardup, secretscan, sharding, toxicity
+from opsframe.llm import bytebpe, chat, decontaminate, extract, fingerprint, lmscore, mixing, neardup, secretscan, sharding, toxicity
 from opsframe.llm.base import table
 
 
@@ -91,6 +91,20 @@ def op10_improbable_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op13_merge_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's token ids and what they decode to, as digests."""
+    import public_tokenizers
+
+    vocabulary = bytebpe.Vocabulary.load(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    encoded = bytebpe.encode(table(spark, sf_dir, "documents"), vocabulary, public_tokenizers.PATTERN)
+    return bytebpe.decode(encoded, vocabulary).select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join("ids", " ").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2("bytes", 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES = {
     "op1_boosted_dom": op1_boosted_dom,
     "op2_dart_minhash": op2_dart_minhash,
@@ -102,6 +116,7 @@ QUERIES = {
     "op8_sainte_lague": op8_sainte_lague,
     "op9_entropy_difference": op9_entropy_difference,
     "op10_improbable_features": op10_improbable_features,
+    "op13_merge_replay": op13_merge_replay,
 }
 
 _ESCAPED = "replace({0}, '\\', '\\b')"
