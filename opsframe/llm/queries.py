@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opsframe.llm import bytebpe, chat, decontaminate, extract, fingerprint, lmscore, mixing, neardup, secretscan, sharding, toxicity
+from opsframe.llm import bytebpe, centroids, chat, decontaminate, extract, fingerprint, lmscore, mixing, neardup, secretscan, sharding, toxicity
 from opsframe.llm.base import table
 
 
@@ -91,6 +91,11 @@ def op10_improbable_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op11_simplex_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cluster of every embedding after five exact rounds."""
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
 def op13_merge_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's token ids and what they decode to, as digests."""
     import public_tokenizers
@@ -116,6 +121,7 @@ QUERIES = {
     "op8_sainte_lague": op8_sainte_lague,
     "op9_entropy_difference": op9_entropy_difference,
     "op10_improbable_features": op10_improbable_features,
+    "op11_simplex_clusters": op11_simplex_clusters,
     "op13_merge_replay": op13_merge_replay,
 }
 
@@ -163,6 +169,30 @@ SELECT doc_id, p.source, size, source_size, target, CAST(CASE WHEN source_size =
 }
 
 
+def _clusters_sql(rounds: int = 5) -> str:
+    """Start, rounds of assigning and moving, and a last assignment."""
+    steps = [
+        """v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+ WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64)""",
+        "c0 AS (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS cluster, v AS c FROM v ORDER BY sha256('2:' || vec_id) LIMIT 40)",
+    ]
+    for i in range(rounds + 1):
+        steps.append(f"""a{i} AS (SELECT vec_id, any_value(v) AS v, min(struct_pack(distance := distance, cluster := cluster)) AS best FROM (
+ SELECT vec_id, v, cluster, CAST(list_sum(list_transform(list_zip(v, c), lambda x: (x[1] - x[2]) * (x[1] - x[2]))) AS BIGINT) AS distance
+ FROM v CROSS JOIN c{i}) GROUP BY vec_id)""")
+        if i < rounds:
+            steps.append(f"""m{i} AS (SELECT cluster, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY place) AS c FROM (
+ SELECT best.cluster AS cluster, place, CAST(sum(v[place]) AS BIGINT) AS s, count(*) AS n FROM a{i}, range(1, 65) AS r(place) GROUP BY ALL) GROUP BY cluster),
+c{i + 1} AS (SELECT cluster, coalesce(m{i}.c, c{i}.c) AS c FROM c{i} LEFT JOIN m{i} USING (cluster))""")
+    return "WITH " + ",\n".join(steps) + f"""
+SELECT vec_id, CAST(best.cluster AS INTEGER) AS cluster, best.distance AS distance,
+ CAST(sum(best.distance) OVER (PARTITION BY best.cluster) AS BIGINT) AS cluster_inertia, CAST(sum(best.distance) OVER () AS BIGINT) AS inertia,
+ sha256(array_to_string(c, ',')) AS centroid_sha256 FROM a{rounds} JOIN c{rounds} ON c{rounds}.cluster = best.cluster"""
+
+
+ORACLES["op11_simplex_clusters"] = _clusters_sql()
+
+
 def all_queries():
     """Each query with this package sent to the Python workers first."""
     from opsframe.session import ship_package
