@@ -73,7 +73,7 @@ class Vocabulary:
         if not len(self.pairs):
             return np.full(len(left), -1, np.int32)
         key = left.astype(np.int64) << 32 | right
-        at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+        at = np.searchsorted(self.pairs[:-1], key)
         return np.where(self.pairs[at] == key, self.ranks[at], np.int32(-1))
 
 
@@ -129,19 +129,20 @@ def replay(pieces: list[bytes], vocabulary: Vocabulary) -> tuple[np.ndarray, np.
     total = int(lengths.sum())
     token = vocabulary.byte[np.frombuffer(b"".join(pieces), np.uint8)]
     piece = np.repeat(np.arange(len(pieces), dtype=np.int32), lengths)
-    ahead = np.arange(1, total + 1, dtype=np.int64)
-    back = np.arange(-1, total - 1, dtype=np.int64)
+    ahead = np.arange(1, total + 1, dtype=np.int32)
+    back = np.arange(-1, total - 1, dtype=np.int32)
     same = piece[1:] == piece[:-1]
     ahead[np.append(~same, True)[:total]] = -1
     back[np.append(True, ~same)[:total]] = -1
     #: Rank of the pair that starts at a position now; -1: none, or the position is merged into an earlier one.
     current = np.full(total, -1, np.int32)
     index = _PairIndex()
-    starts = np.flatnonzero(ahead >= 0)
+    starts = np.flatnonzero(ahead >= 0).astype(np.int32)
     current[starts] = vocabulary.rank(token[starts], token[ahead[starts]])
     known = starts[current[starts] >= 0]
     index.add(current[known], known)
     alive = np.ones(total, bool)
+    merging = np.zeros(total, bool)
     while index.heap:
         rank, at = index.lowest()
         at = at[current[at] == rank]
@@ -164,16 +165,20 @@ def replay(pieces: list[bytes], vocabulary: Vocabulary) -> tuple[np.ndarray, np.
         alive[gone] = False
         current[gone] = -1
         ahead[at] = after
-        back[after[after >= 0]] = at[after >= 0]
-        touched = np.concatenate([at, back[at]])
-        touched = np.unique(touched[touched >= 0])
-        follower = ahead[touched]
-        touched, lone = touched[follower >= 0], touched[follower < 0]
-        current[lone] = -1
+        inner = after >= 0
+        back[after[inner]] = at[inner]
+        before = back[at]
+        before = before[before >= 0]
+        merging[at] = True
+        before = before[~merging[before]]
+        merging[at] = False
+        current[at[~inner]] = -1
+        touched = np.concatenate([at[inner], before])
         new = vocabulary.rank(token[touched], token[ahead[touched]])
         current[touched] = new
-        if (new >= 0).any():
-            index.add(new[new >= 0], touched[new >= 0])
+        known = new >= 0
+        if known.any():
+            index.add(new[known], touched[known])
     return token[alive], np.bincount(piece[alive], minlength=len(pieces))
 
 
@@ -255,7 +260,15 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary, ids: str = "ids", out: st
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spell = dict(enumerate(shared.value)).__getitem__
         for batch in batches:
-            texts = [None if x is None else b"".join(map(spell, x)) for x in batch.column(place).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], [*batch.schema.names, out])
+            column = batch.column(place)
+            present, sizes = column.is_valid().to_pylist(), column.value_lengths().fill_null(0).to_numpy()
+            flat, ends = column.flatten().to_numpy(), np.cumsum(sizes)
+            first, texts = 0, []
+            for row, (n, end) in enumerate(zip(sizes.tolist(), ends.tolist(), strict=True), 1):
+                texts.append(b"".join(map(spell, flat[end - n : end].tolist())) if present[row - 1] else None)
+                if row == len(sizes) or end - (ends[first - 1] if first else 0) >= _BATCH_IDS:
+                    own = batch.slice(first, row - first)
+                    yield pa.RecordBatch.from_arrays([*own.columns, pa.array(texts, pa.binary())], [*batch.schema.names, out])
+                    first, texts = row, []
 
     return rows.mapInArrow(work, T.StructType([*rows.schema, T.StructField(out, T.BinaryType())]))
