@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opsframe.llm import bytebpe, centroids, chat, decontaminate, extract, fingerprint, lmscore, mixing, neardup, secretscan, sharding, toxicity
+from opsframe.llm import bytebpe, centroids, chat, decontaminate, divergence, extract, fingerprint, lmscore, mixing, neardup, secretscan, sharding, toxicity
 from opsframe.llm.base import table
 
 
@@ -96,6 +96,11 @@ def op11_simplex_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(table(spark, sf_dir, "embeddings"))
 
 
+def op12_perfect_recount(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the sources of each lang stand from each other, and the terms that mark them."""
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def op13_merge_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's token ids and what they decode to, as digests."""
     import public_tokenizers
@@ -122,6 +127,7 @@ QUERIES = {
     "op9_entropy_difference": op9_entropy_difference,
     "op10_improbable_features": op10_improbable_features,
     "op11_simplex_clusters": op11_simplex_clusters,
+    "op12_perfect_recount": op12_perfect_recount,
     "op13_merge_replay": op13_merge_replay,
 }
 
@@ -168,6 +174,26 @@ SELECT doc_id, p.source, size, source_size, target, CAST(CASE WHEN source_size =
  FROM p JOIN r ON r.source IS NOT DISTINCT FROM p.source""",
 }
 
+ORACLES["op12_perfect_recount"] = """WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+ translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+t AS (SELECT id, lang, source, unnest(regexp_extract_all(text, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM d),
+k AS (SELECT lang, term FROM (SELECT DISTINCT id, lang, term FROM t) GROUP BY ALL HAVING count(*) >= 30),
+v AS (SELECT lang, count(*) AS v FROM k GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+o AS (SELECT lang, source, term, count(*) AS n FROM t JOIN k USING (lang, term) GROUP BY ALL),
+c AS (SELECT g.lang, g.source, k.term, coalesce(o.n, 0) AS n FROM g JOIN k ON k.lang = g.lang
+ LEFT JOIN o ON o.lang = g.lang AND o.source = g.source AND o.term = k.term),
+p AS (SELECT lang, source, term, n, 1 + (1000000000 * CAST(n + 5 AS HUGEINT)) // (sum(n) OVER (PARTITION BY lang, source) + 5 * v) AS p FROM c JOIN v USING (lang)),
+l AS (SELECT lang, term, 1 + (1000000000 * CAST(n + 5 AS HUGEINT)) // (sum(n) OVER (PARTITION BY lang) + 5 * v) AS q
+ FROM (SELECT lang, term, CAST(sum(n) AS BIGINT) AS n FROM c GROUP BY ALL) JOIN v USING (lang)),
+pairs AS (SELECT a.lang, a.source, b.source AS item, coalesce(s.value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+ LEFT JOIN (SELECT x.lang, x.source, y.source AS item, sum(abs(x.p - y.p)) AS value FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source
+ GROUP BY ALL) s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+u AS (SELECT lang, source, 'pair' AS part, item, value FROM pairs UNION ALL
+ SELECT p.lang, p.source, 'term', p.term, p.p - l.q FROM p JOIN l ON l.lang = p.lang AND l.term = p.term WHERE n > 0 AND p.p > l.q)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+ FROM u QUALIFY part = 'pair' OR row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) <= 50"""
+
 
 def _clusters_sql(rounds: int = 5) -> str:
     """Start, rounds of assigning and moving, and a last assignment."""
