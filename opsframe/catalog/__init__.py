@@ -8,7 +8,7 @@ import importlib
 from opsframe.catalog.views import with_views
 from opsframe.session import ship_package
 
-MODULES = ["events", "workflow", "compute", "control", "text", "streams", "flows"]
+MODULES = ["events", "workflow", "compute", "control", "text", "ledger", "streams", "flows"]
 
 
 def _shipped(query):

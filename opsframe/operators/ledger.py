@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import hashlib
-import json
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from opsframe.functions.canonical import canonical_field, canonical_object, fields_of
+from opsframe.functions.keys import json_quoted, json_string
 from opsframe.operators.folds import Machine, fold
-from opsframe.operators.ordered import ordered_columns
+from opsframe.operators.ordered import join_keys, ordered_columns
+from opsframe.sources.jsonl import stamp_text
 
 # Texts of the two kinds of chain damage.
 BROKEN_LINK = "previous_hash mismatch"
@@ -57,13 +58,14 @@ def chain_issues(ledger: DataFrame) -> DataFrame:
     return _issues(ledger.withColumn("_digest", digest))
 
 
-def _issues(checked: DataFrame) -> DataFrame:
+def _issues(checked: DataFrame, first: str = "", sized_by: DataFrame | None = None) -> DataFrame:
     linked = ordered_columns(
         checked,
         ["chain_id"],
         ["seq"],
         number="_nth",
-        previous={"_before": ("hash", "")},
+        previous={"_before": ("hash", first)},
+        sized_by=sized_by,
     )
     found = F.array_compact(
         F.array(
@@ -103,26 +105,92 @@ def verify_hash_chain(ledger: DataFrame, torn: DataFrame | None = None) -> DataF
     )
 
 
-def _foreign_record(lines: pd.Series) -> pd.DataFrame:
-    """Links of ledger lines whose hash covers the whole record in canonical JSON."""
-    rows = []
-    for line in lines:
-        record = json.loads(line)
-        body = {k: v for k, v in record.items() if k != "hash"}
-        text = json.dumps(body, sort_keys=True, separators=(",", ":"))
-        digest = hashlib.sha256(text.encode()).hexdigest()
-        rows.append((record.get("previous_hash"), record.get("hash", ""), digest))
-    return pd.DataFrame(rows, columns=["previous_hash", "hash", "_digest"])
+def _json_links(lines: DataFrame) -> DataFrame:
+    """(chain_id, seq, torn, previous_hash, hash, _digest) per line that is not blank.
+
+    The hashes are kept as canonical JSON, so a hash that is no string, or is missing, compares as what it is.
+    """
+    text = F.regexp_replace("line", r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
+    parsed = lines.select("chain_id", "seq", text.alias("_text")).filter(F.col("_text") != "")
+    parsed = parsed.withColumn("_fields", fields_of(F.col("_text")))
+    fields = F.col("_fields")
+    digest = F.sha2(canonical_object(fields, without=["hash"]), 256)
+    return parsed.select(
+        "chain_id",
+        "seq",
+        fields.isNull().alias("torn"),
+        F.coalesce(canonical_field(fields, "previous_hash"), F.lit("null")).alias("previous_hash"),
+        F.coalesce(canonical_field(fields, "hash"), F.lit('""')).alias("hash"),
+        F.concat(F.lit('"'), digest, F.lit('"')).alias("_digest"),
+    )
 
 
 def json_ledger_issues(lines: DataFrame) -> DataFrame:
-    """Issues of ledgers kept as JSON lines (chain_id, seq, line) by other writers.
+    """Issues of ledgers kept as JSON lines (chain_id, seq, line), by whomever they were written.
+
+    A record's hash covers its canonical JSON without the hash itself: sorted keys, no spaces, ASCII.  Blank
+    lines do not count; torn ones, and lines that hold no object, are no records, so the next record must
+    link to the last one that can be read.
+    """
+    return _issues(_json_links(lines).filter(~F.col("torn")).drop("torn"), '""', lines.select("chain_id"))
 
-    Canonical JSON with escaped text has no Spark expression, hence the Arrow UDF.
+
+def verify_json_ledger(lines: DataFrame) -> DataFrame:
+    """Summary per chain of JSON lines: ok, records, torn and number of issues."""
+    links = _json_links(lines)
+    counts = links.groupBy("chain_id").agg(
+        F.count_if(~F.col("torn")).alias("records"), F.count_if("torn").alias("torn")
+    )
+    issues = json_ledger_issues(lines).groupBy("chain_id").agg(F.count("*").alias("issues"))
+    out = join_keys(counts, issues, ["chain_id"], "left").withColumn("issues", F.coalesce("issues", F.lit(0)))
+    ok = (F.col("issues") == 0) & (F.col("torn") == 0)
+    return out.select("chain_id", ok.alias("ok"), "records", "torn", "issues")
+
+
+def append_json_ledger(events: DataFrame, now: Column, tails: DataFrame | None = None) -> DataFrame:
+    """Records of events (chain_id, seq, event), chained and written as JSON lines that any reader of such ledgers accepts.
+
+    A record is the event's fields and ``timestamp`` (``now``, unless the event has its own), ``previous_hash`` and
+    ``hash``; fields of the event under the two last names give way.  ``tails`` (chain_id, hash)
+    seeds chains that have records already.  An event that is no JSON object gets no line, and the chain goes on
+    past it.  Canonical JSON is worked out before the shuffle; the chain itself is sequential by nature, holds
+    one hash, and is handed from slice to slice where it is too long for one task.
     """
-    record = F.pandas_udf(_foreign_record, "previous_hash string, hash string, _digest string")
-    links = lines.select("chain_id", "seq", record("line").alias("r"))
-    return _issues(links.select("chain_id", "seq", "r.*"))
+    fields = F.col("_fields")
+    own_time = canonical_field(fields, "timestamp")
+    stamp = F.coalesce(own_time, json_string(stamp_text(now)))
+    mark = "\x03"
+    body = canonical_object(fields, ["hash"], {"previous_hash": F.lit(f'"{mark}"'), "timestamp": stamp})
+    parts = F.split("_body", mark)
+    seeded = events.select("chain_id", "seq", "event", fields_of(F.col("event")).alias("_fields"))
+    seeded = seeded.select("chain_id", "seq", "event", body.alias("_body"))
+    seeded = seeded.select("chain_id", "seq", "event", parts[0].alias("_head"), parts[1].alias("_tail"))
+    if tails is None:
+        seeded = seeded.withColumn("_seed", F.lit(""))
+    else:
+        seeds = tails.select("chain_id", F.col("hash").alias("_seed"))
+        seeded = join_keys(seeded, seeds, ["chain_id"], "left").withColumn("_seed", F.coalesce("_seed", F.lit("")))
+
+    def step(previous, row):
+        if row[3] is None:
+            return previous, (None, None)
+        digest = hashlib.sha256(f"{row[3]}{previous}{row[4]}".encode()).hexdigest()
+        return digest, (previous, digest)
+
+    machine = Machine(start=lambda row: row[5], step=step, outputs=[("previous_hash", "string"), ("hash", "string")])
+    chained = fold(seeded, ["chain_id"], ["seq"], machine, events.select("chain_id")).filter("hash is not null")
+    fields = fields_of(F.col("event"))
+    quoted = {n: F.concat(F.lit('"'), F.col(n), F.lit('"')) for n in ("previous_hash", "hash")}
+    stamp = F.coalesce(canonical_field(fields, "timestamp", ascii_only=False, spaced=True), json_quoted(stamp_text(now)))
+    line = canonical_object(fields, [], quoted | {"timestamp": stamp}, ascii_only=False, spaced=True)
+    return chained.select("chain_id", "seq", "previous_hash", "hash", line.alias("line"))
+
+
+def ledger_tails(lines: DataFrame) -> DataFrame:
+    """(chain_id, hash) of the last readable record of each chain, to seed the next append."""
+    links = _json_links(lines).filter(~F.col("torn"))
+    last = F.max_by("hash", "seq")
+    return links.groupBy("chain_id").agg(F.regexp_replace(last, '^"|"$', "").alias("hash"))
 
 
 def memory_search(records: DataFrame, query: str, text: str = "json_text") -> DataFrame:
@@ -130,3 +198,44 @@ def memory_search(records: DataFrame, query: str, text: str = "json_text") -> Da
     if not query:
         return records.filter(F.lit(False))
     return records.filter(F.contains(F.lower(text), F.lower(F.lit(query))))
+
+
+def _grams(text: Column, size: Column | int) -> Column:
+    """Distinct runs of ``size`` characters of a text that has so many."""
+    size = F.lit(size) if isinstance(size, int) else size
+    starts = F.sequence(F.lit(1), F.length(text) - size + 1)
+    return F.when(F.length(text) >= size, F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, size))))
+
+
+def memory_search_many(
+    records: DataFrame, queries: DataFrame, key: str = "record_id", text: str = "json_text", query: str = "query"
+) -> DataFrame:
+    """(query, key) for every record whose text contains a query, ignoring case.
+
+    Runs of three characters (fewer for shorter queries) lead from a query to its candidates: the runs of all queries are
+    counted over the records, each query takes its rarest one, and only records that hold that run are looked at.  A
+    query with a run that no record has is done at once.  Null and empty queries match nothing, null texts are never
+    found, repeated queries are answered once and repeated records each; ``key`` need not be unique.
+    """
+    asked = queries.select(F.col(query).alias("query")).filter(F.length("query") > 0).distinct()
+    asked = asked.withColumn("_wanted", F.lower("query")).withColumn("_size", F.least(F.lit(3), F.length("_wanted")))
+    wanted = asked.select("_wanted", "_size").distinct()
+    of_query = wanted.select("_wanted", "_size", F.explode(_grams(F.col("_wanted"), F.col("_size"))).alias("_gram"))
+    texts = records.select(F.col(key).alias("_key"), F.lower(text).alias("_text"))
+    sizes = F.array(F.lit(1), F.lit(2), F.lit(3))
+    spelled = F.array_distinct(F.flatten(F.transform(sizes, lambda n: F.coalesce(_grams(F.col("_text"), n), F.array().cast("array<string>")))))
+    short = [r["_size"] for r in wanted.select("_size").distinct().collect()]  # three values at most
+    if short == [3] or not short:
+        spelled = _grams(F.col("_text"), 3)
+    of_record = texts.select("_key", F.explode(spelled).alias("_gram"))
+
+    needed = of_query.select("_gram").distinct()
+    held = of_record.join(needed, "_gram").groupBy("_gram").agg(F.count("*").alias("_n"))
+    counted = of_query.join(held, "_gram", "left")
+    rarest = counted.groupBy("_wanted").agg(
+        F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "_gram")).alias("_rarest")
+    )
+    chosen = rarest.filter(F.col("_rarest")["n"] > 0).select("_wanted", F.col("_rarest")["_gram"].alias("_gram"))
+    candidates = of_record.join(chosen, "_gram").select("_key", "_wanted").distinct()
+    found = join_keys(texts, candidates, ["_key"]).filter(F.contains("_text", "_wanted"))
+    return found.join(asked, "_wanted").select("query", F.col("_key").alias(key))

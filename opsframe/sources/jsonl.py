@@ -66,14 +66,17 @@ def utc_text(moment: Column) -> Column:
     )
 
 
-def record_lines(records: DataFrame, now: Column) -> DataFrame:
-    """JSON line per record (kind, content, provenance), stamped with ``now`` in UTC."""
-    micros = F.pmod(F.unix_micros(now), F.lit(1_000_000))
-    stamp = F.concat(
-        utc_text(now),
-        F.when(micros > 0, F.format_string(".%06d", micros)).otherwise(""),
-        F.lit("+00:00"),
+def stamp_text(moment: Column) -> Column:
+    """ISO 8601 text of a moment in UTC, with microseconds where there are any."""
+    micros = F.pmod(F.unix_micros(moment), F.lit(1_000_000))
+    return F.concat(
+        utc_text(moment), F.when(micros > 0, F.format_string(".%06d", micros)).otherwise(""), F.lit("+00:00")
     )
+
+
+def record_lines(records: DataFrame, now: Column, *keep: str) -> DataFrame:
+    """JSON line per record (kind, content, provenance), stamped with ``now`` in UTC, beside the columns in ``keep``."""
+    stamp = stamp_text(now)
     entries = F.transform(
         F.array_sort(F.map_entries(F.coalesce("provenance", F.expr("map()").cast("map<string,string>")))),
         lambda e: F.concat(json_quoted(e["key"]), F.lit(": "), json_quoted(e["value"])),
@@ -89,7 +92,7 @@ def record_lines(records: DataFrame, now: Column) -> DataFrame:
         stamp,
         F.lit('"}'),
     )
-    return records.select(line.alias("value"))
+    return records.select(*keep, line.alias("value"))
 
 
 def append_records(records: DataFrame, path: str, now: Column) -> None:
