@@ -10,9 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from opsframe.operators.folds import Machine, fold
-from opsframe.operators.ordered import ordered_columns
-from opsframe.session import cut_lineage
+from opsframe.operators.chains import latest, reached, successors
+from opsframe.operators.ordered import group_sizes, join_keys, ordered_columns
+from opsframe.session import cut_lineage, rows_per_task
 
 
 def live_leases(leases: DataFrame, now: Column) -> DataFrame:
@@ -270,37 +270,50 @@ def _places(free: DataFrame, demands: DataFrame, cpu_bits: int, mem_bits: int) -
 # ----------------------------------------------------------------- lease history
 
 
-def _lease_step(state, row):
-    """state: [lease state, nonce, expires_us]; row: (id, at, op, nonce, old, new, ...)."""
-    held, nonce, expires = state
-    op, offered, old, new = row[2], row[3], row[4], row[5]
-    if held != "active":
-        return state, ("rejected", f"illegal: {held}", expires)
-    if op == "release":
-        return ["released", nonce, expires], ("released", "", expires)
-    if offered != nonce:
-        return state, ("rejected", "nonce mismatch", expires)
-    if old != expires:
-        return state, ("rejected", "stale expires_at", expires)
-    return ["active", nonce, new], ("renewed", "", new)
-
-
 def lease_history(log: DataFrame) -> DataFrame:
     """Verdict per lease action in time order.
 
     ``log`` has (lease_id, at_us, op renew|release, nonce, old_us, new_us, granted_nonce,
     granted_us); the last two repeat the grant.  A renewal counts when the lease is
     active, the nonce is the holder's and the expiry it saw is the current one.
+    Renewals form a linked list: one that counts is followed by the first later one of the holder that saw the
+    expiry it set.  The list that begins at the grant holds those that count; the others are judged by how
+    many of these stand before them.  A lease may hold all rows of the log.
     """
-    machine = Machine(
-        start=lambda row: ["active", row[6], row[7]],
-        step=_lease_step,
-        outputs=[("verdict", "string"), ("reason", "string"), ("expires_us", "long")],
+    lease, order = ["lease_id"], ["at_us", "op", "nonce", "old_us", "new_us"]
+    release = F.col("op").eqNullSafe("release")
+    sizes = group_sizes(log, lease)
+    fits = sizes[0] <= rows_per_task(log.sparkSession)
+    numbered = cut_lineage(
+        ordered_columns(
+            log.select("lease_id", *order, "granted_nonce", "granted_us"), lease, order,
+            number="node", running={"_ends": release.cast("bigint")}, sizes=sizes,
+        )
+    )
+    holders = F.col("nonce").eqNullSafe(F.col("granted_nonce"))
+    offers = numbered.filter(~release & holders & (F.col("_ends") == 0))
+    grants = numbered.filter("node = 1").select("lease_id", F.lit(0).cast("long").alias("node"), F.col("granted_us").alias("saw"))
+    asks = offers.select("lease_id", "node", F.col("new_us").alias("saw")).unionByName(grants)
+    at = F.col("node").alias("at")
+    links = successors(
+        asks.select("*", at), offers.select("lease_id", "node", F.col("old_us").alias("saw"), at), ["lease_id", "saw"], True, fits
+    )
+    counted = reached(links.drop("saw"), grants.select("lease_id", "node"), lease, crowded=False).withColumn("_counts", F.lit(True))
+    judged = join_keys(numbered, counted, ["lease_id", "node"], "left").withColumn("_counts", F.coalesce("_counts", F.lit(False)))
+    judged = latest(judged, lease, ["node"], F.col("_counts"), F.struct(F.col("new_us").alias("to")), "_set", fits)
+    expires = F.when(F.col("_set").isNull(), F.col("granted_us")).otherwise(F.col("_set")["to"])
+    over = F.col("_ends") > release.cast("bigint")
+    verdict = F.when(F.col("_counts"), "renewed").when(release & ~over, "released").otherwise("rejected")
+    reason = (
+        F.when(F.col("_counts") | (release & ~over), "")
+        .when(over, "illegal: released")
+        .when(~holders, "nonce mismatch")
+        .otherwise("stale expires_at")
     )
-    columns = [
-        "lease_id", "at_us", "op", "nonce", "old_us", "new_us", "granted_nonce", "granted_us",
-    ]
-    return fold(log.select(*columns), ["lease_id"], ["at_us", "op", "nonce", "old_us", "new_us"], machine)
+    return judged.select(
+        "lease_id", *order, "granted_nonce", "granted_us",
+        verdict.alias("verdict"), reason.alias("reason"), expires.alias("expires_us"),
+    )
 
 
 def lease_states(history: DataFrame, now_us: int) -> DataFrame:

@@ -7,9 +7,11 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from opsframe.operators.chains import reached, successors
 from opsframe.operators.folds import Machine, fold
-from opsframe.operators.ordered import ordered_columns
+from opsframe.operators.ordered import first_per_key, group_sizes, join_keys, ordered_columns
 from opsframe.schemas import LOG_LEVELS
+from opsframe.session import cut_lineage, rows_per_task
 
 # ----------------------------------------------------------------------- tenants
 
@@ -142,49 +144,35 @@ def window_step(limit: int, width: int):
     return step
 
 
-def _window_summary(limit: int, width: int):
-    def summarise(rows):
-        """[calls in the slice, steps]: where a window that may open from some
-        time on leaves the state at the end of the slice.
+def _window_starts(calls: DataFrame, key: str, width: int) -> DataFrame:
+    """(key, _start): where the windows of each key begin, by pointers from each call time to the first one a window later."""
+    times = cut_lineage(calls.select(key, F.col("at_us").alias("node")).distinct())
+    offers = times.withColumn("at", F.col("node"))
+    links = successors(times.withColumn("at", F.col("node") + width), offers, [key])
+    heads = times.groupBy(key).agg(F.min("node").alias("node"))
+    return reached(links, heads, [key]).withColumnRenamed("node", "_start")
 
-        Worked out backwards: a window opened at call i either lasts to the end
-        or hands over to the first call ``width`` later.  Neighbouring calls that
-        end in the same state form one step, so the list stays short.
-        """
-        at = [row[1] for row in rows]
-        n = len(at)
-        ends: list = [None] * n
-        nxt = n
-        for i in range(n - 1, -1, -1):
-            while nxt - 1 > i and at[nxt - 1] >= at[i] + width:
-                nxt -= 1
-            ends[i] = ends[nxt] if nxt < n else [min(limit, n - i), at[i]]
-        steps: list = []
-        for i in range(n):
-            if i and at[i] == at[i - 1]:
-                continue
-            if steps and steps[-1][1:] == ends[i]:
-                steps[-1][0] = at[i]
-            else:
-                steps.append([at[i], *ends[i]])
-            if at[i] >= at[0] + width:
-                break
-        return [n, steps]
 
-    return summarise
+def _rate_limit_rows(calls: DataFrame, key: str, limit: int, width: int) -> DataFrame:
+    """As ``rate_limit``, by joins on rows only, for keys that no task can hold.
 
-
-def _window_advance(limit: int, width: int):
-    def advance(state, summary):
-        calls, steps = summary
-        if state is None:
-            return steps[0][1:]
-        for last, used, start in steps:
-            if last >= state[1] + width:
-                return [used, start]
-        return [min(limit, state[0] + calls), state[1]]
-
-    return advance
+    Stretches of one width hold one window start at most, and a call's window starts in its own stretch or in the
+    one before, so two equality joins find it.  The last call let through marks where a window closes.
+    """
+    starts = cut_lineage(_window_starts(calls, key, width))
+    stretch = F.floor(F.col("_start") / width)
+    own = starts.select(key, stretch.alias("_stretch"), F.col("_start").alias("_own"))
+    before = starts.select(key, (stretch + 1).alias("_stretch"), F.col("_start").alias("_before"))
+    placed = calls.withColumn("_stretch", F.floor(F.col("at_us") / width))
+    placed = join_keys(join_keys(placed, own, [key, "_stretch"], "left"), before, [key, "_stretch"], "left")
+    start = F.when(F.col("_own") <= F.col("at_us"), F.col("_own")).otherwise(F.col("_before"))
+    placed = placed.withColumn("_start", start).drop("_stretch", "_own", "_before")
+    within = first_per_key(placed.select(key, "_start", "at_us", "id"), [key, "_start"], ["at_us", "id"], limit)
+    closes = within.groupBy(key, "_start").agg(F.max(F.struct("at_us", "id")).alias("_closes"))
+    judged = join_keys(placed, closes, [key, "_start"], "left")
+    allowed = F.coalesce(F.struct("at_us", "id") <= F.col("_closes"), F.lit(False))
+    wait = F.when(allowed, F.lit(0)).otherwise(F.col("_start") + width - F.col("at_us")).cast("long")
+    return judged.withColumns({"allowed": allowed, "retry_after_us": wait}).drop("_start", "_closes")
 
 
 def rate_limit(
@@ -194,17 +182,21 @@ def rate_limit(
 
     A window starts at a key's first call and the next one at the first call
     at least ``window_seconds`` later; only ``limit`` calls pass per window.
+    Keys that fit one task are folded in one pass; otherwise window starts are found by doubling pointers, and no
+    task holds more of a key than of any other.
     """
     width = int(window_seconds * 1_000_000)
+    rest = [c for c in calls.columns if c not in (key, "at_us", "id")]
+    calls = calls.select(key, "at_us", "id", *rest)
+    largest, _ = group_sizes(calls, [key])
+    if largest > rows_per_task(calls.sparkSession):
+        return _rate_limit_rows(calls, key, limit, width)
     machine = Machine(
         start=lambda row: None,
         step=window_step(limit, width),
         outputs=[("allowed", "boolean"), ("retry_after_us", "long")],
-        summarise=_window_summary(limit, width),
-        advance=_window_advance(limit, width),
     )
-    rest = [c for c in calls.columns if c not in (key, "at_us", "id")]
-    return fold(calls.select(key, "at_us", "id", *rest), [key], ["at_us", "id"], machine)
+    return fold(calls, [key], ["at_us", "id"], machine)
 
 
 # --------------------------------------------------------------------- breakers

@@ -71,6 +71,7 @@ def ordered_columns(
     previous: Mapping[str, tuple[str, object]] | None = None,
     running: Mapping[str, Column] | None = None,
     sized_by: DataFrame | None = None,
+    sizes: tuple[int, int] | None = None,
 ) -> DataFrame:
     """Add columns that depend on the order of rows within a key.
 
@@ -78,11 +79,11 @@ def ordered_columns(
     (column, default for the first row).  ``running``: new name -> expression
     summed over all rows up to and including this one.  ``order`` must be
     unique within the key.  ``sized_by``: a cheaper frame with at least as many rows
-    per key, counted in place of ``df``.
+    per key, counted in place of ``df``; ``sizes``: what ``group_sizes`` has found already.
     """
     previous = previous or {}
     running = running or {}
-    largest, total = group_sizes(df if sized_by is None else sized_by, keys)
+    largest, total = sizes or group_sizes(df if sized_by is None else sized_by, keys)
     if largest <= rows_per_task(df.sparkSession):
         window = Window.partitionBy(*keys).orderBy(*order)
         upto = window.rowsBetween(Window.unboundedPreceding, Window.currentRow)

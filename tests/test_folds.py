@@ -91,8 +91,6 @@ def test_slice_summaries_match_stepping(events, marks, threshold, width):
     slices = [rows[a:b] for a, b in zip(bounds, bounds[1:])]
     window = width + 3
     machines = [
-        (None, ct.window_step(threshold, width + 1), ct._window_summary(threshold, width + 1),
-         ct._window_advance(threshold, width + 1)),
         (["closed", [], 0], ct.breaker_step(threshold, window, width),
          ct._breaker_summary(threshold, window, width), ct._breaker_advance(threshold, window, width)),
     ]
