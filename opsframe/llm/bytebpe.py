@@ -22,8 +22,8 @@ from pyspark.sql import types as T
 from opsframe.llm.base import quoted
 
 #: A chunk ends when its distinct pieces have so many bytes, or when it has so many pieces; a text is never cut.
-CHUNK_BYTES = 4_000_000
-CHUNK_PIECES = 8_000_000
+CHUNK_BYTES = 2_500_000
+CHUNK_PIECES = 4_000_000
 #: Texts of one Arrow batch of results end after so many ids.
 _BATCH_IDS = 1_000_000
 

@@ -265,9 +265,13 @@ def leak_pairs(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
 
 
 def without_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without the rows whose text holds a benchmark item; all columns kept."""
+    """``docs`` without the rows whose text holds a benchmark item; all columns kept, whatever they are called.
+
+    Null and empty texts hold none and stay; equal texts share their fate; without items, or without rows, nothing goes.
+    """
     digest = fresh(docs, "_digest")
+    leaked = fresh(docs, "_leaked")
     marked = docs.withColumn(digest, F.md5(F.coalesce(quoted(text), F.lit(""))))
     bad = leaks(marked.select(quoted(digest).alias("digest"), quoted(text).alias("body")), items, ["digest"], "body")
-    bad = bad.select(F.col("digest").alias("_leaked")).distinct()
-    return marked.join(bad, quoted(digest) == F.col("_leaked"), "left_anti").select(*[quoted(c) for c in docs.columns])
+    bad = bad.select(F.col("digest").alias(leaked)).distinct()
+    return marked.join(bad, quoted(digest) == quoted(leaked), "left_anti").select(*[quoted(c) for c in docs.columns])

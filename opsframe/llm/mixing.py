@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from opsframe.llm.base import null_safe, quoted
+from opsframe.llm.base import fresh, null_safe, quoted
 
 WEIGHTS = (5, 2, 1)
 MOST_REPEATS = 3
@@ -182,21 +182,22 @@ def repeats(docs: DataFrame, key: str = "doc_id", source: str = "source", text:
     end = F.col("start_token") + F.col("run_tokens") % F.col("source_size")
     again = ((at >= F.col("start_token")) & (at < end)) | (at < end - F.col("source_size"))
     times = F.floor(F.col("run_tokens") / F.col("source_size")) + again.cast("int")
+    name = {n: fresh(docs, f"_mix_{n}") for n in ("key", "source", "digest", "share", "row", "count", "copy")}
+    col = {n: quoted(c) for n, c in name.items()}
     share = (
         mixed.withColumn("times", F.coalesce(times, F.lit(0)))
         .groupBy("doc_id", "source", "digest").agg(F.avg("times").alias("share")).filter("share > 0")
-        .select(F.col("doc_id").alias("_mix_key"), F.col("source").alias("_mix_source"), F.col("digest").alias("_mix_digest"), F.col("share").alias("_mix_share"))
+        .select(*[F.col(c).alias(name[n]) for n, c in (("key", "doc_id"), ("source", "source"), ("digest", "digest"), ("share", "share"))])
     )
     digest = F.md5(F.coalesce(quoted(text), F.lit("")))
-    chosen = docs.withColumn("_mix_row", F.monotonically_increasing_id()).join(
-        share,
-        quoted(key).eqNullSafe(F.col("_mix_key")) & quoted(source).eqNullSafe(F.col("_mix_source")) & (digest == F.col("_mix_digest")),
+    chosen = docs.withColumn(name["row"], F.monotonically_increasing_id()).join(
+        share, quoted(key).eqNullSafe(col["key"]) & quoted(source).eqNullSafe(col["source"]) & (digest == col["digest"])
     )
-    draw = F.pmod(F.xxhash64("_mix_digest", "_mix_row"), F.lit(1 << 20)) / (1 << 20)
-    whole = F.floor("_mix_share")
-    count = whole + (draw < F.col("_mix_share") - whole).cast("int")
+    draw = F.pmod(F.xxhash64(col["digest"], col["row"]), F.lit(1 << 20)) / (1 << 20)
+    whole = F.floor(col["share"])
+    count = whole + (draw < col["share"] - whole).cast("int")
     return (
-        chosen.withColumn("_mix_count", count).filter("_mix_count > 0")
-        .withColumn("_mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_mix_count"))))
+        chosen.withColumn(name["count"], count).filter(col["count"] > 0)
+        .withColumn(name["copy"], F.explode(F.sequence(F.lit(1).cast("long"), col["count"])))
         .select(*[quoted(c) for c in docs.columns])
     )

@@ -263,9 +263,9 @@ def one_per_class(docs: DataFrame, key: str = "doc_id", text: str = "text", **ho
     """The document of least id of each class, once; all columns kept (see near_classes)."""
     classes = near_classes(docs, key, text, **how)
     keep = classes.filter(F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("node") == F.col("keeper_node"))).select(
-        F.col("doc_id").alias("_kept_id"), F.col("node").alias("_kept_node")
+        F.col("doc_id").alias(fresh(docs, "_kept_id")), F.col("node").alias(fresh(docs, "_kept_node"))
     ).distinct()
     node = fresh(docs, "_node")
     single = docs.withColumn(node, text_key(quoted(text))).dropDuplicates([key, node])
-    matched = quoted(key).eqNullSafe(F.col("_kept_id")) & (quoted(node) == F.col("_kept_node"))
+    matched = quoted(key).eqNullSafe(quoted(keep.columns[0])) & (quoted(node) == quoted(keep.columns[1]))
     return single.join(keep, matched, "left_semi").select(*[quoted(c) for c in docs.columns])

@@ -6,6 +6,7 @@ version names the slots that moved.  The shards' sizes are made near equal in by
 
 from __future__ import annotations
 
+import bisect
 import heapq
 from dataclasses import dataclass
 
@@ -36,21 +37,35 @@ class SlotMap:
     def rebalanced(self, size: dict[int, int], shards: int | None = None) -> SlotMap:
         """Edit the map so that shard sizes come near each other.
 
-        Each shard keeps its largest slots as long as they fit below the mean; what does not
-        fit moves, largest first, to the shard that is smallest at that moment.
+        A shard above the mean gives up the largest slots that fit into what it has too much, so few slots move;
+        shards that are gone give up all of theirs.  What moves goes, largest first, to the shard that is
+        smallest at that moment.
         """
         shards = shards or self.shards
         mean = sum(size.values()) / shards
-        load, moving, new = [0] * shards, [], list(self.shard)
-        for slot in sorted(range(len(new)), key=lambda s: (-size.get(s, 0), s)):
-            at, much = new[slot], size.get(slot, 0)
-            if at < shards and (load[at] + much <= mean or not load[at]):
-                load[at] += much
+        new, moving = list(self.shard), []
+        own: list[list[tuple[int, int]]] = [[] for _ in range(shards)]
+        for slot, at in enumerate(new):
+            if at < shards:
+                own[at].append((size.get(slot, 0), slot))
             else:
                 moving.append(slot)
+        load = [sum(much for much, _ in slots) for slots in own]
+        for at, slots in enumerate(own):
+            slots.sort()
+            while slots and load[at] > mean:
+                over = load[at] - mean
+                place = bisect.bisect_right(slots, (over, len(new))) - 1
+                if place < 0 and slots[0][0] >= 2 * over:  # the smallest slot would leave it further below than it is above
+                    break
+                much, slot = slots.pop(max(place, 0))
+                if not much:
+                    break
+                load[at] -= much
+                moving.append(slot)
         heap = [(much, at) for at, much in enumerate(load)]
         heapq.heapify(heap)
-        for slot in moving:
+        for slot in sorted(moving, key=lambda s: (-size.get(s, 0), s)):
             much, at = heapq.heappop(heap)
             new[slot] = at
             heapq.heappush(heap, (much + size.get(slot, 0), at))

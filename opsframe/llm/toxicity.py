@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from opsframe.llm.base import quoted
+from opsframe.llm.base import fresh, quoted
 
 #: Labelled rows that a fit may use; more are sampled by a hash of their id.
 MAX_TRAIN = 16_000
@@ -105,7 +105,8 @@ def training_rows(
 ) -> DataFrame:
     """At most about ``most`` labelled texts that are not held out: id, text, label.
 
-    An id labelled twice counts as toxic if either label says so.
+    An id labelled twice counts as toxic if either label says so; an id on several rows gives its least text, so
+    repeated rows do not add to the sample.
     """
     known = (
         labels.select(quoted(key).alias("id"), quoted(label).cast("int").alias("label"))
@@ -116,7 +117,8 @@ def training_rows(
     share = int(min(1.0, most / max(1, total)) * (1 << 30))
     chosen = known.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < share)
     rows = docs.select(quoted(key).alias("id"), quoted(text).alias("text"))
-    return rows.join(F.broadcast(chosen), "id")  # no more rows than ``most`` allows
+    found = rows.join(F.broadcast(chosen), "id")  # no more rows than ``most`` allows
+    return found.groupBy("id").agg(F.min("text").alias("text"), F.first("label").alias("label"))
 
 
 def _counts(rows: DataFrame) -> DataFrame:
@@ -221,5 +223,9 @@ def scored(docs: DataFrame, model: Model, text: str = "text", into: str = "score
 
 
 def clean(docs: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` without the rows scored as toxic; all columns kept."""
-    return scored(docs, model, text, "_toxicity").filter(F.col("_toxicity") < threshold).drop("_toxicity")
+    """``docs`` without the rows scored as toxic; all columns kept, whatever they are called.
+
+    A null or empty text has the score of the model's intercept; equal texts share their fate, an empty table stays empty.
+    """
+    into = fresh(docs, "_toxicity")
+    return scored(docs, model, text, into).filter(quoted(into) < threshold).drop(into)
