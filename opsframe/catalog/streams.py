@@ -20,8 +20,9 @@ from opsframe.streaming import stateful as st
 
 
 def event_stream(spark, d):
-    # The pattern matches one name, be it a single file or a folder of files.
-    return spark.readStream.schema(TABLES["events"]).parquet(f"{d}/events.parque[t]")
+    # The pattern matches one name, be it a single file or a folder of files; a folder comes in parts.
+    files = spark.readStream.schema(TABLES["events"]).option("maxBytesPerTrigger", "1g")
+    return files.parquet(f"{d}/events.parque[t]")
 
 
 def refuse_tens(payload: str) -> None:

@@ -8,12 +8,13 @@ stepped through, so one pass over a file source gives the batch result.
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from opsframe.operators.folds import Machine
@@ -76,31 +77,60 @@ def fold_stream(
     )
 
 
-def _dedup_step(state, row):
-    digest, request = row[3], row[1]
-    if state is None:
-        return [digest, request], ("fresh", request)
-    if digest == state[0]:
-        return state, ("replay", state[1])
-    return state, ("conflict", request)
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class _FirstUse(StatefulProcessor):
+    """Remembers the digest and id of a key's first request; the store forgets them by itself."""
+
+    def __init__(self, ttl_ms: int | None, columns: list[str]):
+        self.ttl_ms, self.columns = ttl_ms, columns
+
+    def init(self, handle) -> None:
+        self.first = handle.getValueState("first", "digest string, id long", self.ttl_ms)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        held = self.first.get() if self.first.exists() else None
+        waiting = []
+        if held is None:  # which request came first shows when the last part is in; a trigger bounds how many wait
+            waiting = [part[self.columns] for part in rows]
+            earliest = pd.concat([part.nsmallest(1, ["ts_us", "id"]) for part in waiting]).nsmallest(1, ["ts_us", "id"]).iloc[0]
+            request = int(earliest["id"])
+            held = (earliest["digest"], request)
+        else:
+            request = None
+        digest, answer = held
+        self.first.update((digest, int(answer)))
+        for part in waiting or (part[self.columns] for part in rows):
+            same = part["digest"].eq(digest) if digest is not None else part["digest"].isna()
+            ids = part["id"].astype("int64")
+            kind = np.where(same, "replay", "conflict")
+            if request is not None:
+                kind = np.where(ids == request, "fresh", kind)
+            yield part.assign(kind=kind, answer_id=np.where(kind == "conflict", ids, answer))
+
+    def close(self) -> None:
+        pass
 
 
 def dedup_stream(requests: DataFrame, ttl_seconds: int | None = 90 * 86_400) -> DataFrame:
     """fresh, replay or conflict per request (id, ts_us, idem_key, digest) of a stream.
 
-    A key is remembered for ``ttl_seconds`` after its last use (90 days unless
-    told otherwise).  Requests without key are all fresh and need no state.
+    A key is remembered for ``ttl_seconds`` after its last use (90 days unless told otherwise), by a state
+    store that drops each value when its time is up; it keeps one digest and one id a key on disk.  Requests without key
+    are all fresh and need no state.  Ids are unique.  A key that is known is answered part by part; the requests of a new key
+    wait for the end of their micro-batch, so bound those by the source (``maxBytesPerTrigger`` or the like).  Forgetting follows
+    the wall clock, so with ``ttl_seconds`` use a processing-time trigger.  Sets the session's state store provider.
     """
-    machine = Machine(
-        start=lambda row: None,
-        step=_dedup_step,
-        outputs=[("kind", "string"), ("answer_id", "long")],
-    )
+    requests.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKSDB)
     keyed = F.coalesce("idem_key", F.lit("")) != ""
     columns = ["idem_key", "id", "ts_us", "digest"]
-    told = fold_stream(
-        requests.filter(keyed).select(*columns), ["idem_key"], ["ts_us", "id"], machine, ttl_seconds
-    )
+    kinds = dict(requests.dtypes)
+    schema = ", ".join(f"{c} {kinds[c]}" for c in columns) + ", kind string, answer_id long"
+    told = requests.filter(keyed).select(*columns).groupBy("idem_key").transformWithStateInPandas(
+        _FirstUse(None if ttl_seconds is None else ttl_seconds * 1000, columns),
+        schema, "append", "none" if ttl_seconds is None else "processingTime",
+    )
     rest = requests.filter(~keyed).select(
         *columns, F.lit("fresh").alias("kind"), F.col("id").cast("bigint").alias("answer_id")
     )

@@ -1,5 +1,8 @@
 """Streams over several files give the batch result and go on after a restart."""
 
+import random
+import time
+
 from opsframe.operators import control as ct
 from opsframe.operators.folds import Machine
 from opsframe.streaming import consume as cs
@@ -36,6 +39,69 @@ def test_breaker_stream_resumes(spark, tmp_path):
     )
 
 
+REQUESTS = "id long, ts_us long, idem_key string, digest string"
+
+
+def told(spark, source, out, ttl=None):
+    stream = spark.readStream.schema(REQUESTS).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", "1").parquet(source)
+    return {r.id: (r.kind, r.answer_id) for r in cs.run_to_files(st.dedup_stream(stream, ttl), out).collect()}
+
+
+def parted(spark, folder, rows, parts):
+    for i in range(parts):
+        part = rows[len(rows) * i // parts : len(rows) * (i + 1) // parts]
+        spark.createDataFrame(part[::-1], REQUESTS).coalesce(1).write.parquet(f"{folder}/{i}")
+
+
+def test_dedup_does_not_depend_on_the_cut(spark, tmp_path):
+    """One key holds a fifth of the rows; nulls and empty keys are never replays; a stream goes on after a restart."""
+    rng = random.Random(3)
+    keys = ["hot"] * 10 + [f"k{i}" for i in range(30)] + [None, ""] * 4
+    rows = [(i, 1000 + i // 2, rng.choice(keys), rng.choice(["a", "a", "b", None])) for i in range(200)]
+    want, first = {}, {}
+    for i, _, key, digest in rows:
+        if not key or key not in first:
+            want[i] = ("fresh", i)
+            first[key] = (digest, i)
+        else:
+            known, answer = first[key]
+            want[i] = ("replay", answer) if digest == known else ("conflict", i)
+    for parts in (1, 3):
+        source = str(tmp_path / f"in{parts}")
+        parted(spark, source, rows, parts)
+        assert told(spark, source, str(tmp_path / f"out{parts}")) == want
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    parted(spark, f"{source}/x", rows[:120], 1)
+    told(spark, source, out)
+    parted(spark, f"{source}/y", rows[120:], 2)
+    assert told(spark, source, out) == want
+
+
+def test_dedup_forgets_after_its_time(spark, tmp_path):
+    """A running query, as the clock only goes on in one."""
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    parted(spark, f"{source}/x", [(1, 1, "k", "a"), (2, 2, "k", "a")], 1)
+    stream = spark.readStream.schema(REQUESTS).option("recursiveFileLookup", "true").parquet(source)
+    query = (
+        st.dedup_stream(stream, 8).writeStream.format("memory").queryName("forgetful")
+        .option("checkpointLocation", out).trigger(processingTime="1 second").start()
+    )
+
+    def seen(n):
+        until = time.time() + 60
+        while time.time() < until and query.exception() is None and spark.table("forgetful").count() < n:
+            time.sleep(0.5)
+        return {r.id: (r.kind, r.answer_id) for r in spark.table("forgetful").collect()}
+
+    try:
+        assert seen(2) == {1: ("fresh", 1), 2: ("replay", 1)}
+        time.sleep(10)
+        parted(spark, f"{source}/y", [(3, 3, "k", "b"), (4, 4, "k", "b")], 1)
+        assert seen(4) == {1: ("fresh", 1), 2: ("replay", 1), 3: ("fresh", 3), 4: ("replay", 3)}
+    finally:
+        query.stop()
+
+
 def test_consumer_isolates_poison_and_resumes(spark, tmp_path):
     source, out = str(tmp_path / "in"), str(tmp_path / "out")
 
