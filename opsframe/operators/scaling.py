@@ -46,7 +46,7 @@ def dominant_demand(workloads: DataFrame, targets: DataFrame, latest: DataFrame)
 
 @dataclass(frozen=True)
 class TargetPolicy:
-    """Default policy: follow the dominant metric unless a veto stands against the move.
+    """Default policy: come as near to the dominant metric's demand as the room at this moment allows.
 
     Times are seconds.  Called as ``policy(current, low, high, measured, targets, now,
     last_action, last_up)`` it gives the new replica count or None.
@@ -67,23 +67,23 @@ class TargetPolicy:
         top = max(asked, default=None)
         return None if top is None else int(_within(top, low, high))
 
-    def vetoes(self, current, goal, since_action, since_up) -> dict[str, bool]:
-        """Rules against going from ``current`` to ``goal`` now; ``since_up`` is None if never raised."""
-        return {
-            "too small a move": 0 < abs(goal - current) <= self.deadband * max(1.0, current),
-            "acted lately": since_action < self.cooldown,
-            "raised lately": goal <= current and since_up is not None and since_up < self.protect_after,
-        }
+    def room(self, current, low, high, idle, risen) -> tuple[float, float]:
+        """Least and most replicas that may follow ``current``, ``idle`` and ``risen`` seconds after its last
+        change and its last rise: one step either way within the bounds, nothing below after a rise, and
+        nothing but ``current`` after a change."""
+        if idle < self.cooldown:
+            return current, current
+        reach = NO_LIMIT if self.step is None else self.step
+        least, most = _within(current - reach, low, high), _within(current + reach, low, high)
+        return (current if risen < self.protect_after else least), most
 
     def __call__(self, current, low, high, measured, targets, now, last_action, last_up):
         goal = self.demand(current, low, high, measured, targets)
-        if goal is None:
+        if goal is None or abs(goal - current) <= self.deadband * max(1.0, current):
             return None
-        if any(self.vetoes(current, goal, now - last_action, now - last_up if last_up else None).values()):
-            return None
-        if self.step is not None:
-            goal = int(_within(_within(goal, current - self.step, current + self.step), low, high))
-        return None if goal == current else goal
+        least, most = self.room(current, low, high, now - last_action, now - last_up if last_up else NO_LIMIT)
+        new = int(_within(goal, least, most)) if least <= most else current
+        return None if new == current else new
 
 
 def _within(value, low, high):

@@ -9,20 +9,33 @@ from opsframe.functions.keys import json_quoted
 from opsframe.operators.ordered import ordered_columns
 
 
+#: Files of a log up to which the table of their splits is broadcast.
+LISTED_FILES = 100_000
+
+
 def read_jsonl_tolerant(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     """Non-blank lines of the files at ``path``: (path, line_no, text, torn, record).
 
     ``record`` is the parsed value, a variant or, with ``schema``, a struct; torn
-    lines keep their text and never fail the read.  Files may be split: lines are
-    numbered by split offset and place within the split.
+    lines keep their text and never fail the read.  Files may be split: a line's number is its place
+    within the split after the lines of the splits before it.  The lines of each split are counted in a
+    pass of its own, so texts are never shuffled.
     """
-    lines = spark.read.text(path).select(
+    texts = spark.read.text(path)
+    lines = texts.select(
         F.col("_metadata.file_path").alias("path"),
         F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_row"),
         F.col("value"),
     )
-    numbered = ordered_columns(lines, ["path"], ["_block", "_row"], number="line_no")
+    splits = lines.groupBy("path", "_block").agg(F.count("*").alias("_lines"), F.min("_row").alias("_first"))
+    # A file has far fewer splits than a task may sort.
+    before = ordered_columns(splits, ["path"], ["_block"], running={"_upto": F.col("_lines")}, sizes=(0, 0))
+    starts = before.select("path", "_block", "_first", (F.col("_upto") - F.col("_lines")).alias("_before"))
+    if len(texts.inputFiles()) <= LISTED_FILES:  # a row a split, of which the driver plans no more than it lists
+        starts = F.broadcast(starts)
+    line_no = F.col("_before") + F.col("_row") - F.col("_first") + 1
+    numbered = lines.join(starts, ["path", "_block"]).withColumn("line_no", line_no)
     text = F.regexp_replace("value", r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
     parsed = F.try_parse_json("text")
     record = parsed if schema is None else F.from_json("text", schema)
