@@ -23,6 +23,8 @@ CANDIDATE = (
     r"|(?<![A-Za-z0-9+/_-])(?=AKIA|ASIA|ghp_|gho_|sk_live_|sk-|xox[bap]-|AIza|eyJ|[A-Za-z+/_-]*+[0-9]"
     r"|[A-Za-z+/_-]*?(?:[a-z+/_-][A-Z]|[b-df-hj-np-tv-xzB-DF-HJ-NP-TV-XZ]{5}))[A-Za-z0-9+/_-]{12,}={0,2}"
 )
+#: Characters of which one that a text does not hold marks its candidates.
+MARKS = [chr(c) for c in [*range(1, 9), *range(0xF000, 0xF018)]]
 #: Code points looked at on each side of a candidate.
 AROUND = 60
 #: Findings that a fit may use.
@@ -44,15 +46,27 @@ FEATURES = [
 
 
 def candidates(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = "source") -> DataFrame:
-    """One row per candidate: doc_id, path, start (code point, from 0), candidate, before, after."""
+    """One row per candidate: doc_id, path, start (code point, from 0), candidate, before, after.
+
+    A null text has none, repeated rows have theirs each.  In a text that holds every one of ``MARKS`` the first of them is
+    read as U+FFFD.
+    """
     body = F.coalesce(quoted(text), F.lit(""))
     rows = docs.select(
         quoted(key).alias("doc_id"), (F.coalesce(quoted(path).cast("string"), F.lit("")) if path else F.lit("")).alias("path"), body.alias("body"),
-    ).filter(F.col("body").rlike(CANDIDATE))
-    found = rows.select(
+    )
+    # one pass sets every candidate between two marks that the text does not hold, so the pieces alternate
+    free = F.coalesce(*[F.when(~F.contains("body", F.lit(m)), F.lit(m)) for m in MARKS])
+    rows = rows.withColumn("mark", free).select(
+        "doc_id", "path", F.coalesce("mark", F.lit(MARKS[0])).alias("mark"),
+        F.when(F.col("mark").isNull(), F.translate("body", MARKS[0], "\ufffd")).otherwise(F.col("body")).alias("body"),
+    )
+    between = F.concat("mark", F.lit("$0"), "mark")
+    pieces = rows.select("doc_id", "path", F.split(F.regexp_replace("body", F.lit(CANDIDATE), between), F.col("mark"), -1).alias("pieces"))
+    found = pieces.select(
         "doc_id", "path",
-        F.regexp_extract_all("body", F.lit(CANDIDATE), F.lit(0)).alias("found"),
-        F.split("body", CANDIDATE, -1).alias("rest"),
+        F.filter("pieces", lambda x, i: i % 2 == 1).alias("found"),
+        F.filter("pieces", lambda x, i: i % 2 == 0).alias("rest"),
     )
     # what stands between two candidates is the text after one and before the next
     each = found.select(

@@ -23,6 +23,22 @@ def test_candidates_are_placed(spark):
     assert ss.scan(docs.limit(0), None).count() == 0 and ss.scan(docs, None).filter("is_secret").count() == 0
 
 
+def test_texts_that_hold_marks(spark):
+    """A text may hold any of the marks, or all of them; candidates may stand side by side."""
+    texts = ["\x01 token = \"abc\x01def0123\" \x02", "".join(ss.MARKS) + " password=abcdef12", "password=hunter22,password=hunter33 AKIA1234567890ABCD"]
+    docs = spark.createDataFrame([(i, t, None, 1, "") for i, t in enumerate(texts)], DOCS)
+    got = sorted((r["doc_id"], r["start"], r["candidate"]) for r in ss.candidates(docs).collect())
+    assert got == [(0, 11, "abc\x01def0123"), (1, 42, "abcdef12"), (2, 9, "hunter22"), (2, 27, "hunter33"), (2, 36, "AKIA1234567890ABCD")]
+
+
+def test_candidates_equal_a_plain_search(spark):
+    """The pattern by itself, over whole texts of the documents."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    plain = docs.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(ss.CANDIDATE), F.lit(0))).alias("c"))
+    want = sorted(map(tuple, plain.collect()))
+    assert want and sorted((r["doc_id"], r["candidate"]) for r in ss.candidates(docs, path=None).collect()) == want
+
+
 def test_held_out_findings(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labelled = ss.labelled_findings(docs).withColumn("part", F.pmod(F.xxhash64("before"), F.lit(4)))
