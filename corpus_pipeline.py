@@ -1,4 +1,9 @@
-"""Documents to training shards: the stages, in order, and one run over all of them."""
+"""Documents to training shards: the stages, in order, and one run over all of them.
+
+Every stage reads the five columns of documents and drops any other.  Null texts and empty ones are
+documents like others: copies of each other, free of leaks, of size zero for the mix.  A null source is a source of its
+own, null ids match null ids, and an empty table stays empty.
+"""
 
 from __future__ import annotations
 
@@ -20,24 +25,24 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class."""
+    """One document of each near-duplicate class, that of least id; of rows that share id and text one stays."""
     ship_package(spark)
     return neardup.one_per_class(docs.select(*DOCUMENT))
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item, its values exchanged or not."""
+    """Documents that hold no benchmark item, its values exchanged or not; equal texts go or stay together."""
     ship_package(spark)
     return decontaminate.without_leaks(docs.select(*DOCUMENT), table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix of sources takes it."""
+    """Each document as often as the mix of sources takes it; a row taken twice comes twice."""
     return mixing.repeats(docs.select(*DOCUMENT))
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each row's shard and place in it."""
+    """Each row's shard and place in it; equal rows get a place each."""
     rows, _ = sharding.shard_rows(docs)
     return rows
 

@@ -183,12 +183,17 @@ def dispatch_guard(candidates: DataFrame, attempts: DataFrame) -> DataFrame:
     return candidates.join(running, NODE, "left_anti")
 
 
-def concurrency_admission(ready: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Admit ready nodes in node order while the workflow is below each one's limit.
+def concurrency_admission(
+    ready: DataFrame, nodes: DataFrame, order: Sequence[str] = ("node_id",)
+) -> DataFrame:
+    """Admit ready nodes in order while the workflow is below each one's limit.
 
     Dispatched and running nodes and those admitted before take a slot; event
-    nodes finish at once and take none.
+    nodes finish at once and take none.  ``order`` names the columns of ``ready`` that nodes are
+    walked by: their place in the definition for a workflow that is new, their id (the default) for one
+    read back from storage, which keeps nodes sorted by id.  Equal places are walked by id.
     """
+    order = [*order, *[c for c in ("node_id",) if c not in order]]
     active = (
         nodes.filter(F.col("status").isin("dispatched", "running"))
         .groupBy("workflow_id")
@@ -205,6 +210,7 @@ def concurrency_admission(ready: DataFrame, nodes: DataFrame) -> DataFrame:
         F.coalesce("active", F.lit(0)).alias("active"),
         F.col("max_concurrency").cast("bigint").alias("max_concurrency"),
         takes.alias("takes_slot"),
+        *[c for c in order if c != "node_id"],
     )
 
     def step(used, row):
@@ -213,7 +219,7 @@ def concurrency_admission(ready: DataFrame, nodes: DataFrame) -> DataFrame:
         return used + (1 if admitted and takes_slot else 0), (admitted,)
 
     machine = Machine(start=lambda row: row[2], step=step, outputs=[("admitted", "boolean")])
-    return fold(slots, ["workflow_id"], ["node_id"], machine, sized_by=nodes)
+    return fold(slots, ["workflow_id"], order, machine, sized_by=nodes)
 
 
 def pick_slot(ready: DataFrame, leases: DataFrame, now: Column) -> DataFrame:

@@ -205,6 +205,25 @@ def test_concurrency_admission(spark, both_ways):
     assert {(r.workflow_id, r.node_id): r.admitted for r in got.collect()} == want
 
 
+def test_admission_in_order_of_definition(spark, both_ways):
+    """Ten nodes whose ids sort otherwise than they were defined ("n10" before "n2")."""
+    ready = [(w, f"n{i}", i // 2, 3 + i % 4) for w in "ab" for i in range(1, 24)]
+    got = wf.concurrency_admission(
+        spark.createDataFrame(ready, "workflow_id string, node_id string, place int, max_concurrency int"),
+        spark.createDataFrame([("a", "x", "running")], "workflow_id string, node_id string, status string"),
+        ["place"],
+    )
+    for order, rows in (("place", got.collect()), ("id", wf.concurrency_admission(
+        spark.createDataFrame(ready, "workflow_id string, node_id string, place int, max_concurrency int"),
+        spark.createDataFrame([("a", "x", "running")], "workflow_id string, node_id string, status string"),
+    ).collect())):
+        want, used = {}, {"a": 1, "b": 0}
+        for w, n, place, limit in sorted(ready, key=lambda r: (r[0], r[2] if order == "place" else 0, r[1])):
+            want[(w, n)] = used[w] < limit
+            used[w] += used[w] < limit
+        assert {(r.workflow_id, r.node_id): r.admitted for r in rows} == want
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_acks_against_ack_by_ack(spark, seed):
     """Aggregated acks agree with a loop over single acks, several groups included."""
