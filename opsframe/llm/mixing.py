@@ -178,10 +178,11 @@ def repeats(docs: DataFrame, key: str = "doc_id", source: str = "source", text:
     on the row's place in the input decides who gets one more.
     """
     mixed, _ = plan_mix(docs, key, source, text, **how)
-    at = F.col("first_token") % F.col("source_size")
-    end = F.col("start_token") + F.col("run_tokens") % F.col("source_size")
-    again = ((at >= F.col("start_token")) & (at < end)) | (at < end - F.col("source_size"))
-    times = F.floor(F.col("run_tokens") / F.col("source_size")) + again.cast("int")
+    length = F.nullif(F.col("source_size"), F.lit(0))  # a source without words has no places, and gives no rows
+    at = F.col("first_token") % length
+    end = F.col("start_token") + F.col("run_tokens") % length
+    again = ((at >= F.col("start_token")) & (at < end)) | (at < end - length)
+    times = F.floor(F.col("run_tokens") / length) + again.cast("int")
     name = {n: fresh(docs, f"_mix_{n}") for n in ("key", "source", "digest", "share", "row", "count", "copy")}
     col = {n: quoted(c) for n, c in name.items()}
     share = (
