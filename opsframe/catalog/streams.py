@@ -21,7 +21,7 @@ from opsframe.streaming import stateful as st
 
 def event_stream(spark, d):
     # The pattern matches one name, be it a single file or a folder of files; a folder comes in parts.
-    files = spark.readStream.schema(TABLES["events"]).option("maxBytesPerTrigger", "1g")
+    files = spark.readStream.schema(TABLES["events"]).option("maxBytesPerTrigger", str(1 << 30))
     return files.parquet(f"{d}/events.parque[t]")
 
 
