@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,12 +13,16 @@ from opsframe.functions.canonical import canonical_field, canonical_object, fiel
 from opsframe.functions.keys import json_quoted, json_string
 from opsframe.operators.folds import Machine, fold
 from opsframe.operators.ordered import join_keys, ordered_columns
+from opsframe.session import cut_lineage
 from opsframe.sources.jsonl import stamp_text
 
 # Texts of the two kinds of chain damage.
 BROKEN_LINK = "previous_hash mismatch"
 BROKEN_HASH = "hash mismatch (tampered or rewritten)"
 
+#: Size of the filter of a search's rarest runs, which is broadcast.
+GRAM_BYTES = 1 << 18
+
 
 def build_hash_chain(records: DataFrame, tails: DataFrame | None = None) -> DataFrame:
     """Chain records (chain_id, seq, body): each hash covers the one before it.
@@ -200,20 +206,55 @@ def memory_search(records: DataFrame, query: str, text: str = "json_text") -> Da
     return records.filter(F.contains(F.lower(text), F.lower(F.lit(query))))
 
 
-def _grams(text: Column, size: Column | int) -> Column:
+def _grams(text: Column, size: Column) -> Column:
     """Distinct runs of ``size`` characters of a text that has so many."""
-    size = F.lit(size) if isinstance(size, int) else size
     starts = F.sequence(F.lit(1), F.length(text) - size + 1)
     return F.when(F.length(text) >= size, F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, size))))
 
 
+def _bit(gram: Column) -> Column:
+    return F.pmod(F.xxhash64(gram), F.lit(8 * GRAM_BYTES))
+
+
+def _grams_of_records(texts: DataFrame, sizes: list[int]) -> DataFrame:
+    """(_key, _gram) for the distinct runs of each text (_key, _text), found in the tasks before any shuffle."""
+    kind = texts.schema["_key"].dataType.simpleString()
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):  # bounded memory
+                part = batch.slice(start, 256)
+                owners, grams = [], []
+                for place, text in enumerate(part["_text"].to_pylist()):
+                    found = {text[i : i + n] for n in sizes for i in range(len(text) - n + 1)} if text else ()
+                    owners += [place] * len(found)
+                    grams += found
+                keys = part["_key"].take(pa.array(owners, pa.int32()))
+                yield pa.RecordBatch.from_arrays([keys, pa.array(grams, pa.string())], ["_key", "_gram"])
+
+    return texts.mapInArrow(spell, f"_key {kind}, _gram string")
+
+
+def _among(grams: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Rows of ``grams`` whose run may be one of ``chosen``: a filter of GRAM_BYTES spares most rows the shuffle."""
+    bits = chosen.select(_bit(F.col("_gram")).alias("bit")).distinct()
+    words = bits.groupBy(F.shiftright("bit", 6).alias("word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("mask")
+    )
+    full = F.broadcast(words)  # at most GRAM_BYTES / 8 rows
+    marked = grams.withColumn("_bit", _bit(F.col("_gram")))
+    hit = (F.shiftright("_bit", 6) == F.col("word")) & (F.expr("shiftright(mask, cast(_bit & 63 as int)) & 1L") == 1)
+    return marked.join(full, hit, "left_semi").drop("_bit")
+
+
 def memory_search_many(
     records: DataFrame, queries: DataFrame, key: str = "record_id", text: str = "json_text", query: str = "query"
 ) -> DataFrame:
     """(query, key) for every record whose text contains a query, ignoring case.
 
-    Runs of three characters (fewer for shorter queries) lead from a query to its candidates: the runs of all queries are
-    counted over the records, each query takes its rarest one, and only records that hold that run are looked at.  A
+    Runs of three characters (fewer for shorter queries) lead from a query to its candidates: all runs are counted over the
+    records, which is combined before the shuffle, and each query takes its rarest one.  A query that is a run itself is
+    settled by it; for a longer one the records that hold its rarest run are looked at.  A
     query with a run that no record has is done at once.  Null and empty queries match nothing, null texts are never
     found, repeated queries are answered once and repeated records each; ``key`` need not be unique.
     """
@@ -222,20 +263,22 @@ def memory_search_many(
     wanted = asked.select("_wanted", "_size").distinct()
     of_query = wanted.select("_wanted", "_size", F.explode(_grams(F.col("_wanted"), F.col("_size"))).alias("_gram"))
     texts = records.select(F.col(key).alias("_key"), F.lower(text).alias("_text"))
-    sizes = F.array(F.lit(1), F.lit(2), F.lit(3))
-    spelled = F.array_distinct(F.flatten(F.transform(sizes, lambda n: F.coalesce(_grams(F.col("_text"), n), F.array().cast("array<string>")))))
-    short = [r["_size"] for r in wanted.select("_size").distinct().collect()]  # three values at most
-    if short == [3] or not short:
-        spelled = _grams(F.col("_text"), 3)
-    of_record = texts.select("_key", F.explode(spelled).alias("_gram"))
-
-    needed = of_query.select("_gram").distinct()
-    held = of_record.join(needed, "_gram").groupBy("_gram").agg(F.count("*").alias("_n"))
+    sizes = sorted(r["_size"] for r in wanted.select("_size").distinct().collect())  # three values at most
+    of_record = _grams_of_records(texts, sizes)
+
+    held = of_record.groupBy("_gram").agg(F.count("*").alias("_n"))
     counted = of_query.join(held, "_gram", "left")
     rarest = counted.groupBy("_wanted").agg(
         F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "_gram")).alias("_rarest")
     )
-    chosen = rarest.filter(F.col("_rarest")["n"] > 0).select("_wanted", F.col("_rarest")["_gram"].alias("_gram"))
-    candidates = of_record.join(chosen, "_gram").select("_key", "_wanted").distinct()
+    # Kept, as three steps go on from it: the runs of all texts are counted once.
+    chosen = cut_lineage(
+        rarest.filter(F.col("_rarest")["n"] > 0).select("_wanted", F.col("_rarest")["_gram"].alias("_gram"))
+    )
+    whole, longer = chosen.filter("_wanted = _gram"), chosen.filter("_wanted <> _gram")
+    told = asked.select("query", "_wanted")
+    settled = _among(of_record, whole).join(whole.join(told, "_wanted").select("query", "_gram"), "_gram").select("query", "_key")
+    candidates = _among(of_record, longer).join(longer, "_gram").select("_key", "_wanted").distinct()
     found = join_keys(texts, candidates, ["_key"]).filter(F.contains("_text", "_wanted"))
-    return found.join(asked, "_wanted").select("query", F.col("_key").alias(key))
+    found = found.join(told, "_wanted").select("query", "_key")
+    return settled.unionByName(found).withColumnRenamed("_key", key)

@@ -121,3 +121,13 @@ def test_search_by_many_queries(spark):
     assert lg.memory_search_many(frame.limit(0), asked).count() == 0
     plan = lg.memory_search_many(frame, asked)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_runs_of_a_text_are_counted_where_they_are_found(spark):
+    """No row a run and record is sent before the runs are counted; short queries need no look at the texts."""
+    frame = spark.createDataFrame([(i, "abcdefgh" * 9) for i in range(40)], "record_id int, json_text string")
+    asked = spark.createDataFrame([("a",), ("bc",), ("gha",), ("cdefg",), ("hh",)], "query string")
+    found = lg.memory_search_many(frame, asked)
+    assert found.groupBy("query").count().collect() and found.count() == 160
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "array_distinct" not in plan.lower().split("mapinarrow", 1)[1]
