@@ -129,3 +129,28 @@ def test_a_repeated_batch_leaves_one_record(spark, tmp_path):
         cs.deliver_batch(batch, 0, str(tmp_path), handler, 3)
     assert cs.settled(spark, str(tmp_path)).count() == 2
     assert cs.dead_letters(spark, str(tmp_path)).first().error == "max attempts exceeded"
+
+
+def called(spark, tmp_path, name, make, schema, batches):
+    """Rows of a stream over ``batches``, one a micro-batch; calls of its state function per row of input would be slow."""
+    source = str(tmp_path / f"in-{name}")
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{source}/{i}")
+        stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(source)
+        got = cs.run_to_files(make(stream), str(tmp_path / f"out-{name}"))
+    return got
+
+
+def test_keys_of_a_group_keep_states_of_their_own(spark, tmp_path):
+    """Two keys a row of it null, cut anywhere: as each key by itself; a hot key is given out slice by slice."""
+    rng = random.Random(4)
+    rows = [(rng.choice(["a", "b", "c", None]), i, rng.randrange(3)) for i in range(300)]
+    machine = Machine(start=lambda row: 0, step=lambda s, row: (s + row[2], (s + row[2],)), outputs=[("total", "long")])
+    total, want = {}, []
+    for name, i, n in rows:
+        total[name] = total.get(name, 0) + n
+        want.append((name, i, n, total[name]))
+    for groups in (1, 3, None):
+        make = lambda stream: st.fold_stream(stream, ["name"], ["i"], machine, groups=groups)  # noqa: E731, B023
+        got = called(spark, tmp_path, str(groups), make, "name string, i long, n long", [rows[:110], rows[110:]])
+        assert sorted(map(tuple, got.collect()), key=lambda r: r[1]) == want
