@@ -154,3 +154,19 @@ def test_keys_of_a_group_keep_states_of_their_own(spark, tmp_path):
         make = lambda stream: st.fold_stream(stream, ["name"], ["i"], machine, groups=groups)  # noqa: E731, B023
         got = called(spark, tmp_path, str(groups), make, "name string, i long, n long", [rows[:110], rows[110:]])
         assert sorted(map(tuple, got.collect()), key=lambda r: r[1]) == want
+
+
+def test_timeouts_of_one_group(spark, tmp_path):
+    """All attempts in one group, ends in the same or a later micro-batch, late or never: one timer reports each once."""
+    from datetime import datetime, timedelta
+
+    at = lambda s: datetime(2024, 1, 1) + timedelta(seconds=s)
+    first = [("open", at(0), True, 10_000), ("ok", at(0), True, 10_000), ("ok", at(5), False, 10_000), ("late", at(0), True, 10_000),
+             ("late", at(11), False, 10_000), ("next", at(8), True, 10_000), ("slow", at(9), True, 10_000), ("far", at(9), True, 900_000)]
+    second = [("next", at(15), False, 10_000), ("slow", at(25), False, 10_000), ("none", at(26), False, 10_000)]
+    got = called(
+        spark, tmp_path, "timeouts", lambda s: st.timeout_stream(s, "0 seconds", groups=1),
+        "attempt_id string, ts timestamp, running boolean, timeout_ms long", [first, second],
+    )
+    begin = int((datetime(2024, 1, 1) - datetime(1970, 1, 1)).total_seconds()) * 1000
+    assert sorted((r.attempt_id, r.due_ms - begin) for r in got.collect()) == [("late", 10_000), ("open", 10_000), ("slow", 19_000)]
