@@ -29,7 +29,7 @@ BACKOFF = 5.0
 SMOOTHING = 0.5
 #: Tokens of a chunk of whole documents; a longer document is a chunk of its own.
 _CHUNK = 1_500_000
-#: Ranges of the hash space at least, and characters of input for each when there are more.
+#: Ranges of the hash space at least (256 or more, see packed_keys), and characters of input for each when there are more.
 _RANGES = 256
 _RANGE_CHARS = 16_000_000
 
@@ -53,6 +53,28 @@ def _context_keys(ids: np.ndarray) -> np.ndarray:
     return mix(ids[:-1] + _ODD[3]) & ~np.uint64(1)
 
 
+def packed(numbers: np.ndarray) -> bytes:
+    """Whole numbers from 0 in as few bytes each as the largest needs; the first byte says how many."""
+    kind = np.min_scalar_type(int(numbers.max(initial=0)))
+    return bytes([kind.itemsize]) + numbers.astype(kind).astype(f"<u{kind.itemsize}").tobytes()
+
+
+def unpacked(block: bytes) -> np.ndarray:
+    return np.frombuffer(block, f"<u{block[0]}", offset=1).astype(np.int64)
+
+
+def packed_keys(keys: np.ndarray) -> bytes:
+    """Keys of one range without their highest byte, which all of them share, as there are 256 ranges at least."""
+    return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7].tobytes()
+
+
+def unpacked_keys(block: bytes) -> np.ndarray:
+    """The keys with a highest byte of zero: in the same order, and distinct within their range."""
+    out = np.zeros((len(block) // 7, 8), np.uint8)
+    out[:, :7] = np.frombuffer(block, np.uint8).reshape(-1, 7)
+    return out.view("<u8").ravel()
+
+
 def _keys(texts: list[np.ndarray]) -> np.ndarray:
     """All keys of some texts: words, then pairs, then contexts, each in the order of the tokens."""
     return np.concatenate([f(ids) for f in (_word_keys, pair_cells, _context_keys) for ids in texts])
@@ -75,7 +97,7 @@ def chunked(docs: DataFrame, chosen: DataFrame, bits: int) -> DataFrame:
         cuts = np.flatnonzero(np.diff(buckets, prepend=-1))
         n = sum(len(ids) - 1 for ids in texts)
         rows = [
-            (chunk, None, None, 0 if a else n, int(buckets[a]), target, keys[a:b].tobytes(), counts[a:b].tobytes())
+            (chunk, None, None, 0 if a else n, int(buckets[a]), target, packed_keys(keys[a:b]), packed(counts[a:b]))
             for a, b in zip(cuts, [*cuts[1:], len(keys)], strict=True)
         ]
         yield pd.DataFrame(rows, columns=fields, dtype=object)
@@ -112,10 +134,10 @@ def summed(blocks: DataFrame) -> DataFrame:
     """Each chunk's keys with their sums in both models, in the order of the keys; ``words``: distinct words of a range."""
 
     def add(rows: pd.DataFrame) -> pd.DataFrame:
-        keys = [np.frombuffer(k, np.uint64) for k in rows["keys"]]
+        keys = [unpacked_keys(k) for k in rows["keys"]]
         ends = np.cumsum([len(k) for k in keys])
         distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
-        counts = np.concatenate([np.frombuffer(c, np.int64) for c in rows["counts"]])
+        counts = np.concatenate([unpacked(c) for c in rows["counts"]])
         target = np.repeat(rows["target"].to_numpy(bool), [len(k) for k in keys])
         sums = [np.bincount(place[side], counts[side], len(distinct)).astype(np.int64) for side in (target, ~target)]
         bucket, words = int(rows["bucket"].iloc[0]), int((distinct & np.uint64(1)).sum())
@@ -123,7 +145,7 @@ def summed(blocks: DataFrame) -> DataFrame:
         for chunk, chosen, end, own in zip(rows["chunk"], rows["target"], ends, keys, strict=True):
             if not chosen:
                 part = place[end - len(own) : end]
-                out.append((chunk, bucket, sums[0][part].tobytes(), sums[1][part].tobytes(), 0))
+                out.append((chunk, bucket, packed(sums[0][part]), packed(sums[1][part]), 0))
         return pd.DataFrame(out, columns=["chunk", "bucket", "in_target", "in_all", "words"], dtype=object)
 
     return blocks.groupBy("bucket").applyInPandas(add, "chunk long, bucket long, in_target binary, in_all binary, words long")
@@ -148,7 +170,7 @@ def score_chunks(docs: DataFrame, sums: DataFrame, wholes: tuple[int, int], voca
             n = rows["tokens"].to_numpy()[full]
             starts = np.cumsum(n) - n
             for name, column, whole in zip(names[2:4], ["in_target", "in_all"], wholes, strict=True):
-                total = np.concatenate([np.frombuffer(b, np.int64) for b in blocks[column]])
+                total = np.concatenate([unpacked(b) for b in blocks[column]])
                 if len(total) != len(distinct):
                     raise ValueError(f"{len(total)} sums for {len(distinct)} keys of a chunk")
                 per_token = _losses(*np.split(total[place], 3), whole, vocabulary)

@@ -2,6 +2,8 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
+
 from opsframe.llm import lmscore as lm
 from opsframe.llm.queries import QUERIES
 
@@ -89,3 +91,14 @@ def test_counts_are_those_of_words_and_pairs_themselves(spark, monkeypatch):
     assert len(got) == len(docs)
     for i, t in docs:
         assert abs(got[i]["loss_target"] - loss(target, t)) < 1e-9 and abs(got[i]["loss_background"] - loss(background, t)) < 1e-9
+
+
+def test_counts_take_as_many_bytes_as_they_need():
+    for top in (0, 1, 255, 256, 65_535, 65_536, 1 << 32, (1 << 62) + 1):
+        numbers = np.array([0, top, 1, top // 2], np.int64)
+        assert lm.unpacked(lm.packed(numbers)).tolist() == numbers.tolist()
+    assert lm.unpacked(lm.packed(np.empty(0, np.int64))).tolist() == []
+    assert len(lm.packed(np.ones(1000, np.int64))) == 1001
+    keys = np.sort(np.random.default_rng(1).integers(0, 1 << 56, 500, np.uint64))
+    high = keys | (np.uint64(0xAB) << np.uint64(56))
+    assert len(lm.packed_keys(high)) == 3500 and (lm.unpacked_keys(lm.packed_keys(high)) == keys).all()
