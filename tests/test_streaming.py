@@ -170,3 +170,19 @@ def test_timeouts_of_one_group(spark, tmp_path):
     )
     begin = int((datetime(2024, 1, 1) - datetime(1970, 1, 1)).total_seconds()) * 1000
     assert sorted((r.attempt_id, r.due_ms - begin) for r in got.collect()) == [("late", 10_000), ("open", 10_000), ("slow", 19_000)]
+
+
+def test_dedup_without_expiry_needs_no_call_per_key(spark, tmp_path):
+    """Many keys share one group over two micro-batches; ids beyond 2^53 and null digests stay what they are."""
+    big = 1 << 60
+    rows = [(big + i, i, f"k{i % 40}", None if i % 3 == 0 else "a") for i in range(160)]
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for i, part in enumerate((rows[:70], rows[70:])):
+        spark.createDataFrame(part[::-1], REQUESTS).coalesce(1).write.parquet(f"{source}/{i}")
+        stream = spark.readStream.schema(REQUESTS).option("recursiveFileLookup", "true").parquet(source)
+        got = cs.run_to_files(st.dedup_stream(stream, None, groups=1), out)
+    first = {k: (d, i) for i, _, k, d in reversed(rows)}
+    want = {}
+    for i, _, k, d in rows:
+        want[i] = ("fresh", i) if first[k][1] == i else ("replay", first[k][1]) if first[k][0] == d else ("conflict", i)
+    assert {r.id: (r.kind, r.answer_id) for r in got.collect()} == want
