@@ -190,6 +190,23 @@ def test_lease_history(spark, both_ways):
     assert states == {"l": ("released", 180), "m": ("live", 300), "h": ("expired", 130)}
 
 
+def test_lease_history_moves_the_log_once(spark):
+    rng = random.Random(5)
+    pick = lambda *values: rng.choice([*values, None])
+    log = [
+        (f"l{i % 9}", rng.randint(1, 40), pick("renew", "renew", "renew", "renew", "release"), pick("n", "n", "x"), pick(1, 2, 3), pick(1, 2, 3), "n", 1)
+        for i in range(400)
+    ]
+    schema = "lease_id string, at_us long, op string, nonce string, old_us long, new_us long, granted_nonce string, granted_us long"
+    df = spark.createDataFrame(log, schema).distinct().localCheckpoint()
+    stepped = cp.lease_history(df)
+    plan = stepped._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+    rows = lambda found: sorted(map(str, found.collect()))
+    chained = cp._lease_chains(df, (10**9, 10**9))
+    assert rows(stepped) == rows(chained.select(*stepped.columns))
+
+
 def test_concurrency_admission(spark, both_ways):
     rng = random.Random(7)
     ready = [("w" if i % 5 else "v", i, rng.randint(1, 20), "t" if i % 7 == 0 else None) for i in range(40)]
