@@ -6,9 +6,14 @@ and ``n/step`` means just ``n``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from opsframe.operators.ordered import join_keys
+from opsframe.session import cut_lineage
+
 # Range of each field.
 FIELDS = {
     "minute": (0, 59),
@@ -17,6 +22,8 @@ FIELDS = {
     "month": (1, 12),
     "weekday": (0, 6),
 }
+#: Distinct expressions up to which what was parsed is broadcast.
+FEW = 10_000
 # Fixed value: how far ahead the next fire time is searched, in minutes.
 SEARCH_MINUTES = 60 * 24 * 366 * 2
 
@@ -69,9 +76,25 @@ def parse_schedules(schedules: DataFrame, expr: str = "expr") -> DataFrame:
     return out.withColumn("error", error.otherwise("")).drop("_w")
 
 
+def _per_expression(schedules: DataFrame, clock: dict[str, Column], found: Callable[[DataFrame], DataFrame], spread: bool = False) -> DataFrame:
+    """``schedules`` with what ``found`` adds to (expr, clock columns).
+
+    Many schedules share an expression: each is parsed once, beside the clock it is read at.  ``spread``: the
+    schedules are dealt out first, as a small file of them may be read by one task and become many rows.
+    """
+    asked = ["expr", *clock]
+    timed = schedules.drop("error", *FIELDS).withColumns(clock)
+    # Written out, or conditions on what was parsed would be moved before the step that drops repeated expressions.
+    once = cut_lineage(found(timed.select(*asked).distinct()))
+    if once.count() <= FEW:  # else Spark might send the schedules to the task that holds the expressions
+        once = F.broadcast(once)
+    if spread:
+        timed = timed.repartition(int(timed.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return join_keys(timed, once, asked).drop(*clock)
+
+
 def malformed_schedules(schedules: DataFrame) -> DataFrame:
-    parsed = parse_schedules(schedules).filter("error <> ''")
-    return parsed.drop(*FIELDS)
+    return _per_expression(schedules, {}, lambda asked: parse_schedules(asked).filter("error <> ''").drop(*FIELDS))
 
 
 def _day_fits(day: Column) -> Column:
@@ -90,15 +113,22 @@ def cron_expand(schedules: DataFrame, start: Column, end: Column) -> DataFrame:
     """Fire times of every valid schedule in [start, end).
 
     Days are matched first; only the hours and minutes of matching days are
-    spelled out, so the work follows the number of fires, and no shuffle is needed.
+    spelled out, so the work follows the number of fires;
+    the schedules are shuffled once.
     """
-    days = F.filter(F.sequence(_utc_date(start), _utc_date(end)), _day_fits)
+    first, last = F.col("_start"), F.col("_end")
+    days = F.filter(F.sequence(_utc_date(first), _utc_date(last)), _day_fits)
+
+    def parsed(asked: DataFrame) -> DataFrame:
+        good = parse_schedules(asked).filter("error = ''")
+        return good.select("expr", "_start", "_end", days.alias("_days"), F.col("hour").alias("_hours"), F.col("minute").alias("_minutes"),
+                           first.alias("_from"), last.alias("_until"))
+
     fires = (
-        parse_schedules(schedules)
-        .filter("error = ''")
-        .withColumn("_day", F.explode(days))
-        .withColumn("_hour", F.explode("hour"))
-        .withColumn("_minute", F.explode("minute"))
+        _per_expression(schedules, {"_start": start, "_end": end}, parsed, spread=True)
+        .withColumn("_day", F.explode("_days"))
+        .withColumn("_hour", F.explode("_hours"))
+        .withColumn("_minute", F.explode("_minutes"))
         .withColumn(
             "fire_at",
             F.timestamp_seconds(
@@ -108,19 +138,24 @@ def cron_expand(schedules: DataFrame, start: Column, end: Column) -> DataFrame:
             ),
         )
     )
-    kept = fires.filter((F.col("fire_at") >= start) & (F.col("fire_at") < end))
-    return kept.drop("_day", "_hour", "_minute", "error", *FIELDS)
+    kept = fires.filter((F.col("fire_at") >= F.col("_from")) & (F.col("fire_at") < F.col("_until")))
+    return kept.drop("_day", "_hour", "_minute", "_days", "_hours", "_minutes", "_from", "_until")
 
 
 def cron_next(schedules: DataFrame, now: Column) -> DataFrame:
     """First fire strictly after ``now`` (minute grain), null when there is none
     within the search range; malformed schedules keep their error."""
+    return _per_expression(schedules, {"_now": now}, _next_fire)
+
+
+def _next_fire(asked: DataFrame) -> DataFrame:
+    now = F.col("_now")
     minute_now = F.floor(F.unix_seconds(now) / 60)
     today = F.floor(minute_now / 1440)
     times = F.flatten(
         F.transform("hour", lambda h: F.transform("minute", lambda m: h * 60 + m))
     )
-    parsed = parse_schedules(schedules).withColumn("_times", times)
+    parsed = parse_schedules(asked).withColumn("_times", times)
 
     def first_day(days: int) -> Column:
         after = F.sequence(F.date_add(_utc_date(now), 1), F.date_add(_utc_date(now), days))

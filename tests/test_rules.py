@@ -91,6 +91,24 @@ def test_cron_next(spark, expr, now, want):
     assert row.error == ("" if want else "no match within 2 years")
 
 
+def test_cron_parses_an_expression_once(spark):
+    exprs = ["0 6 * * *", "61 1 * * *", "*/30 8 1,15 * *", None]
+    df = spark.createDataFrame([(i, exprs[i % 4]) for i in range(40)], "id int, expr string")
+    start, end = (F.lit(t).cast("timestamp") for t in ("2024-09-01", "2024-10-01"))
+    found = {
+        "next": (cron.cron_next(df, start), 40),
+        "fires": (cron.cron_expand(df, start, end), 10 * (30 + 4)),
+        "bad": (cron.malformed_schedules(df), 20),
+    }
+    for name, (rows, count) in found.items():
+        assert "lambda" not in rows._jdf.queryExecution().executedPlan().toString(), name
+        assert rows.count() == count, name
+    # The clock may differ from row to row.
+    own = df.withColumn("at", F.timestamp_seconds(F.lit(1725148800) + F.col("id") * 86400))
+    got = {r.id: r.s for r in cron.cron_next(own, F.col("at")).filter("id % 4 = 0").select("id", F.unix_seconds("next_at").alias("s")).collect()}
+    assert got == {i: 1725148800 + i * 86400 + 6 * 3600 for i in range(0, 40, 4)}
+
+
 def test_cron_fields(spark):
     df = spark.createDataFrame(
         [(s,) for s in ["1,,3", "5-20/5", "*/20", "", ",", "7-3", "60", "a", "*/0", "1-", "-1", "9/2", "1-5/x"]],
