@@ -138,16 +138,20 @@ def json_ledger_issues(lines: DataFrame) -> DataFrame:
     lines do not count; torn ones, and lines that hold no object, are no records, so the next record must
     link to the last one that can be read.
     """
-    return _issues(_json_links(lines).filter(~F.col("torn")).drop("torn"), '""', lines.select("chain_id"))
+    return _json_issues(cut_lineage(_json_links(lines)))
+
+
+def _json_issues(links: DataFrame) -> DataFrame:
+    return _issues(links.filter(~F.col("torn")).drop("torn"), '""', links.select("chain_id"))
 
 
 def verify_json_ledger(lines: DataFrame) -> DataFrame:
     """Summary per chain of JSON lines: ok, records, torn and number of issues."""
-    links = _json_links(lines)
+    links = cut_lineage(_json_links(lines))  # three steps go on from it: lines are read and parsed once
     counts = links.groupBy("chain_id").agg(
         F.count_if(~F.col("torn")).alias("records"), F.count_if("torn").alias("torn")
     )
-    issues = json_ledger_issues(lines).groupBy("chain_id").agg(F.count("*").alias("issues"))
+    issues = _json_issues(links).groupBy("chain_id").agg(F.count("*").alias("issues"))
     out = join_keys(counts, issues, ["chain_id"], "left").withColumn("issues", F.coalesce("issues", F.lit(0)))
     ok = (F.col("issues") == 0) & (F.col("torn") == 0)
     return out.select("chain_id", ok.alias("ok"), "records", "torn", "issues")

@@ -131,3 +131,10 @@ def test_runs_of_a_text_are_counted_where_they_are_found(spark):
     assert found.groupBy("query").count().collect() and found.count() == 160
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" in plan and "array_distinct" not in plan.lower().split("mapinarrow", 1)[1]
+
+
+def test_lines_are_parsed_once(spark):
+    lines = spark.range(3).select(F.col("id").alias("chain_id"), F.lit(0).alias("seq"), F.lit('{"previous_hash": "", "hash": "x"}').alias("line"))
+    for found, rows in ((lg.verify_json_ledger(lines), 3), (lg.json_ledger_issues(lines), 3)):
+        assert "regexp_replace" not in found._jdf.queryExecution().executedPlan().toString()
+        assert found.count() == rows
