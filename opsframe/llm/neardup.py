@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opsframe.llm.base import fresh, quoted
-from opsframe.llm.shingles import WORDS, mix, repeats, shingles, weighted_jaccard
+from opsframe.llm.shingles import WORDS, mix, numbered, shingles, weighted_jaccard
 from opsframe.session import scratch_folder
 
 COORDINATES = 128
@@ -28,6 +28,12 @@ ORDERINGS = 2
 SIMILARITY = 0.8
 #: A pair is not looked at more closely if its signatures agree by this much less than asked: 4.5 deviations.
 SLACK = 0.16
+#: Texts outside a bucket's largest class that are paired with all texts of the bucket; of more, only those that can be alike.
+FEW = 16
+#: Texts of a group that may hold a shingle which still counts as rare.
+RARE = 16
+#: Texts of a group whose frequent shingles are set aside before the others are counted.
+SAMPLE = 64
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -201,7 +207,9 @@ def near_classes(
 
     Candidates share a band.  In each bucket every text is compared with two leaders, one that most buckets
     of a group agree on and one of the bucket's own.  Then every text outside a bucket's largest class is
-    compared with all texts of other classes there, so no pair that shares a bucket is left out.
+    compared with all texts of other classes there, so no pair that shares a bucket is left out.  Where many are
+    outside, all are compared with the text nearest to the group's middle first, then with those that hold enough of
+    the same shingles or a rare one (see _likely); a pair left out there cannot be alike.
     """
     texts = docs.select(quoted(key).alias("doc_id"), text_key(quoted(text)).alias("node"), quoted(text).alias("text"))
     signed = _kept(_signed(texts, words, k), "signed")
@@ -245,20 +253,99 @@ def _linked(
     led = members.select("node", F.explode(F.array("common", "own")).alias("leader")).filter("node != leader")
     links = _kept(_alike(led.select(*pick("node", "leader")).distinct(), sketches, bodies, similarity, words, k), "links")
     labels = components(links) if not links.isEmpty() else None
-    now = members.select("band", "hash", "node").withColumn("label", F.col("node"))
-    if labels is not None:
-        now = members.select("band", "hash", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    sizes = now.groupBy("band", "hash", "label").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("band", "hash").agg(F.max(F.struct("n", "label"))["label"].alias("main"), F.count("*").alias("classes"))
-    open_ = now.join(main.filter("classes > 1").drop("classes"), ["band", "hash"])
-    rest = open_.filter("label != main").select("band", "hash", F.col("node").alias("other"), F.col("label").alias("other_label"))
-    pairs = open_.join(rest, ["band", "hash"]).filter("label != other_label").select(*pick("node", "other")).distinct()
-    more = _kept(_alike(pairs, sketches, bodies, similarity, words, k), "more")
+    now = members.select("band", "hash", "node", "common")
+    open_, rest = _by_class(now, labels)
+    few = F.col("outside") <= FEW
+    pairs = open_.filter(few).join(rest.filter(few).drop("outside"), ["band", "hash"]).filter("label != other_label").select(*pick("node", "other"))
+    many = _kept(open_.filter(~few).select(*now.columns, "label"), "many")
+    if not many.isEmpty():
+        large, rare = _described(many, bodies, similarity, words)
+        score = F.struct(F.expr("2 * shared - size").alias("score"), "node", "label")
+        centres = large.groupBy("band", "hash").agg(F.max(score).alias("centre"))
+        led = large.join(centres, ["band", "hash"]).filter("label != centre.label").select(*pick("node", "centre.node"))
+        links = _kept(links.union(_alike(led.distinct(), sketches, bodies, similarity, words, k)), "links")
+        labels = components(links) if not links.isEmpty() else None
+        pairs = pairs.union(_likely(*_by_class(large.drop("label"), labels), rare, similarity).select(*pick("node", "other")))
+    more = _kept(_alike(pairs.distinct(), sketches, bodies, similarity, words, k), "more")
     if more.isEmpty():
         return labels
     return components(links.union(more))
 
 
+def _by_class(members: DataFrame, labels: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """Members of buckets with several classes, with label and the number outside the largest class; those outside it as other."""
+    now = members.withColumn("label", F.col("node"))
+    if labels is not None:
+        now = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    sizes = now.groupBy("band", "hash", "label").agg(F.count("*").alias("n"))
+    main = sizes.groupBy("band", "hash").agg(
+        F.max(F.struct("n", "label"))["label"].alias("main"), (F.sum("n") - F.max("n")).alias("outside")
+    )
+    open_ = now.join(main.filter("outside > 0"), ["band", "hash"])
+    others = {"node": "other", "label": "other_label", "size": "other_size", "shared": "other_shared"}
+    rest = open_.filter("label != main").drop("main", "common", "group").withColumnsRenamed(others)
+    return open_, rest
+
+
+def _described(many: DataFrame, bodies: DataFrame, similarity: float, words: int) -> tuple[DataFrame, DataFrame]:
+    """Members of large buckets with size (shingles) and shared (those that are not rare); (group, node, token) of rare ones.
+
+    Buckets with one leader are a group, as are those whose leader has a leader in common.  A shingle is rare in
+    a group if at most RARE of its texts hold it.
+    """
+    least = lambda name: F.min(F.struct(F.xxhash64(name), name))[name]
+    home = many.groupBy("node").agg(least("common").alias("group"))
+    leaders = many.select(F.col("common").alias("node")).distinct().join(home, "node")
+    members = many.join(_kept(leaders.withColumnRenamed("node", "common"), "leaders"), "common").drop("common")
+    nodes = _kept(members.select("group", "node").distinct(), "nodes")
+    sample = nodes.groupBy("group", F.pmod(F.xxhash64("node"), F.lit(SAMPLE)).alias("slot")).agg(F.min("node").alias("node"))
+
+    def frequent(rows: pd.DataFrame) -> pd.DataFrame:
+        tokens, n = np.unique(np.concatenate([numbered(shingles(t, words)) for t in rows["text"]]), return_counts=True)
+        often = tokens[n >= max(2, len(rows) // 20)]
+        return pd.DataFrame({"group": [rows["group"].iloc[0]], "often": [often.tobytes()]})
+
+    often = _kept(sample.join(bodies, "node").groupBy("group").applyInPandas(frequent, "group binary, often binary"), "often")
+
+    def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            tokens = [numbered(shingles(t, words)) for t in batch["text"]]
+            apart = [np.setdiff1d(t, np.frombuffer(f, np.uint64), True) for t, f in zip(tokens, batch["often"], strict=True)]
+            yield batch[["group", "node"]].assign(size=[len(t) for t in tokens], tokens=[a.view(np.int64) for a in apart])
+
+    told = _kept(
+        nodes.join(bodies, "node").join(often, "group").select("group", "node", "text", "often")
+        .mapInPandas(describe, "group binary, node binary, size long, tokens array<long>"), "described",
+    )
+    tokens = told.select("group", "node", F.explode("tokens").alias("token"))
+    held = tokens.groupBy("group", "token").agg(F.count("*").alias("n")).filter("n > 1")
+    tokens = _kept(tokens.join(held, ["group", "token"]), "tokens")
+    also = tokens.filter(F.col("n") > RARE).groupBy("group", "node").agg(F.count("*").alias("also"))
+    sizes = told.join(also, ["group", "node"], "left").select(
+        "group", "node", "size", (F.col("size") - F.size("tokens") + F.coalesce("also", F.lit(0))).alias("shared")
+    )
+    return _kept(members.join(sizes, ["group", "node"]), "large"), tokens.filter(F.col("n") <= RARE).drop("n")
+
+
+def _likely(open_: DataFrame, rest: DataFrame, rare: DataFrame, similarity: float) -> DataFrame:
+    """(node, other) of different classes in large buckets, without pairs that cannot be alike.
+
+    Two texts of sizes x and y that are alike have at least similarity / (1 + similarity) * (x + y) shingles in common.  If none of these
+    is rare, each text has that many which are not; if one is, they meet there, where at most RARE texts do.
+    """
+    both = ["group", "node"]
+    met = rare.join(open_.select(*both, "label").distinct(), both)
+    others = rest.select(F.col("other").alias("node"), "other_label").distinct()
+    met_by = rare.join(others, "node").withColumnRenamed("node", "other")
+    sharing = met.join(met_by, ["group", "token"]).filter("label != other_label").select("node", "other")
+    enough = lambda shared, size: F.col(shared) >= similarity * F.col(size) - 1e-6
+    need = similarity * (F.col("size") + F.col("other_size")) - 1e-6
+    plain = open_.filter(enough("shared", "size")).join(rest.filter(enough("other_shared", "other_size")).drop("outside"), ["band", "hash"])
+    return sharing.union(
+        plain.filter("label != other_label").filter(F.least("shared", "other_shared") * (1 + similarity) >= need).select("node", "other")
+    )
+
+
 def one_per_class(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """The document of least id of each class, once; all columns kept (see near_classes)."""
     classes = near_classes(docs, key, text, **how)

@@ -68,11 +68,15 @@ def repeats(sorted_hashes: np.ndarray) -> np.ndarray:
     return place - np.maximum.accumulate(np.where(first, place, 0))
 
 
+def numbered(sorted_hashes: np.ndarray) -> np.ndarray:
+    """The values of a sorted multiset as distinct ones: the repeats of a value each stand for themselves."""
+    return mix(sorted_hashes + repeats(sorted_hashes).astype(np.uint64) * _ODD[0])
+
+
 def weighted_jaccard(a: np.ndarray, b: np.ndarray) -> float:
     """Sum of the smaller counts over the sum of the larger ones, of two sorted multisets."""
     if not len(a) or not len(b):
         return float(len(a) == len(b))
-    a = mix(a + repeats(a).astype(np.uint64) * _ODD[0])
-    b = mix(b + repeats(b).astype(np.uint64) * _ODD[0])
+    a, b = numbered(a), numbered(b)
     both = len(np.intersect1d(a, b, assume_unique=True))
     return both / (len(a) + len(b) - both)

@@ -3,6 +3,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 
+from opsframe.llm import neardup
 from opsframe.llm.neardup import components, near_classes, one_per_class, signatures
 from opsframe.llm.shingles import mix, words_of
 
@@ -96,3 +97,50 @@ def test_one_document_stays(spark):
     assert out.columns == docs.columns
     assert sorted((r["doc_id"] for r in out.collect())) == [1, 5, 8]
     assert one_per_class(docs.limit(0)).count() == 0 and near_classes(docs.limit(0)).count() == 0
+
+
+def hot_group(n, seed=5):
+    """Texts that lie about 0.8 from each other, some with the same edit, and a few links among those far out."""
+    rng = random.Random(seed)
+    base = [f"w{rng.randrange(500)}" for _ in range(150)]
+    edits = [(rng.randrange(150), f"e{i}") for i in range(10)]
+    texts = []
+    for i in range(n):
+        copy = list(base)
+        for _ in range(rng.choice([2, 4, 5, 6])):
+            place, word = rng.choice(edits) if rng.random() < 0.1 else (rng.randrange(150), f"x{i}")
+            copy[place] = word
+        texts.append(copy)
+    for copy in texts[: n // 10]:
+        far = list(copy)
+        for _ in range(3):
+            far[rng.randrange(len(far))] = "far"
+        texts += [far, [*far, "end"]]
+    return [(i, " ".join(t)) for i, t in enumerate(texts)]
+
+
+def test_a_large_group_is_not_paired_with_itself(spark, monkeypatch):
+    docs, made, alike = hot_group(150), {}, neardup._alike
+    rows = spark.createDataFrame([(*d, "x", 1) for d in docs], DOCS)
+    want = brute(docs)
+    monkeypatch.setattr(neardup, "RARE", 4)
+    for few in (4, 10**9):
+
+        def counted(found, *rest, few=few):
+            found = neardup._kept(found, "pairs")
+            made.setdefault(few, []).append(found.count())
+            return alike(found, *rest)
+
+        monkeypatch.setattr(neardup, "_alike", counted)
+        monkeypatch.setattr(neardup, "FEW", few)
+        assert {r["doc_id"]: r["class_id"] for r in near_classes(rows).collect()} == want
+    after_leaders = [sum(made[few][1:]) for few in (4, 10**9)]
+    assert len(set(want.values())) > 30 and 2 * after_leaders[0] < after_leaders[1], made
+
+
+def test_large_buckets_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "FEW", 0)
+    docs = corpus() + [(20_000 + d, t) for d, t in hot_group(40)]
+    monkeypatch.setattr(neardup, "RARE", 3)
+    got = near_classes(spark.createDataFrame([(*d, "x", 1) for d in docs], DOCS))
+    assert {r["doc_id"]: r["class_id"] for r in got.collect()} == brute(docs)
