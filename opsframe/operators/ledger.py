@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from opsframe.functions.canonical import canonical_field, canonical_object, fields_of
@@ -20,8 +22,11 @@ from opsframe.sources.jsonl import stamp_text
 BROKEN_LINK = "previous_hash mismatch"
 BROKEN_HASH = "hash mismatch (tampered or rewritten)"
 
-#: Size of the filter of a search's rarest runs, which is broadcast.
-GRAM_BYTES = 1 << 18
+#: Queries, and characters of them, that are broadcast at a time by a search.
+BLOCK_QUERIES = 1 << 17
+BLOCK_CHARS = 1 << 22
+#: Queries up to this length are looked up whole, longer ones by a run of it.
+RUN = 16
 
 
 def build_hash_chain(records: DataFrame, tails: DataFrame | None = None) -> DataFrame:
@@ -210,79 +215,73 @@ def memory_search(records: DataFrame, query: str, text: str = "json_text") -> Da
     return records.filter(F.contains(F.lower(text), F.lower(F.lit(query))))
 
 
-def _grams(text: Column, size: Column) -> Column:
-    """Distinct runs of ``size`` characters of a text that has so many."""
-    starts = F.sequence(F.lit(1), F.length(text) - size + 1)
-    return F.when(F.length(text) >= size, F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, size))))
-
-
-def _bit(gram: Column) -> Column:
-    return F.pmod(F.xxhash64(gram), F.lit(8 * GRAM_BYTES))
-
-
-def _grams_of_records(texts: DataFrame, sizes: list[int]) -> DataFrame:
-    """(_key, _gram) for the distinct runs of each text (_key, _text), found in the tasks before any shuffle."""
-    kind = texts.schema["_key"].dataType.simpleString()
-
-    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, 256):  # bounded memory
-                part = batch.slice(start, 256)
-                owners, grams = [], []
-                for place, text in enumerate(part["_text"].to_pylist()):
-                    found = {text[i : i + n] for n in sizes for i in range(len(text) - n + 1)} if text else ()
-                    owners += [place] * len(found)
-                    grams += found
-                keys = part["_key"].take(pa.array(owners, pa.int32()))
-                yield pa.RecordBatch.from_arrays([keys, pa.array(grams, pa.string())], ["_key", "_gram"])
-
-    return texts.mapInArrow(spell, f"_key {kind}, _gram string")
-
-
-def _among(grams: DataFrame, chosen: DataFrame) -> DataFrame:
-    """Rows of ``grams`` whose run may be one of ``chosen``: a filter of GRAM_BYTES spares most rows the shuffle."""
-    bits = chosen.select(_bit(F.col("_gram")).alias("bit")).distinct()
-    words = bits.groupBy(F.shiftright("bit", 6).alias("word")).agg(
-        F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("mask")
-    )
-    full = F.broadcast(words)  # at most GRAM_BYTES / 8 rows
-    marked = grams.withColumn("_bit", _bit(F.col("_gram")))
-    hit = (F.shiftright("_bit", 6) == F.col("word")) & (F.expr("shiftright(mask, cast(_bit & 63 as int)) & 1L") == 1)
-    return marked.join(full, hit, "left_semi").drop("_bit")
-
-
 def memory_search_many(
     records: DataFrame, queries: DataFrame, key: str = "record_id", text: str = "json_text", query: str = "query"
 ) -> DataFrame:
     """(query, key) for every record whose text contains a query, ignoring case.
 
-    Runs of three characters (fewer for shorter queries) lead from a query to its candidates: all runs are counted over the
-    records, which is combined before the shuffle, and each query takes its rarest one.  A query that is a run itself is
-    settled by it; for a longer one the records that hold its rarest run are looked at.  A
-    query with a run that no record has is done at once.  Null and empty queries match nothing, null texts are never
-    found, repeated queries are answered once and repeated records each; ``key`` need not be unique.
+    The queries go to the records: a block of them is broadcast at a time, and each text is looked up run by run in the
+    block's queries of that length.  Longer ones are found by one run of theirs and compared with the text.  No pair of
+    query and record is sent before it is a result; more queries mean more blocks, each a pass over the records.
+    Null and empty queries match nothing, null texts are never found, repeated queries are answered once and repeated
+    records each; ``key`` need not be unique.
     """
+    spark = records.sparkSession
     asked = queries.select(F.col(query).alias("query")).filter(F.length("query") > 0).distinct()
-    asked = asked.withColumn("_wanted", F.lower("query")).withColumn("_size", F.least(F.lit(3), F.length("_wanted")))
-    wanted = asked.select("_wanted", "_size").distinct()
-    of_query = wanted.select("_wanted", "_size", F.explode(_grams(F.col("_wanted"), F.col("_size"))).alias("_gram"))
-    texts = records.select(F.col(key).alias("_key"), F.lower(text).alias("_text"))
-    sizes = sorted(r["_size"] for r in wanted.select("_size").distinct().collect())  # three values at most
-    of_record = _grams_of_records(texts, sizes)
-
-    held = of_record.groupBy("_gram").agg(F.count("*").alias("_n"))
-    counted = of_query.join(held, "_gram", "left")
-    rarest = counted.groupBy("_wanted").agg(
-        F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "_gram")).alias("_rarest")
-    )
-    # Kept, as three steps go on from it: the runs of all texts are counted once.
-    chosen = cut_lineage(
-        rarest.filter(F.col("_rarest")["n"] > 0).select("_wanted", F.col("_rarest")["_gram"].alias("_gram"))
-    )
-    whole, longer = chosen.filter("_wanted = _gram"), chosen.filter("_wanted <> _gram")
-    told = asked.select("query", "_wanted")
-    settled = _among(of_record, whole).join(whole.join(told, "_wanted").select("query", "_gram"), "_gram").select("query", "_key")
-    candidates = _among(of_record, longer).join(longer, "_gram").select("_key", "_wanted").distinct()
-    found = join_keys(texts, candidates, ["_key"]).filter(F.contains("_text", "_wanted"))
-    found = found.join(told, "_wanted").select("query", "_key")
-    return settled.unionByName(found).withColumnRenamed("_key", key)
+    asked = cut_lineage(asked.withColumn("_wanted", F.lower("query")))
+    sizes = asked.agg(F.count("*").alias("n"), F.sum(F.length("query").cast("long")).alias("chars")).first()
+    blocks = max(1, -(-sizes["n"] // BLOCK_QUERIES), -(-(sizes["chars"] or 0) // BLOCK_CHARS))
+    # Dealt out, as few and short records can hold many queries each.
+    texts = records.select(F.col(key).alias("_key"), F.lower(text).alias("_text")).filter("_text is not null")
+    texts = texts.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    found = [
+        _search_block(texts, asked.filter(F.pmod(F.xxhash64("query"), F.lit(blocks)) == n)) for n in range(blocks)
+    ]
+    return reduce(DataFrame.unionByName, found).withColumnRenamed("_key", key)
+
+
+def _search_block(texts: DataFrame, asked: DataFrame) -> DataFrame:
+    """(query, _key) for every text (_key, _text) that holds one of the few queries (query, _wanted)."""
+    rows = asked.select("query", "_wanted").toArrow()  # about BLOCK_QUERIES rows of BLOCK_CHARS in all
+    shared = texts.sparkSession.sparkContext.broadcast(rows.combine_chunks())
+    most, kind = RUN, texts.schema["_key"].dataType.simpleString()
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        queries, wanted = pa.array(shared.value["query"].to_pylist(), pa.string()), shared.value["_wanted"].to_pylist()
+        exact, longer = {}, []  # exact: by length, the numbers of the queries that a run answers
+        for number, what in enumerate(wanted):
+            if len(what) <= most:
+                exact.setdefault(len(what), {}).setdefault(what, []).append(number)
+            else:
+                starts = range(0, len(what) - most + 1, max(1, (len(what) - most) // 7))
+                longer.append((number, {what[i : i + most] for i in starts}))
+        shares = Counter(run for _, runs in longer for run in runs)
+        led = {}  # by the run that the fewest others share
+        for number, runs in longer:
+            led.setdefault(min(runs, key=lambda run: (shares[run], run)), []).append(number)
+        del shares, longer
+
+        def runs_in(text: str, size: int, known: dict) -> set[str]:
+            return {run for i in range(len(text) - size + 1) if (run := text[i : i + size]) in known}
+
+        def rows(part: pa.RecordBatch, owners: list[int], hits: list[int]) -> pa.RecordBatch:
+            keys = part["_key"].take(pa.array(owners, pa.int32()))
+            return pa.RecordBatch.from_arrays([queries.take(pa.array(hits, pa.int32())), keys], ["query", "_key"])
+
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):  # bounded memory
+                part = batch.slice(start, 256)
+                owners, hits = [], []
+                for place, text in enumerate(part["_text"].to_pylist()):
+                    for size, known in exact.items():
+                        for run in runs_in(text, size, known):
+                            hits += known[run]
+                    for run in runs_in(text, most, led):
+                        hits += [number for number in led[run] if wanted[number] in text]
+                    owners += [place] * (len(hits) - len(owners))
+                    if len(hits) >= 1 << 16:
+                        yield rows(part, owners, hits)
+                        owners, hits = [], []
+                yield rows(part, owners, hits)
+
+    return texts.mapInArrow(search, f"query string, _key {kind}")

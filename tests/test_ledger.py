@@ -133,6 +133,21 @@ def test_runs_of_a_text_are_counted_where_they_are_found(spark):
     assert "MapInArrow" in plan and "array_distinct" not in plan.lower().split("mapinarrow", 1)[1]
 
 
+def test_search_sends_no_pair_before_it_is_found(spark, monkeypatch):
+    """Queries go to the records in blocks; what a record holds is neither shuffled nor joined."""
+    monkeypatch.setattr(lg, "BLOCK_QUERIES", 7)
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("aB é日") for _ in range(rng.randrange(120))) for _ in range(60)] + ["a" * 40, "x" + "ab" * 20]
+    pieces = [t[i : i + n] for t in texts for i, n in [(rng.randrange(60), rng.choice([1, 3, 15, 16, 17, 18, 33, 70]))]]
+    queries = pieces + ["a" * n for n in (16, 17, 39, 40, 41)] + ["ba" * 15, "AB" * 20, "", None]
+    frame = spark.createDataFrame(list(enumerate(texts)), "record_id int, json_text string").repartition(3)
+    found = lg.memory_search_many(frame, spark.createDataFrame([(q,) for q in queries], "query string"))
+    want = sorted((q, i) for q in {*queries} for i, t in enumerate(texts) if q and q.lower() in t.lower())
+    assert sorted(map(tuple, found.collect())) == want
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") > 2 and "Join" not in plan and "Aggregate" not in plan
+
+
 def test_lines_are_parsed_once(spark):
     lines = spark.range(3).select(F.col("id").alias("chain_id"), F.lit(0).alias("seq"), F.lit('{"previous_hash": "", "hash": "x"}').alias("line"))
     for found, rows in ((lg.verify_json_ledger(lines), 3), (lg.json_ledger_issues(lines), 3)):
