@@ -80,3 +80,33 @@ def test_file_hashes(spark, tmp_path):
     asked = spark.createDataFrame([("a.txt",), ("b.txt",)], "path string")
     got = {r.path: (r["exists"], r.hash) for r in fs.file_snapshot(asked, hashes).collect()}
     assert got == {"a.txt": (True, hashlib.sha256(b"hello").hexdigest()), "b.txt": (False, None)}
+
+
+def test_large_files_are_hashed_in_pieces(spark, tmp_path, monkeypatch):
+    """A file beyond what Spark reads as one value has its hash, whatever its bytes and name."""
+    import hashlib
+    import random
+
+    monkeypatch.setattr(fs, "WHOLE_FILE_BYTES", 1000)
+    monkeypatch.setattr(fs, "PIECE_BYTES", 700)
+    noise, mark = random.Random(3).randbytes, b"\xef\xbb\xbf"
+    contents = {
+        "small": b"a\n", "at 1000": noise(1000), "noise 100%.bin": noise(50_000), "ends": noise(9000) + b"\n",
+        "breaks": b"\n" * 5000, "none": b"x" * 30_000, "mark": mark + noise(4000), "mark ends": mark + noise(4000) + b"\r\n",
+        "two marks": mark * 2 + b"y" * 2000, "mark, one line": mark + b"z" * 2000, "é[1]{2}": noise(1001), "b=1": noise(3000) + mark,
+    }
+    for name, content in contents.items():
+        (tmp_path / name).write_bytes(content)
+    held = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.sources.binaryFile.maxLength")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+        spark.conf.set("spark.sql.sources.binaryFile.maxLength", "1000")
+        found = [tuple(r) for r in fs.file_hashes(spark, str(tmp_path)).collect()]
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    (tmp_path / "packed.gz").write_bytes(noise(3000))
+    also = dict(fs.file_hashes(spark, str(tmp_path)).collect())
+    want = {f"file:{tmp_path}/{name}": hashlib.sha256(content).hexdigest() for name, content in contents.items()}
+    assert sorted(found) == sorted(want.items())
+    assert also == want | {f"file:{tmp_path}/packed.gz": hashlib.sha256((tmp_path / "packed.gz").read_bytes()).hexdigest()}
