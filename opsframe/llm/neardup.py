@@ -205,8 +205,8 @@ def near_classes(
     than a shingle are compared as one run of words.  Repeated rows and null ids (counted last) each keep a row.
     An empty table gives no rows.  Other columns are not looked at.
 
-    Candidates share a band.  In each bucket every text is compared with two leaders, one that most buckets
-    of a group agree on and one of the bucket's own.  Then every text outside a bucket's largest class is
+    Candidates share a band.  In each bucket every text is compared with a leader that most buckets of a group agree on,
+    then, unless that has linked them already, with one of the bucket's own.  Then every text outside a bucket's largest class is
     compared with all texts of other classes there, so no pair that shares a bucket is left out.  Where many are
     outside, all are compared with the text nearest to the group's middle first, then with those that hold enough of
     the same shingles or a rare one (see _likely); a pair left out there cannot be alike.
@@ -250,9 +250,16 @@ def _linked(
     )
     bodies = _kept(one.groupBy("node").agg(F.first("text").alias("text")), "bodies")
     pick = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
-    led = members.select("node", F.explode(F.array("common", "own")).alias("leader")).filter("node != leader")
-    links = _kept(_alike(led.select(*pick("node", "leader")).distinct(), sketches, bodies, similarity, words, k), "links")
+    led = lambda name: members.filter(F.col("node") != F.col(name)).select(*pick("node", name)).distinct()
+    tried = _kept(led("common"), "tried")
+    links = _kept(_alike(tried, sketches, bodies, similarity, words, k), "links")
     labels = components(links) if not links.isEmpty() else None
+    left = _kept(_apart(led("own").join(tried, ["a", "b"], "left_anti"), labels), "tried")
+    tried = tried.union(left)
+    own = _kept(_alike(left, sketches, bodies, similarity, words, k), "links")
+    if not own.isEmpty():
+        links = _kept(links.union(own), "links")
+        labels = components(links)
     now = members.select("band", "hash", "node", "common")
     open_, rest = _by_class(now, labels)
     few = F.col("outside") <= FEW
@@ -262,16 +269,28 @@ def _linked(
         large, rare = _described(many, bodies, similarity, words)
         score = F.struct(F.expr("2 * shared - size").alias("score"), "node", "label")
         centres = large.groupBy("band", "hash").agg(F.max(score).alias("centre"))
-        led = large.join(centres, ["band", "hash"]).filter("label != centre.label").select(*pick("node", "centre.node"))
-        links = _kept(links.union(_alike(led.distinct(), sketches, bodies, similarity, words, k)), "links")
+        to_centre = large.join(centres, ["band", "hash"]).filter("label != centre.label").select(*pick("node", "centre.node"))
+        left = _kept(to_centre.distinct().join(tried, ["a", "b"], "left_anti"), "tried")
+        tried = tried.union(left)
+        links = _kept(links.union(_alike(left, sketches, bodies, similarity, words, k)), "links")
         labels = components(links) if not links.isEmpty() else None
         pairs = pairs.union(_likely(*_by_class(large.drop("label"), labels), rare, similarity).select(*pick("node", "other")))
-    more = _kept(_alike(pairs.distinct(), sketches, bodies, similarity, words, k), "more")
+    pairs = pairs.distinct().join(tried, ["a", "b"], "left_anti")  # what was found unlike needs no second look
+    more = _kept(_alike(pairs, sketches, bodies, similarity, words, k), "more")
     if more.isEmpty():
         return labels
     return components(links.union(more))
 
 
+def _apart(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Those pairs (a, b) whose texts are not in one class yet."""
+    if labels is None:
+        return pairs
+    for name in ("a", "b"):
+        pairs = pairs.join(labels.select(F.col("node").alias(name), F.col("label").alias(f"of_{name}")), name, "left")
+    return pairs.filter(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
+
+
 def _by_class(members: DataFrame, labels: DataFrame | None) -> tuple[DataFrame, DataFrame]:
     """Members of buckets with several classes, with label and the number outside the largest class; those outside it as other."""
     now = members.withColumn("label", F.col("node"))

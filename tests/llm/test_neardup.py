@@ -144,3 +144,25 @@ def test_large_buckets_lose_no_link(spark, monkeypatch):
     monkeypatch.setattr(neardup, "RARE", 3)
     got = near_classes(spark.createDataFrame([(*d, "x", 1) for d in docs], DOCS))
     assert {r["doc_id"]: r["class_id"] for r in got.collect()} == brute(docs)
+
+
+def test_no_pair_is_compared_twice_or_within_a_class(spark, monkeypatch):
+    docs, made, alike = hot_group(60), [], neardup._alike
+    rows = spark.createDataFrame([(*d, "x", 1) for d in docs], DOCS)
+
+    def noted(found, *rest):
+        found = neardup._kept(found, "pairs")
+        links = neardup._kept(alike(found, *rest), "links")
+        made.append(({(r["a"], r["b"]) for r in found.collect()}, {(r["a"], r["b"]) for r in links.collect()}))
+        return links
+
+    monkeypatch.setattr(neardup, "_alike", noted)
+    monkeypatch.setattr(neardup, "FEW", 4)
+    assert {r["doc_id"]: r["class_id"] for r in near_classes(rows).collect()} == brute(docs)
+    assert sum(len(found) for found, _ in made) == len(set().union(*(found for found, _ in made)))
+    label = {}
+    for found, links in made:
+        assert not any(a in label and label[a] is label.get(b) for a, b in found)
+        for a, b in links:
+            joined = label.get(a, {a}) | label.get(b, {b})
+            label |= dict.fromkeys(joined, joined)
