@@ -258,8 +258,7 @@ def _linked(
     tried = tried.union(left)
     own = _kept(_alike(left, sketches, bodies, similarity, words, k), "links")
     if not own.isEmpty():
-        links = _kept(links.union(own), "links")
-        labels = components(links)
+        labels = _merged(labels, own)
     now = members.select("band", "hash", "node", "common")
     open_, rest = _by_class(now, labels)
     few = F.col("outside") <= FEW
@@ -272,14 +271,29 @@ def _linked(
         to_centre = large.join(centres, ["band", "hash"]).filter("label != centre.label").select(*pick("node", "centre.node"))
         left = _kept(to_centre.distinct().join(tried, ["a", "b"], "left_anti"), "tried")
         tried = tried.union(left)
-        links = _kept(links.union(_alike(left, sketches, bodies, similarity, words, k)), "links")
-        labels = components(links) if not links.isEmpty() else None
+        near = _kept(_alike(left, sketches, bodies, similarity, words, k), "links")
+        if not near.isEmpty():
+            labels = _merged(labels, near)
         pairs = pairs.union(_likely(*_by_class(large.drop("label"), labels), rare, similarity).select(*pick("node", "other")))
     pairs = pairs.distinct().join(tried, ["a", "b"], "left_anti")  # what was found unlike needs no second look
     more = _kept(_alike(pairs, sketches, bodies, similarity, words, k), "more")
     if more.isEmpty():
         return labels
-    return components(links.union(more))
+    return _merged(labels, more)
+
+
+def _merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """(node, label) when ``links`` are added to those behind ``labels``: only classes are linked anew, not their texts."""
+    if labels is None:
+        return components(links)
+    ends = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    known = _kept(labels.unionByName(ends.join(labels, "node", "left_anti").withColumn("label", F.col("node"))), "labels")
+    between = links
+    for name in ("a", "b"):
+        of = known.select(F.col("node").alias(name), F.col("label").alias(f"of_{name}"))
+        between = between.join(of, name).drop(name).withColumnRenamed(f"of_{name}", name)
+    tops = components(between.filter("a != b").distinct()).select(F.col("node").alias("label"), F.col("label").alias("top"))
+    return _kept(known.join(tops, "label", "left").select("node", F.coalesce("top", "label").alias("label")), "labels")
 
 
 def _apart(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
